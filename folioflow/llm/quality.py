@@ -140,7 +140,7 @@ def moments() -> list[Column]:
 
 def shaped(sums: DataFrame, scale: float, rules: QualityRules) -> DataFrame:
     """From a group's count and moments: centre c, the inverse w of the covariance's Cholesky factor, and the log determinant."""
-    keep = [c for c in sums.columns if c[0] not in "mqk" or c in ("group",)]
+    keep = ["group", "start", "members"]
     n = F.col("k").cast("double")
     rows = sums.select(*keep, "k", *(F.col(f"q{i}_{j}") for i, j in pairs()), *((F.col(f"m{i}") / n).alias(f"c{i}") for i in range(DIMS)))
     cov = lambda i, j: (F.col(f"q{i}_{j}") / n - F.col(f"c{i}") * F.col(f"c{j}")) * scale + ((rules.floors[i] * UNIT) ** 2 if i == j else 0.0)
