@@ -10,7 +10,9 @@ the cut is encoded anew, growing until its outermost tokens equal those of both
 from __future__ import annotations
 
 import re
+from array import array
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -24,9 +26,11 @@ UNSPLIT_BYTES = 4096
 #: Leaves of that tree have at most so many symbols.
 LEAF_SYMBOLS = 1024
 #: A worker forgets its chunks when it holds so many.
-CACHED_CHUNKS = 400_000
+CACHED_CHUNKS = 300_000
+#: New chunks are encoded so many at a time, because the library's results take much memory.
+BATCH_CHUNKS = 4096
 #: Texts are handled in slices of about so many bytes.
-SLICE_BYTES = 8 << 20
+SLICE_BYTES = 1 << 20
 
 
 class Encoder:
@@ -43,38 +47,38 @@ class Encoder:
         self.added = re.compile("(" + "|".join(map(re.escape, added)) + ")") if added else None
         size = self.tokenizer.get_vocab_size(with_added_tokens=True)
         self.tokens = [self.tokenizer.id_to_token(i) or "" for i in range(size)]
+        self.shown = [t.encode() for t in self.tokens]
         self.ends = self.tokenizer.model.end_of_word_suffix or ""
         self.lengths = [len(t.removesuffix(self.ends)) if self.ends else len(t) for t in self.tokens]
-        self.chunks: dict[bytes, tuple[bytes, bytes]] = {}
+        self.chunks: dict[bytes, bytes] = {}
 
-    def shown(self, ids: list[int]) -> bytes:
-        """The decoded text of some ids, each token followed by a space."""
-        return "".join(f"{self.tokens[i]} " for i in ids).encode()
-
-    def learn(self, words: list[bytes]) -> None:
-        """Remember the ids and the decoded form of the chunks not seen before."""
+    def learn(self, texts: list[list[bytes]]) -> None:
+        """Remember the ids of the chunks not seen before."""
         if len(self.chunks) > CACHED_CHUNKS:
             self.chunks.clear()
-        fresh = [w for w in set(words).difference(self.chunks) if len(w) <= UNSPLIT_BYTES]
-        found = self.tokenizer.encode_batch_fast([w.decode("utf-8", "replace") for w in fresh], add_special_tokens=False)
-        for word, encoded in zip(fresh, found, strict=True):
-            ids = encoded.ids
-            self.chunks[word] = (np.array(ids, dtype="<u4").tobytes(), self.shown(ids))
-
-    def encode(self, text: bytes) -> tuple[bytes, bytes]:
-        """A text's ids as little-endian unsigned 32-bit integers, and its decoded form with a space after it."""
-        words = text.split()
-        self.learn(words)
-        return self.join(words)
-
-    def join(self, words: list[bytes]) -> tuple[bytes, bytes]:
+        fresh = [w for w in set().union(*texts).difference(self.chunks) if len(w) <= UNSPLIT_BYTES]
+        for at in range(0, len(fresh), BATCH_CHUNKS):
+            words = fresh[at : at + BATCH_CHUNKS]
+            found = self.tokenizer.encode_batch_fast([w.decode("utf-8", "replace") for w in words], add_special_tokens=False)
+            self.chunks.update(zip(words, [array("I", e.ids).tobytes() for e in found], strict=True))
+
+    def encode(self, texts: list[bytes]) -> list[bytes]:
+        """The texts' ids as little-endian unsigned 32-bit integers."""
+        split = [t.split() for t in texts]
+        self.learn(split)
+        return [self.joined_chunks(words) for words in split]
+
+    def joined_chunks(self, words: list[bytes]) -> bytes:
         try:
-            parts = [self.chunks[w] for w in words]
-        except KeyError:
-            parts = [self.chunks.get(w) or self.unsplit(w) for w in words]
-        return b"".join([p[0] for p in parts]), b"".join([p[1] for p in parts])
+            return b"".join(map(self.chunks.__getitem__, words))
+        except KeyError:  # a long one among them
+            return b"".join([self.chunks[w] if w in self.chunks else self.unsplit(w) for w in words])
+
+    def decode(self, ids: bytes) -> bytes:
+        """The text of some ids, special tokens included: without a decoder in the vocabulary, tokens joined by spaces."""
+        return b" ".join(map(self.shown.__getitem__, memoryview(ids).cast("I")))
 
-    def unsplit(self, chunk: bytes) -> tuple[bytes, bytes]:
+    def unsplit(self, chunk: bytes) -> bytes:
         """A long chunk without white space."""
         ids: list[int] = []
         text = chunk.decode("utf-8", "replace")
@@ -87,7 +91,7 @@ class Encoder:
             short = iter(self.model_only.encode_batch_fast([p for p, _ in pieces if len(p) <= LEAF_SYMBOLS], add_special_tokens=False))
             for piece, _ in pieces:
                 ids += next(short).ids if len(piece) <= LEAF_SYMBOLS else self.tree(piece)
-        return np.array(ids, dtype="<u4").tobytes(), self.shown(ids)
+        return array("I", ids).tobytes()
 
     def tree(self, symbols: str, leaf: int = LEAF_SYMBOLS) -> list[int]:
         """The ids of one unsplit piece: leaves in one parallel batch, then joins level by level.
@@ -142,11 +146,10 @@ def slices(column: pa.Array, limit: int = SLICE_BYTES) -> Iterator[list[bytes]]:
         yield held
 
 
-def encode_texts(encoder: Encoder, texts: list[bytes]) -> list[tuple[bytes, bytes]]:
-    """Encode some texts, looking up all their new chunks at once."""
-    split = [t.split() for t in texts]
-    encoder.learn([w for words in split for w in words])
-    return [encoder.join(words) for words in split]
+@lru_cache(maxsize=2)
+def encoder_of(path: str) -> Encoder:
+    """One encoder for all tasks of a worker process."""
+    return Encoder(path)
 
 
 def bpe_encode_decode(
@@ -166,16 +169,15 @@ def bpe_encode_decode(
     schema = docs.select(*(F.col(f"`{c}`") for c in kept), F.array(F.lit(0)).alias(ids), F.lit("").alias(decoded)).schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(vocabulary)
+        encoder = encoder_of(vocabulary)
         for batch in batches:
             at = 0
             for texts in slices(batch.column(len(kept))):
-                found = encode_texts(encoder, texts)
-                flat = np.frombuffer(b"".join([f[0] for f in found]), dtype="<i4")
+                found = encoder.encode(texts)
                 bounds = np.zeros(len(found) + 1, dtype=np.int32)
-                np.cumsum([len(f[0]) // 4 for f in found], out=bounds[1:])
-                lists = pa.ListArray.from_arrays(pa.array(bounds), pa.array(flat))
-                shown = pa.array([f[1][:-1] for f in found], type=pa.binary()).cast(pa.string())
+                np.cumsum([len(f) // 4 for f in found], out=bounds[1:])
+                lists = pa.ListArray.from_arrays(pa.array(bounds), pa.array(np.frombuffer(b"".join(found), dtype="<i4")))
+                shown = pa.array([encoder.decode(f) for f in found], type=pa.binary()).cast(pa.string())
                 part = [batch.column(i).slice(at, len(found)) for i in range(len(kept))]
                 yield pa.RecordBatch.from_arrays([*part, lists, shown], names=[*kept, ids, decoded])
                 at += len(found)
