@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from folioflow.llm.bpe import bpe_encode_decode
+from folioflow.llm.mixing import mix_report
 from folioflow.llm.quality import quality_report
 
 
@@ -21,6 +22,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mix_report(table(spark, sf_dir, "documents"))
+
+
 def op8_bpe_encode_decode(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = bpe_encode_decode(table(spark, sf_dir, "documents"), vocabulary(), columns=["doc_id"])
     return found.select(
@@ -37,6 +42,7 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_mixing": op2_mixing,
     "op8_bpe_encode_decode": op8_bpe_encode_decode,
     "op10_quality_rules": op10_quality_rules,
 }
