@@ -8,8 +8,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from folioflow.llm.bpe import bpe_encode_decode
+from folioflow.llm.elias_fano import read_token_files, write_token_files
 from folioflow.llm.mixing import mix_report
 from folioflow.llm.quality import quality_report
+from folioflow.llm.sharding import extendible_shards
+
+#: A shard's bytes: small enough that the directory splits at every scale of the tables.
+SHARD_BYTES = 1 << 20
 
 
 def vocabulary() -> str:
@@ -26,6 +31,17 @@ def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_report(table(spark, sf_dir, "documents"))
 
 
+def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = extendible_shards(table(spark, sf_dir, "documents"), SHARD_BYTES)
+    return found.select("doc_id", "n_bytes", "depth", "prefix", "shard", "shard_bytes")
+
+
+def op6_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    manifest = write_token_files(table(spark, sf_dir, "documents"), vocabulary(), end_id=1)
+    found = read_token_files(spark, manifest)
+    return found.select("doc_id", "start", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), F.crc32("ids").alias("ids_crc32"))
+
+
 def op8_bpe_encode_decode(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = bpe_encode_decode(table(spark, sf_dir, "documents"), vocabulary(), columns=["doc_id"])
     return found.select(
@@ -43,8 +59,25 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_mixing": op2_mixing,
+    "op5_sharding": op5_sharding,
+    "op6_token_files": op6_token_files,
     "op8_bpe_encode_decode": op8_bpe_encode_decode,
     "op10_quality_rules": op10_quality_rules,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op5_sharding": f"""
+        WITH rows AS (
+            SELECT doc_id, strlen(coalesce(text, '')) AS n_bytes, CAST('0x' || substr(md5(CAST(doc_id AS VARCHAR)), 1, 15) AS BIGINT) AS bits FROM documents
+        ), prefixes AS (
+            SELECT *, bits >> (60 - depth) AS prefix FROM rows, (SELECT CAST(range AS INTEGER) AS depth FROM range(0, 31)) AS d
+        ), sums AS (
+            SELECT depth, prefix, sum(n_bytes) AS shard_bytes, min(bits) = max(bits) AS alone FROM prefixes GROUP BY ALL
+        ), fitting AS (
+            SELECT p.doc_id, p.n_bytes, p.depth, p.prefix, s.shard_bytes, row_number() OVER (PARTITION BY p.doc_id ORDER BY p.depth) AS nth
+            FROM prefixes AS p JOIN sums AS s ON p.depth = s.depth AND p.prefix = s.prefix WHERE s.shard_bytes <= {SHARD_BYTES} OR s.alone
+        )
+        SELECT doc_id, n_bytes, depth, prefix, CASE WHEN depth = 0 THEN '' ELSE lpad(bin(prefix), depth, '0') END AS shard, CAST(shard_bytes AS BIGINT) AS shard_bytes
+        FROM fitting WHERE nth = 1
+    """,
+}
