@@ -116,7 +116,7 @@ def write_token_files(docs: DataFrame, vocabulary: str, end_id: int, folder: str
                 if sink is None:
                     files.create_dir(base, recursive=True)
                     draft = f"{name}.{context.taskAttemptId()}.draft"
-                    sink = files.open_output_stream(draft)
+                    sink = files.open_output_stream(draft, compression=None)
                     sink.write(MAGIC)
                 for ids in encoder.encode(texts):
                     flat = np.append(np.frombuffer(ids, "<u4"), np.uint32(end_id))

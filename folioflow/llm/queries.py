@@ -12,6 +12,7 @@ from folioflow.llm.elias_fano import read_token_files, write_token_files
 from folioflow.llm.mixing import mix_report
 from folioflow.llm.quality import quality_report
 from folioflow.llm.sharding import extendible_shards
+from folioflow.llm.warc import read_archives, write_archives
 
 #: A shard's bytes: small enough that the directory splits at every scale of the tables.
 SHARD_BYTES = 1 << 20
@@ -42,6 +43,11 @@ def op6_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "start", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), F.crc32("ids").alias("ids_crc32"))
 
 
+def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = read_archives(spark, write_archives(table(spark, sf_dir, "pages")))
+    return found.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def op8_bpe_encode_decode(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = bpe_encode_decode(table(spark, sf_dir, "documents"), vocabulary(), columns=["doc_id"])
     return found.select(
@@ -61,11 +67,22 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_mixing": op2_mixing,
     "op5_sharding": op5_sharding,
     "op6_token_files": op6_token_files,
+    "op7_warc": op7_warc,
     "op8_bpe_encode_decode": op8_bpe_encode_decode,
     "op10_quality_rules": op10_quality_rules,
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op7_warc": """
+        WITH rows AS (
+            SELECT page_id, strlen(coalesce(html, '')) AS payload_bytes, sha1(coalesce(html, '')) AS payload_digest FROM pages
+        ), firsts AS (
+            SELECT *, max(page_id) OVER (PARTITION BY payload_digest) AS first FROM rows
+        )
+        SELECT page_id, payload_bytes, payload_digest, CASE WHEN payload_bytes >= 1000 AND first <> page_id THEN 'revisit' ELSE 'response' END AS record_type,
+            CASE WHEN payload_bytes >= 1000 AND first <> page_id THEN first END AS refers_to
+        FROM firsts
+    """,
     "op5_sharding": f"""
         WITH rows AS (
             SELECT doc_id, strlen(coalesce(text, '')) AS n_bytes, CAST('0x' || substr(md5(CAST(doc_id AS VARCHAR)), 1, 15) AS BIGINT) AS bits FROM documents
