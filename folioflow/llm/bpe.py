@@ -9,6 +9,7 @@ the cut is encoded anew, growing until its outermost tokens equal those of both
 
 from __future__ import annotations
 
+import json
 import re
 from array import array
 from collections.abc import Iterator
@@ -26,9 +27,13 @@ UNSPLIT_BYTES = 4096
 #: Leaves of that tree have at most so many symbols.
 LEAF_SYMBOLS = 1024
 #: A worker forgets its chunks when it holds so many.
-CACHED_CHUNKS = 300_000
+CACHED_CHUNKS = 800_000
 #: New chunks are encoded so many at a time, because the library's results take much memory.
 BATCH_CHUNKS = 4096
+#: Latin letters (all of them precomposed), then ASCII signs that start neither a contraction nor a special token.
+PLAIN = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]*)([!-&(-/:;=-@\[-`{-~]*)")
+#: Stands for the end of a word; no UTF-8 text has this byte.
+END = b"\xff"
 #: Texts are handled in slices of about so many bytes.
 SLICE_BYTES = 1 << 20
 
@@ -51,12 +56,51 @@ class Encoder:
         self.ends = self.tokenizer.model.end_of_word_suffix or ""
         self.lengths = [len(t.removesuffix(self.ends)) if self.ends else len(t) for t in self.tokens]
         self.chunks: dict[bytes, bytes] = {}
+        self.piece = self.ranked()
+
+    def ranked(self):
+        """A function that merges one piece of bytes with an end mark by rank, or None where the vocabulary doesn't allow it.
+
+        Where ids count on with the merges, the id of a merged token is its merge's rank, and merging
+        by rank is what tiktoken does, several times faster. Both agree if every token's own text
+        encodes to that token alone, which is how such vocabularies are built.
+        """
+        import tiktoken
+
+        told = json.loads(self.tokenizer.to_str())
+        model, steps = told["model"], [x["type"] for x in (told["pre_tokenizer"] or {}).get("pretokenizers", [])]
+        normal = [x["type"] for x in (told["normalizer"] or {}).get("normalizers", [])]
+        vocab, merges = model["vocab"], model["merges"]
+        first = len(vocab) - len(merges)
+        in_order = all(vocab.get("".join(m)) == first + i for i, m in enumerate(merges))
+        if not in_order or self.ends != "</w>" or steps != ["Split", "ByteLevel"] or normal != ["NFC", "Replace", "Lowercase"]:
+            return None
+        shown = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or 174 <= b <= 255]
+        hidden = [b for b in range(256) if b not in shown]
+        byte_of = {chr(b): b for b in shown} | {chr(256 + i): b for i, b in enumerate(hidden)}
+        ranks = {bytes(byte_of[c] for c in t.removesuffix(self.ends)) + END * t.endswith(self.ends): i for t, i in vocab.items()}
+        ranks |= {bytes([b]): len(vocab) + b for b in range(256) if bytes([b]) not in ranks}
+        own = tiktoken.Encoding("ranked", pat_str=r"\S+", mergeable_ranks=ranks, special_tokens={})
+        return own._core_bpe.encode_single_piece
+
+    def plain(self, word: bytes) -> bytes | None:
+        """The ids of a chunk of Latin letters and then ASCII signs, which needs neither normalizing nor splitting but at one place."""
+        found = PLAIN.fullmatch(word.decode("utf-8", "replace"))
+        if not found:
+            return None
+        letters, signs = found.groups()
+        ids = self.piece(letters.lower().encode() + END) if letters else []
+        return array("I", ids + self.piece(signs.encode() + END) if signs else ids).tobytes()
 
     def learn(self, texts: list[list[bytes]]) -> None:
         """Remember the ids of the chunks not seen before."""
         if len(self.chunks) > CACHED_CHUNKS:
             self.chunks.clear()
         fresh = [w for w in set().union(*texts).difference(self.chunks) if len(w) <= UNSPLIT_BYTES]
+        if self.piece:
+            found = [(w, self.plain(w)) for w in fresh]
+            self.chunks.update(x for x in found if x[1] is not None)
+            fresh = [w for w, ids in found if ids is None]
         for at in range(0, len(fresh), BATCH_CHUNKS):
             words = fresh[at : at + BATCH_CHUNKS]
             found = self.tokenizer.encode_batch_fast([w.decode("utf-8", "replace") for w in words], add_special_tokens=False)
