@@ -12,6 +12,7 @@ from folioflow.llm.elias_fano import read_token_files, write_token_files
 from folioflow.llm.mixing import mix_report
 from folioflow.llm.quality import quality_report
 from folioflow.llm.sharding import extendible_shards
+from folioflow.llm.substring import substring_dedup
 from folioflow.llm.warc import read_archives, write_archives
 
 #: A shard's bytes: small enough that the directory splits at every scale of the tables.
@@ -28,6 +29,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = substring_dedup(table(spark, sf_dir, "documents"), length=50, columns=["doc_id"])
+    # a text of which nothing goes comes with its own white space
+    joined = F.btrim(F.regexp_replace(F.coalesce("text", F.lit("")), "[ \\t-\\r]+", " "), F.lit(" "))
+    return found.select("doc_id", "n_words", "n_removed", F.sha2(joined, 256).alias("kept_sha256"))
+
+
 def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_report(table(spark, sf_dir, "documents"))
 
@@ -64,6 +72,7 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_substring_dedup": op1_substring_dedup,
     "op2_mixing": op2_mixing,
     "op5_sharding": op5_sharding,
     "op6_token_files": op6_token_files,
