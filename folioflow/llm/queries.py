@@ -7,14 +7,18 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from folioflow.llm.ann import nearest_neighbours
 from folioflow.llm.bpe import bpe_encode_decode
 from folioflow.llm.elias_fano import read_token_files, write_token_files
 from folioflow.llm.mixing import mix_report
+from folioflow.llm.ngram_join import similar_documents
 from folioflow.llm.quality import quality_report
 from folioflow.llm.sharding import extendible_shards
 from folioflow.llm.substring import substring_dedup
 from folioflow.llm.warc import read_archives, write_archives
 
+#: How far the triangle inequality's pruning is relaxed; one is exact search.
+PRUNING = 1.0
 #: A shard's bytes: small enough that the directory splits at every scale of the tables.
 SHARD_BYTES = 1 << 20
 
@@ -40,6 +44,11 @@ def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_report(table(spark, sf_dir, "documents"))
 
 
+def op3_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings")
+    return nearest_neighbours(vectors, vectors.filter("vec_id % 20 = 0"), k=20, factor=PRUNING)
+
+
 def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = extendible_shards(table(spark, sf_dir, "documents"), SHARD_BYTES)
     return found.select("doc_id", "n_bytes", "depth", "prefix", "shard", "shard_bytes")
@@ -66,6 +75,10 @@ def op8_bpe_encode_decode(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op9_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return similar_documents(table(spark, sf_dir, "documents"), threshold=0.8, size=5).select("doc_id", "class_id", "n_links")
+
+
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = quality_report(table(spark, sf_dir, "documents"))
     return found.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
@@ -74,10 +87,12 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_substring_dedup": op1_substring_dedup,
     "op2_mixing": op2_mixing,
+    "op3_nearest_neighbours": op3_nearest_neighbours,
     "op5_sharding": op5_sharding,
     "op6_token_files": op6_token_files,
     "op7_warc": op7_warc,
     "op8_bpe_encode_decode": op8_bpe_encode_decode,
+    "op9_ngram_join": op9_ngram_join,
     "op10_quality_rules": op10_quality_rules,
 }
 
