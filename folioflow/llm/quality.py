@@ -29,6 +29,8 @@ UNIT, MOST = 256, 1 << 13
 DIMS = 5
 #: Bins of squared distance per octave.
 FINE = 8
+#: Estimates (about 200 bytes each) go to all executors if there are at most so many.
+MOST_GROUPS = 100_000
 
 
 @dataclass(frozen=True)
@@ -193,13 +195,15 @@ def estimates(vectors: DataFrame, rules: QualityRules) -> DataFrame:
     scale = rules.share / chi2_cdf(quantile, DIMS + 2)  # makes the subset's covariance that of a normal distribution
     up_to = Window.partitionBy("group", "start").orderBy("bin").rowsBetween(Window.unboundedPreceding, -1)
     for step in range(rules.steps):
-        near = vectors.join(now.drop("det"), "group")
+        # sent to all executors behind a check: a join by group would deal out a whole group to one task
+        held = now.drop("det")
+        near = vectors.join(F.broadcast(held) if now.count() <= MOST_GROUPS else held, "group")
         squared = distance([F.col(f"x{i}") for i in range(DIMS)])
         binned = near.select("group", "start", "members", *(f"x{i}" for i in range(DIMS)), F.floor(FINE * F.log2(squared + 1e-3)).cast("int").alias("bin"))
         sums = binned.groupBy("group", "start", "members", "bin").agg(F.count(F.lit(1)).alias("k"), *moments())
-        held = sums.withColumn("below", F.coalesce(F.sum("k").over(up_to), F.lit(0)))
-        held = held.filter(F.col("below") < F.ceil(F.col("members") * rules.share))
-        totals = held.groupBy("group", "start", "members").agg(*(F.sum(c).alias(c) for c in sums.columns if c[0] in "kmq" and c != "members"))
+        lowest = sums.withColumn("below", F.coalesce(F.sum("k").over(up_to), F.lit(0)))
+        lowest = lowest.filter(F.col("below") < F.ceil(F.col("members") * rules.share))
+        totals = lowest.groupBy("group", "start", "members").agg(*(F.sum(c).alias(c) for c in sums.columns if c[0] in "kmq" and c != "members"))
         now = written(shaped(totals, scale, rules), f"quality-step{step}")
     best = Window.partitionBy("group").orderBy("det", "start")
     return now.withColumn("rank", F.row_number().over(best)).filter("rank = 1").drop("rank", "start", "det")
