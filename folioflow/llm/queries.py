@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from folioflow.llm.ann import nearest_neighbours
 from folioflow.llm.bpe import bpe_encode_decode
 from folioflow.llm.elias_fano import read_token_files, write_token_files
+from folioflow.llm.lm import score_documents
 from folioflow.llm.mixing import mix_report
 from folioflow.llm.ngram_join import similar_documents
 from folioflow.llm.quality import quality_report
@@ -49,6 +50,10 @@ def op3_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nearest_neighbours(vectors, vectors.filter("vec_id % 20 = 0"), k=20, factor=PRUNING)
 
 
+def op4_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score_documents(table(spark, sf_dir, "documents"))
+
+
 def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = extendible_shards(table(spark, sf_dir, "documents"), SHARD_BYTES)
     return found.select("doc_id", "n_bytes", "depth", "prefix", "shard", "shard_bytes")
@@ -88,6 +93,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_substring_dedup": op1_substring_dedup,
     "op2_mixing": op2_mixing,
     "op3_nearest_neighbours": op3_nearest_neighbours,
+    "op4_lm_scoring": op4_lm_scoring,
     "op5_sharding": op5_sharding,
     "op6_token_files": op6_token_files,
     "op7_warc": op7_warc,
