@@ -83,7 +83,8 @@ def with_statistics(docs: DataFrame, text: str, names: dict[str, str], rules: Qu
     covered = F.aggregate(F.transform(p, lambda x, i: F.least(F.lit(5), F.coalesce(F.get(p, i + 1) - x, F.lit(5)))), F.lit(0), lambda a, x: a + x)
     staged = staged.select(*(c for c in staged.columns if c != places), F.coalesce(covered, F.lit(0)).cast("long").alias(names["n_repeat_words"]))
     failed = (n["n_words"] < rules.min_words) | (100 * n["n_repeat_words"] > int(100 * rules.most_repeats) * n["n_words"])
-    return staged.select("*", failed.alias(names["base_failed"]))
+    # as a generated row, because a filter on the result would otherwise be moved below and repeat all of the above
+    return staged.select(*own, F.inline(F.array(F.struct(*(n[k] for k in BASE), failed.alias(names["base_failed"])))))
 
 
 def vector(n: dict[str, Column]) -> list[Column]:
