@@ -5,6 +5,10 @@ from __future__ import annotations
 import atexit
 import tempfile
 import uuid
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -61,8 +65,55 @@ def file_system(uri: str):
     return fs.FileSystem.from_uri(uri)
 
 
-def text_or_empty(name: str = "text") -> Column:
-    return F.coalesce(F.col(name).cast("string"), F.lit(""))
+def write_pairs(pairs: DataFrame, name: str, value_type: str) -> str:
+    """Write a table of two whole numbers as files of arrays, in ranges of the first; the folder is returned.
+
+    Executors write and read the files; a task's file gets its name when it is whole. Values beyond
+    the type's largest become that.
+    """
+    spark = pairs.sparkSession
+    folder = new_folder(spark, name)
+    key, value = pairs.columns
+    ordered = pairs.repartitionByRange(int(spark.conf.get("spark.sql.shuffle.partitions")), key).sortWithinPartitions(key)
+    most = np.iinfo(value_type).max
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
+        context = TaskContext.get()
+        files, base = file_system(folder)
+        held = [(b.column(0).to_numpy(), b.column(1).to_numpy()) for b in batches if b.num_rows]
+        if held:
+            target = f"{base}/part-{context.partitionId():06d}"
+            draft = f"{target}.{context.taskAttemptId()}.draft"
+            with files.open_output_stream(draft, compression=None) as sink:
+                sink.write(np.concatenate([h[0] for h in held]).astype(np.int64).tobytes())
+                sink.write(np.minimum(np.concatenate([h[1] for h in held]), most).astype(value_type).tobytes())
+            files.move(draft, f"{target}.pairs")
+        yield pa.RecordBatch.from_pydict({"parts": pa.array([len(held)], pa.int64())})
+
+    files, base = file_system(folder)
+    files.create_dir(base, recursive=True)
+    ordered.mapInArrow(run, "parts long").agg(F.sum("parts")).collect()
+    return folder
+
+
+def read_pairs(folder: str, value_type: str) -> tuple[np.ndarray, np.ndarray]:
+    """Both arrays of a folder, ascending by the first."""
+    from pyarrow import fs
+
+    files, base = file_system(folder)
+    each = 8 + np.dtype(value_type).itemsize
+    found = sorted((f for f in files.get_file_info(fs.FileSelector(base)) if f.path.endswith(".pairs")), key=lambda f: f.path)
+    total, at = sum(f.size for f in found) // each, 0
+    keys, values = np.empty(total, dtype=np.int64), np.empty(total, dtype=value_type)
+    for f in found:
+        n = f.size // each
+        with files.open_input_file(f.path) as source:
+            keys[at : at + n] = np.frombuffer(source.read_at(8 * n, 0), np.int64)
+            values[at : at + n] = np.frombuffer(source.read_at((each - 8) * n, 8 * n), value_type)
+        at += n
+    return keys, values
 
 
 def word_array(text: Column) -> Column:

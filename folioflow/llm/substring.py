@@ -23,10 +23,10 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from folioflow.llm.common import file_system, free_name, new_folder, written
+from folioflow.llm.common import free_name, read_pairs, write_pairs, written
 from folioflow.llm.hashing import Words, run_hashes, text_hashes, text_slices
 
 #: Workers hold the repeated fingerprints if there are at most so many (16 bytes each); else they are joined.
@@ -126,40 +126,10 @@ def signed(x: np.ndarray) -> pa.Array:
     return pa.array(np.ascontiguousarray(x).view(np.int64))
 
 
-@lru_cache(maxsize=2)
+@lru_cache(maxsize=1)
 def held_fingerprints(folder: str) -> tuple[np.ndarray, np.ndarray]:
-    """All repeated fingerprints from a folder, in order, with the least doc_id of each."""
-    from pyarrow import fs
-
-    files, base = file_system(folder)
-    parts = [np.frombuffer(files.open_input_file(f.path).read(), dtype=np.int64).reshape(2, -1) for f in files.get_file_info(fs.FileSelector(base)) if f.path.endswith(".fps")]
-    both = np.concatenate(parts, axis=1) if parts else np.zeros((2, 0), dtype=np.int64)
-    order = np.argsort(both[0].view(np.uint64))
-    return both[0][order].view(np.uint64), both[1][order]
-
-
-def write_fingerprints(repeated: DataFrame) -> str:
-    """Write fingerprints and least doc ids to a folder that all executors read."""
-    folder = new_folder(repeated.sparkSession, "fingerprints")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from pyspark import TaskContext
-
-        files, base = file_system(folder)
-        held = [(b.column(0).to_numpy(), b.column(1).to_numpy()) for b in batches]
-        if held:
-            files.create_dir(base, recursive=True)
-            name = f"{base}/part-{TaskContext.get().partitionId():06d}"
-            draft = f"{name}.{TaskContext.get().taskAttemptId()}.draft"
-            with files.open_output_stream(draft) as sink:
-                sink.write(np.stack([np.concatenate([h[i] for h in held]) for i in (0, 1)]).tobytes())
-            files.move(draft, f"{name}.fps")
-        yield pa.RecordBatch.from_pydict({"parts": pa.array([len(held)], pa.int64())})
-
-    files, base = file_system(folder)
-    files.create_dir(base, recursive=True)
-    repeated.select("fp", "first").mapInArrow(run, "parts long").agg(F.sum("parts")).collect()
-    return folder
+    """All repeated fingerprints, ascending as signed numbers, with the least doc_id of each."""
+    return read_pairs(folder, "int64")
 
 
 def stretches(hit: np.ndarray, n: int, length: int) -> list[tuple[int, int]]:
@@ -196,7 +166,7 @@ def repeated_spans(docs: DataFrame, length: int = 50, text: str = "text", doc_id
     marks = rows.mapInArrow(mark, "fp long, doc long, place int")
     repeated = written(marks.groupBy("fp").agg(F.min("doc").alias("first"), F.max("doc").alias("last")).filter("first < last").select("fp", "first"), "fingerprints")
     if repeated.count() <= MOST_HELD:
-        folder = write_fingerprints(repeated)
+        folder = write_pairs(repeated.select("fp", "first"), "fingerprints-held", "int64")
         hits = rows.withColumn("hits", F.lit(None).cast("binary")).withColumn("copy_of", F.lit(None).cast("long"))
     else:
         folder = None
@@ -207,6 +177,7 @@ def repeated_spans(docs: DataFrame, length: int = 50, text: str = "text", doc_id
         known, firsts = held_fingerprints(folder) if folder else (None, None)
 
         def look(hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+            hashes = hashes.view(np.int64)
             at = np.minimum(np.searchsorted(known, hashes), max(len(known) - 1, 0))
             found = known[at] == hashes if len(known) else np.zeros(len(hashes), dtype=bool)
             return found, at
@@ -252,7 +223,8 @@ def repeated_spans(docs: DataFrame, length: int = 50, text: str = "text", doc_id
                 yield pa.RecordBatch.from_arrays([signed(hashes[whole]), pa.array(names[a:b][owners(words, whole)])], names=["window", "doc"])
 
     seen = parts.filter("copy_of is null").select("doc", "runs").mapInArrow(windows, "window long, doc long")
-    firsts = seen.groupBy("window").agg(F.min("doc").alias("ref"), F.max("doc").alias("last")).filter("ref < last").select("window", "ref")
+    # a table of its own: then both sides of the join are dealt out for it alone, and a window that very many have can be split
+    firsts = written(seen.groupBy("window").agg(F.min("doc").alias("ref"), F.max("doc").alias("last")).filter("ref < last").select("window", "ref"), "windows")
     needs = seen.join(firsts, "window").filter("doc > ref").select("doc", "ref")
     copies = parts.filter("copy_of is not null").select("doc", F.col("copy_of").alias("ref"))
     links = written(needs.unionByName(copies).distinct(), "links")
