@@ -149,10 +149,14 @@ def units(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[pa.Table]:
 def connected(edges: DataFrame) -> DataFrame:
     """(node, label): the least node that each is connected with, from (node, label) pairs that are connected.
 
-    Labels spread along edges and are then followed once, until none changes; each round is a table
-    in the shared folder.
+    A node that meets several labels keeps the least, which the others then meet instead: so a group
+    has few edges beside one for each node. Labels spread along edges and are then followed once,
+    until none changes; each round is a table in the shared folder.
     """
-    edges = written(edges.filter("node <> label").distinct(), "edges")
+    met = edges.filter("node <> label").groupBy("node").agg(F.min("label").alias("best"), F.collect_set("label").alias("labels"))
+    met = written(met, "met")
+    beside = met.select(F.explode(F.filter("labels", lambda x: x != F.col("best"))).alias("node"), F.col("best").alias("label")).distinct()
+    edges = written(met.select("node", F.col("best").alias("label")).unionByName(beside).distinct(), "edges")
     both = written(edges.union(edges.select("label", "node")).toDF("node", "near"), "edges-both")
     now = written(both.groupBy("node").agg(F.least(F.min("near"), F.col("node")).alias("label")), "labels")
     while True:
