@@ -20,7 +20,8 @@ from pyspark.sql import functions as F
 
 from folioflow.llm.common import written
 
-LEAF = 48
+#: Rows of a leaf: fewer make more pieces of the query block than their pruning saves.
+LEAF = 512
 SHARD_ROWS = 4096
 BLOCK_QUERIES = 1024
 
@@ -100,8 +101,10 @@ class VantageTree:
                 better = found.max(axis=1) >= scores[some, -1]
                 some, found = some[better], found[better]
                 if len(some):
+                    first = np.argsort(-found, axis=1, kind="stable")[:, :k]  # a leaf's rows are in order of their ids
+                    found, names = np.take_along_axis(found, first, 1), names[first]
                     all_scores = np.hstack([scores[some], found])
-                    all_ids = np.hstack([ids[some], np.broadcast_to(names, found.shape)])
+                    all_ids = np.hstack([ids[some], names])
                     all_ids[np.isneginf(all_scores)] = -1
                     by_id = np.argsort(all_ids, axis=1, kind="stable")
                     all_scores, all_ids = np.take_along_axis(all_scores, by_id, 1), np.take_along_axis(all_ids, by_id, 1)
