@@ -128,3 +128,10 @@ def free_name(df: DataFrame, wanted: str) -> str:
     while wanted.lower() in taken:
         wanted = f"_{wanted}"
     return wanted
+
+
+def free_prefix(df: DataFrame, wanted: str) -> str:
+    """``wanted``, or a prefix made from it that no column's name starts with."""
+    while any(c.lower().startswith(wanted.lower()) for c in df.columns):
+        wanted = f"_{wanted}"
+    return wanted

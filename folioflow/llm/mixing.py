@@ -18,7 +18,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from folioflow.llm.common import free_name, word_array, written
+from folioflow.llm.common import free_name, free_prefix, word_array, written
 
 #: A source has a shard for so many words, up to so many shards.
 SHARD_WORDS, MOST_SHARDS = 1 << 15, 4096
@@ -140,7 +140,7 @@ def taken_parts(rows: DataFrame, known: DataFrame, plan: DataFrame, names: dict[
 
 
 def _names(docs: DataFrame, doc_id: str) -> dict[str, str]:
-    prefix = free_name(docs, "mix")
+    prefix = free_prefix(docs, "mix")
     return {"id": doc_id} | {n: f"{prefix}_{n}" for n in ("size", "key", "rank", "source_size", "target", "passes", "tail_from", "tail_to", "head_to")}
 
 

@@ -207,7 +207,7 @@ def similar_documents(docs: DataFrame, threshold: float = 0.8, size: int = 5, to
             keys, side = unit["node"].to_numpy(), unit["side"].to_numpy()
             signs = np.frombuffer(b"".join(unit["signature"].to_pylist()), "<u2").reshape(-1, VALUES)
             cutting = int((side == 0).sum())
-            same = cutting == len(side)
+            same = bool(unit["low"][0].as_py() == unit["high"][0].as_py())  # not by the sides: a block may have no member
             left, right = survivors(signs[:cutting], signs if same else signs[cutting:], same, least)
             labels = low_labels(len(keys), left, right if same else right + cutting, keys)
             moved = labels != keys
@@ -237,7 +237,7 @@ def similar_documents(docs: DataFrame, threshold: float = 0.8, size: int = 5, to
             keys, side, copies = unit["node"].to_numpy(), unit["side"].to_numpy(), unit["copies"].to_numpy()
             signs = np.frombuffer(b"".join(unit["signature"].to_pylist()), "<u2").reshape(-1, VALUES)
             cutting = int((side == 0).sum())
-            same = cutting == len(side)
+            same = bool(unit["low"][0].as_py() == unit["high"][0].as_py())  # not by the sides: a block may have no member
             left, right = survivors(signs[:cutting], signs if same else signs[cutting:], same, least)
             right = right if same else right + cutting
             held = [np.frombuffer(x, np.uint64) for x in unit["shingles"].to_pylist()]

@@ -20,7 +20,7 @@ from statistics import NormalDist
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from folioflow.llm.common import free_name, word_array, written
+from folioflow.llm.common import free_name, free_prefix, word_array, written
 
 BASE = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 SYMBOLS = "[#*$%&|<>]"
@@ -259,7 +259,7 @@ def quality_filter(docs: DataFrame, text: str = "text", lang: str = "lang", sour
     verdict, so that whole texts need not move between executors. Nulls, blanks, repeated rows and
     empty tables are as in ``quality_report``.
     """
-    prefix = free_name(docs, "quality")
+    prefix = free_prefix(docs, "quality")
     names = {k: f"{prefix}_{k}" for k in (*BASE, "base_failed")}
     narrow = docs.select(F.col(f"`{lang}`").alias("quality_lang"), F.col(f"`{source}`").alias("quality_source"), F.col(f"`{text}`").alias("quality_body"))
     plain = {k: k for k in names}
