@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from folioflow.llm.common import written
+from folioflow.llm.common import trimmed, written
 
 #: Rows of a leaf: fewer make more pieces of the query block than their pruning saves.
 LEAF = 512
@@ -169,7 +169,7 @@ def nearest(queries: DataFrame, index: DataFrame, k: int, factor: float) -> Data
                 listed = [pa.ListArray.from_arrays(pa.array(shape), pa.array(x.ravel())) for x in (-scores, found)]
                 yield pa.RecordBatch.from_arrays([pa.array(own), *listed], names=["query_id", "less", "ids"])
 
-    local = met.mapInArrow(search, "query_id long, less array<double>, ids array<long>")
+    local = met.mapInArrow(trimmed(search), "query_id long, less array<double>, ids array<long>")
     pairs = local.select("query_id", F.filter(F.arrays_zip("less", "ids"), lambda x: x["less"] < float("inf")).alias("found"))
     best = pairs.groupBy("query_id").agg(F.slice(F.sort_array(F.flatten(F.collect_list("found"))), 1, k).alias("found"))
     told = best.select("query_id", F.posexplode("found").alias("place", "pair"))

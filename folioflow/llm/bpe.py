@@ -19,15 +19,16 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
-from folioflow.llm.common import free_name
+from folioflow.llm.common import free_name, trimmed
 
 #: Chunks over so many bytes are encoded by tree concatenation.
 UNSPLIT_BYTES = 4096
 #: Leaves of that tree have at most so many symbols.
 LEAF_SYMBOLS = 1024
 #: A worker forgets its chunks when it holds so many.
-CACHED_CHUNKS = 800_000
+CACHED_CHUNKS = 250_000
 #: New chunks are encoded so many at a time, because the library's results take much memory.
 BATCH_CHUNKS = 4096
 #: Latin letters (all of them precomposed), then ASCII signs that start neither a contraction nor a special token.
@@ -209,14 +210,17 @@ def bpe_encode_decode(
     """
     kept = [c for c in (docs.columns if columns is None else columns) if c.lower() not in (ids.lower(), decoded.lower())]
     work = free_name(docs, "bpe_text")
-    staged = docs.select(*(F.col(f"`{c}`") for c in kept), F.col(f"`{text}`").cast("string").cast("binary").alias(work))
+    own = text in kept and isinstance(docs.schema[text].dataType, StringType)  # then the text need not travel twice
+    extra = [] if own else [F.col(f"`{text}`").cast("string").cast("binary").alias(work)]
+    staged = docs.select(*(F.col(f"`{c}`") for c in kept), *extra)
+    place = kept.index(text) if own else len(kept)
     schema = docs.select(*(F.col(f"`{c}`") for c in kept), F.array(F.lit(0)).alias(ids), F.lit("").alias(decoded)).schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = encoder_of(vocabulary)
         for batch in batches:
             at = 0
-            for texts in slices(batch.column(len(kept))):
+            for texts in slices(batch.column(place).cast(pa.binary())):
                 found = encoder.encode(texts)
                 bounds = np.zeros(len(found) + 1, dtype=np.int32)
                 np.cumsum([len(f) // 4 for f in found], out=bounds[1:])
@@ -226,4 +230,4 @@ def bpe_encode_decode(
                 yield pa.RecordBatch.from_arrays([*part, lists, shown], names=[*kept, ids, decoded])
                 at += len(found)
 
-    return staged.mapInArrow(run, schema)
+    return staged.mapInArrow(trimmed(run), schema)

@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from folioflow.llm.bpe import encoder_of, slices
-from folioflow.llm.common import file_system, new_folder
+from folioflow.llm.common import file_system, new_folder, trimmed
 
 MAGIC = b"FFTOKEN1"
 SAMPLE = 512
@@ -139,7 +139,7 @@ def write_token_files(docs: DataFrame, vocabulary: str, end_id: int, folder: str
         size = len(MAGIC) * 2 + total * (4 if wide else 2) + len(bounds) + len(keys) + len(tail) + 4
         yield pa.RecordBatch.from_pydict({"file": [f"{folder}/{name[len(base) + 1:]}.ids"], "part": pa.array([context.partitionId()], pa.int32()), "docs": [len(ends)], "ids": [total], "bytes": [size]})
 
-    return [r.asDict() for r in rows.mapInArrow(run, MANIFEST).collect()]
+    return [r.asDict() for r in rows.mapInArrow(trimmed(run), MANIFEST).collect()]
 
 
 class TokenFile:
@@ -194,4 +194,4 @@ def read_token_files(spark: SparkSession, manifest: list[dict]) -> DataFrame:
                     )
 
     files = spark.createDataFrame(rows, "file string, before long")
-    return files.repartition(max(1, len(rows)), "file").mapInArrow(run, "doc_id long, start long, ids binary")
+    return files.repartition(max(1, len(rows)), "file").mapInArrow(trimmed(run), "doc_id long, start long, ids binary")

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from folioflow.llm.common import free_name, written
+from folioflow.llm.common import free_name, trimmed, written
 from folioflow.llm.hashing import Words, mixed, run_hashes, text_hashes, text_slices
 
 #: 24 bands of 4 values miss a pair of similarity 0.8 with probability 3e-6.
@@ -195,7 +195,7 @@ def similar_documents(docs: DataFrame, threshold: float = 0.8, size: int = 5, to
                 signed = cut.take(pa.array(np.where(full, places[:-1], 0), mask=~full)) if len(signs) else pa.nulls(b - a, pa.binary())
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(set_keys(values, first).view(np.int64)), pa.array(sizes.astype(np.int64)), bands, signed], names=["doc_id", "node", "n_shingles", "bands", "signature"])
 
-    told = written(rows.mapInArrow(describe, "doc_id long, node long, n_shingles long, bands array<long>, signature binary"), "shingles")
+    told = written(rows.mapInArrow(trimmed(describe), "doc_id long, node long, n_shingles long, bands array<long>, signature binary"), "shingles")
     part = told.filter("n_shingles > 0 and doc_id is not null")
     nodes = written(part.groupBy("node").agg(F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("copies"), F.first("bands").alias("bands"), F.first("signature").alias("signature")), "nodes")
     banded = nodes.select("node", F.explode("bands").alias("bucket"))
@@ -214,7 +214,7 @@ def similar_documents(docs: DataFrame, threshold: float = 0.8, size: int = 5, to
             yield pa.RecordBatch.from_arrays([pa.array(keys[moved]), pa.array(labels[moved])], names=["node", "label"])
 
     met = dealt(members, "bucket", "size", "node").select("bucket", "low", "high", "side", "node", "signature")
-    clusters = connected(met.mapInArrow(candidates, "node long, label long"))
+    clusters = connected(met.mapInArrow(trimmed(candidates), "node long, label long"))
     sizes = clusters.groupBy("label").agg(F.count(F.lit(1)).alias("size"))
     chosen = written(clusters.join(sizes, "label").join(nodes.select("node", "first", "copies", "signature"), "node"), "clusters")
     sent = chosen.select(F.col("first").alias("chosen_id"), F.col("node").alias("chosen_node"))
@@ -229,7 +229,7 @@ def similar_documents(docs: DataFrame, threshold: float = 0.8, size: int = 5, to
                 kept = np.flatnonzero(keys == own)  # equal doc ids may have other texts
                 yield pa.RecordBatch.from_arrays([pa.array(own[kept]), pa.array([values[first[i] : first[i + 1]].tobytes() for i in kept], pa.binary())], names=["node", "shingles"])
 
-    found = texts.mapInArrow(sets, "node long, shingles binary").dropDuplicates(["node"])
+    found = texts.mapInArrow(trimmed(sets), "node long, shingles binary").dropDuplicates(["node"])
     joined = written(found.join(chosen, "node"), "cluster-sets")
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -261,7 +261,7 @@ def similar_documents(docs: DataFrame, threshold: float = 0.8, size: int = 5, to
             yield pa.RecordBatch.from_arrays([pa.array(keys[some]), pa.array(low_labels(len(keys), left, right, keys)[some]), pa.array(links[some])], names=["node", "label", "links"])
 
     meeting = dealt(joined, "label", "size", "node").select("label", "low", "high", "side", "node", "copies", "signature", "shingles")
-    verified = written(meeting.mapInArrow(verify, "node long, label long, links long"), "verified")
+    verified = written(meeting.mapInArrow(trimmed(verify), "node long, label long, links long"), "verified")
     links = verified.groupBy("node").agg(F.sum("links").alias("links"))
     classes = connected(verified.select("node", "label"))
     firsts = classes.join(nodes.select("node", "first"), "node").groupBy("label").agg(F.min("first").alias("class_first"))

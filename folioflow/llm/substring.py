@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from folioflow.llm.common import free_name, read_pairs, write_pairs, written
+from folioflow.llm.common import free_name, read_pairs, trimmed, write_pairs, written
 from folioflow.llm.hashing import Words, run_hashes, text_hashes, text_slices
 
 #: Workers hold the repeated fingerprints if there are at most so many (16 bytes each); else they are joined.
@@ -163,7 +163,7 @@ def repeated_spans(docs: DataFrame, length: int = 50, text: str = "text", doc_id
                     names=["fp", "doc", "place"],
                 )
 
-    marks = rows.mapInArrow(mark, "fp long, doc long, place int")
+    marks = rows.mapInArrow(trimmed(mark), "fp long, doc long, place int")
     repeated = written(marks.groupBy("fp").agg(F.min("doc").alias("first"), F.max("doc").alias("last")).filter("first < last").select("fp", "first"), "fingerprints")
     if repeated.count() <= MOST_HELD:
         folder = write_pairs(repeated.select("fp", "first"), "fingerprints-held", "int64")
@@ -210,7 +210,7 @@ def repeated_spans(docs: DataFrame, length: int = 50, text: str = "text", doc_id
                     names=["doc", "at", "runs", "copy_of"],
                 )
 
-    parts = written(hits.mapInArrow(pick, "doc long, at array<int>, runs array<binary>, copy_of long"), "stretches")
+    parts = written(hits.mapInArrow(trimmed(pick), "doc long, at array<int>, runs array<binary>, copy_of long"), "stretches")
 
     def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -222,7 +222,7 @@ def repeated_spans(docs: DataFrame, length: int = 50, text: str = "text", doc_id
                 whole = np.flatnonzero(words.left()[: len(hashes)] >= length)
                 yield pa.RecordBatch.from_arrays([signed(hashes[whole]), pa.array(names[a:b][owners(words, whole)])], names=["window", "doc"])
 
-    seen = parts.filter("copy_of is null").select("doc", "runs").mapInArrow(windows, "window long, doc long")
+    seen = parts.filter("copy_of is null").select("doc", "runs").mapInArrow(trimmed(windows), "window long, doc long")
     # a table of its own: then both sides of the join are dealt out for it alone, and a window that very many have can be split
     firsts = written(seen.groupBy("window").agg(F.min("doc").alias("ref"), F.max("doc").alias("last")).filter("ref < last").select("window", "ref"), "windows")
     needs = seen.join(firsts, "window").filter("doc > ref").select("doc", "ref")
@@ -257,7 +257,7 @@ def repeated_spans(docs: DataFrame, length: int = 50, text: str = "text", doc_id
             if names:
                 yield pa.RecordBatch.from_arrays([pa.array(names, pa.int64()), pa.array(out, pa.binary())], names=["doc_id", "spans"])
 
-    matched = both.mapInArrow(match, "doc_id long, spans binary")
+    matched = both.mapInArrow(trimmed(match), "doc_id long, spans binary")
     return written(matched.groupBy("doc_id").agg(F.collect_set("spans").alias("spans")), "spans")
 
 
@@ -309,6 +309,6 @@ def substring_dedup(docs: DataFrame, length: int = 50, text: str = "text", doc_i
             new = [pa.array(texts, pa.binary()).cast(pa.string()), pa.array(sizes, pa.int64()), pa.array(gone, pa.int64())]
             yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(len(others))), *new], names=[*others, text, "n_words", "n_removed"])
 
-    found = rows.mapInArrow(cut, schema)
+    found = rows.mapInArrow(trimmed(cut), schema)
     order = [*kept, "n_words", "n_removed"] if text in kept else [*kept, text, "n_words", "n_removed"]
     return found.select(*(F.col(f"`{c}`") for c in order))

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folioflow.llm.common import file_system, new_folder, written
+from folioflow.llm.common import file_system, new_folder, trimmed, written
 
 #: Magic number of the skippable frame that holds a dictionary.
 DICTIONARY_FRAME = 0x184D2A5D
@@ -124,7 +124,7 @@ def write_archives(pages: DataFrame, folder: str | None = None, page_id: str = "
             files.move(draft, f"{name}.warc.zst")
             yield pa.RecordBatch.from_pydict({"file": [f"{folder}/{name[len(base) + 1:]}.warc.zst"], "records": [count], "bytes": [size]})
 
-    return [r.asDict() for r in rows.mapInArrow(run, "file string, records long, bytes long").collect()]
+    return [r.asDict() for r in rows.mapInArrow(trimmed(run), "file string, records long, bytes long").collect()]
 
 
 def records(uri: str) -> Iterator[tuple[dict[str, str], bytes]]:
@@ -173,4 +173,4 @@ def read_archives(spark: SparkSession, manifest: list[dict]) -> DataFrame:
 
     files = spark.createDataFrame([(m["file"],) for m in manifest], "file string")
     schema = "page_id long, url string, record_type string, refers_to long, payload_bytes long, payload_digest string, payload binary"
-    return files.repartition(max(1, len(manifest)), "file").mapInArrow(run, schema)
+    return files.repartition(max(1, len(manifest)), "file").mapInArrow(trimmed(run), schema)
