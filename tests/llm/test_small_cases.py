@@ -309,6 +309,35 @@ def test_lm_probabilities_sum_to_one():
     assert ((nodes[:, :-1] * 2 + went[:, :-1]) == nodes[:, 1:]).all()
 
 
+def test_lm_contexts_grow_with_the_corpus(spark):
+    """Words that come nine times among 600,000 tell their followers, and counts along paths are those of all training texts."""
+    from folioflow.llm import lm
+
+    rng = np.random.default_rng(6)
+    out = lambda i: zlib.crc32(str(i).encode()) % 5 == 1
+    ids, held = [i for i in range(4000) if not out(i)], [i for i in range(4000) if out(i)]
+    told = " ".join(f"a{i}zz b{i}zz" for i in range(40))
+    train = [(i, told if k < 9 else " ".join(f"w{x}zz" for x in rng.integers(0, 50_000, 600))) for k, i in enumerate(ids[:1009])]
+    other = " ".join(f"a{i}zz b{(i + 7) % 40}zz" for i in range(40))
+    rows = [*train, (held[0], told), (held[1], other)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    score = {r.doc_id: r.score for r in score_documents(df).collect()}
+    assert score[held[0]] - score[held[1]] > 40
+    assert lm.bits_for(8 << 14) == 14 and lm.bits_for(1) == lm.BITS
+
+    pairs = np.sort(rng.integers(0, 1 << 63, 500, dtype=np.uint64) >> np.uint64(47))
+    pairs, times = np.unique(pairs, return_counts=True)
+    times[3] = 100_000
+    again = lm.unpacked_pairs(lm.packed_pairs(pairs, times), len(pairs))
+    assert (again[0] == pairs).all() and (again[1] == times).all()
+    along = lm.paths(pairs, times, 12)
+    for k in range(14):
+        group = pairs >> np.uint64(13 - k)
+        assert all(along[k, i] == times[group == group[i]].sum() for i in range(0, len(pairs), 50))
+    some = np.flatnonzero(rng.random(len(pairs)) < 0.5)
+    assert (lm.unpacked_paths(lm.packed_paths(pairs[some], along[:, some], 12), pairs[some], 12) == along[:, some].T).all()
+
+
 def test_sharding(spark, docs, rows, empty):
     big = spark.createDataFrame([*rows, (99, "x" * 9000, "en", "a", 0, "x", "y", 7)] + [(77, "same key " * 40, "en", "a", 0, "x", "y", 7)] * 12, SCHEMA)
     got = extendible_shards(big, 2000).collect()
