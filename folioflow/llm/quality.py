@@ -40,7 +40,8 @@ class QualityRules:
     ``share``: part of a group that the concentrated subset holds. ``tail``: probability under a
     normal distribution of a distance beyond the cut-off, small because clean documents must stay.
     ``floors``: standard deviations added to those found, in the units of the vector, because most
-    documents have no symbol and no repeated line at all. ``least``: smaller groups use their
+    documents have no symbol and no repeated line at all; small enough that among such documents one
+    with 5 repeated lines per 100 words, or with 19% of repeated words, passes the cut-off. ``least``: smaller groups use their
     language's estimate, then that of all documents, and are kept if that is too small as well.
     """
 
@@ -48,7 +49,7 @@ class QualityRules:
     most_repeats: float = 0.2
     share: float = 0.75
     tail: float = 1e-7
-    floors: tuple[float, ...] = (0.1, 0.03, 0.25, 1.0, 1.0)
+    floors: tuple[float, ...] = (0.1, 0.03, 0.25, 0.25, 0.45)
     least: int = 60
     steps: int = 5
 

@@ -243,6 +243,19 @@ def test_quality_rules(spark, docs, rows, empty):
     assert chi2_cdf(chi2_quantile(0.75, 5), 5) == pytest.approx(0.75) and cutoff(QualityRules(tail=0.01)) == pytest.approx(chi2_quantile(0.99, 5), rel=0.01)
 
 
+def test_quality_rules_reject_repeated_lines_and_words(spark):
+    rng = random.Random(9)
+    clean = [(i, prose(rng, rng.randint(150, 300)), "en", "big", 0, "x", "y", 7) for i in range(150)]
+    menu = "\n".join(f"item{i} price{i}\nAdd to cart" for i in range(40))
+    passage = prose(rng, 19)
+    twice = f"{passage} {prose(rng, 81)} {passage} {prose(rng, 81)}"
+    df = spark.createDataFrame([*clean, (500, menu, "en", "big", 0, "x", "y", 7), (501, twice, "en", "big", 0, "x", "y", 7)], SCHEMA)
+    got = {r.doc_id: r for r in quality_report(df).collect()}
+    assert not got[500].base_failed and got[500].n_dup_lines == 39 and not got[500].kept
+    assert not got[501].base_failed and got[501].n_repeat_words == 38 and not got[501].kept
+    assert all(got[r[0]].kept for r in clean)
+
+
 def test_nearest_neighbours(spark):
     rng = np.random.default_rng(4)
     vectors = rng.normal(size=(700, 8))
