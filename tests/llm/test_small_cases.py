@@ -166,6 +166,7 @@ def test_ngram_join(docs, rows, empty, monkeypatch):
 
     monkeypatch.setattr(ngram_join, "BLOCK", 3)  # groups over several blocks
     monkeypatch.setattr(ngram_join, "MOST_SENT", -1)
+    monkeypatch.setattr(ngram_join, "MOST_BYTES", -1)
     assert Counter(tuple(r) for r in similar_documents(docs).select("doc_id", "class_id", "n_links").collect()) == want
     assert similar_documents(empty).count() == 0
     left = keep_one_of_each(docs)
@@ -174,6 +175,55 @@ def test_ngram_join(docs, rows, empty, monkeypatch):
     assert ids == sorted({(r[0]) for r in want if r[0] is None or r[0] == r[1]}, key=lambda x: (x is None, x))
 
 
+def near_copies(rng, n, most):
+    """Copies of one text with up to ``most`` words changed, some of which change alike, and what else shares its buckets."""
+    base = prose(rng, 100).split()
+    out = []
+    for i in range(n):
+        words = list(base)
+        for _ in range(rng.randint(0, most)):
+            at = rng.randrange(100)
+            words[at] = f"new{rng.randrange(3) if rng.random() < 0.5 else i}"
+        out.append((i, " ".join(words), "en", "a", 0, "x", "y", 7))
+    return out
+
+
+def test_ngram_join_in_a_large_group(spark, monkeypatch):
+    from folioflow.llm import ngram_join
+
+    made = near_copies(random.Random(5), 150, 4)
+    monkeypatch.setattr(ngram_join, "BLOCK", 8)
+    got = Counter(tuple(r) for r in similar_documents(spark.createDataFrame(made, SCHEMA)).select("doc_id", "class_id", "n_links").collect())
+    assert got == Counter(links_of(made))
+
+
+def test_ngram_join_rows_grow_with_the_group(spark, monkeypatch):
+    from folioflow.llm import ngram_join
+
+    whole, made = ngram_join.dealt, {}
+
+    def counted(members, group, key):
+        out = whole(members, group, key)
+        made[n] = made.get(n, 0) + out.count()
+        return out
+
+    monkeypatch.setattr(ngram_join, "BLOCK", 16)
+    monkeypatch.setattr(ngram_join, "dealt", counted)
+    for n in (400, 1600):
+        docs = spark.createDataFrame(near_copies(random.Random(n), n, 1), SCHEMA)
+        assert similar_documents(docs).filter(f"n_links <> {n - 1}").count() == 0
+    assert made[1600] <= 5 * max(made[400], 400)
+
+
+def test_keep_one_of_rows_that_share_an_id(spark):
+    rng = random.Random(12)
+    one, other = prose(rng, 80), prose(rng, 80)
+    made = [(1, one), (2, one + " end"), (2, other), (3, other), (3, None), (4, "")]
+    docs = spark.createDataFrame([(*r, "en", "a", 0, "x", "y", 7) for r in made], SCHEMA)
+    left = Counter((r.doc_id, r.text) for r in keep_one_of_each(docs.union(docs.filter("doc_id = 1"))).collect())
+    assert left == Counter([(1, one), (2, other), (3, None), (4, "")])
+
+
 def test_mixing(docs, rows, empty):
     mix = Mix(block_words=8)
     got = mix_report(docs, mix=mix).collect()
