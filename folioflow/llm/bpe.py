@@ -1,14 +1,19 @@
 """BPE encoding and decoding with tree concatenation.
 
-White space never enters a token of the word-based vocabularies used here, so a text splits at
-ASCII white space into chunks that encode on their own. Chunks repeat, so each worker remembers the
-ids of those it has seen. A long chunk without a split point is encoded by tree concatenation:
-its halves (down to leaves) are encoded in one parallel batch, and at each join a window around
-the cut is encoded anew, growing until its outermost tokens equal those of both sides.
+A text over LEAF_BYTES is halved until its leaves are no longer. The leaves of many texts are encoded
+in one parallel batch; then halves are joined level by level: a window around the cut, a few chunks
+(runs without white space) to either side, is encoded anew by the tokenizers library, and grows until
+the ids of its outermost chunks equal those that both sides hold for them.
+
+White space never enters a token of the word-based vocabularies used here, so chunks encode on their
+own, and agreement on a chunk proves the seam there. Chunks repeat, so each worker remembers the ids of
+those it has seen. No cut lies in a chunk over UNSPLIT_BYTES: such a chunk is encoded by the same
+method on the symbols of its unsplit pieces, with windows of tokens.
 """
 
 from __future__ import annotations
 
+import gc
 import json
 import re
 from array import array
@@ -23,20 +28,60 @@ from pyspark.sql.types import StringType
 
 from folioflow.llm.common import free_name, trimmed
 
-#: Chunks over so many bytes are encoded by tree concatenation.
+#: Longer texts are encoded by tree concatenation; its leaves have at most so many bytes.
+LEAF_BYTES = 1024
+#: Chunks over so many bytes have a tree of their own, whose leaves have at most so many symbols.
 UNSPLIT_BYTES = 4096
-#: Leaves of that tree have at most so many symbols.
 LEAF_SYMBOLS = 1024
-#: A worker forgets its chunks when it holds so many.
-CACHED_CHUNKS = 250_000
+#: A worker forgets its chunks, or its pieces of letters and signs, when they hold about so many bytes.
+CACHED_BYTES = 96 << 20
+#: What an entry takes beside its ids.
+ENTRY_BYTES = 200
 #: New chunks are encoded so many at a time, because the library's results take much memory.
 BATCH_CHUNKS = 4096
 #: Latin letters (all of them precomposed), then ASCII signs that start neither a contraction nor a special token.
 PLAIN = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]*)([!-&(-/:;=-@\[-`{-~]*)")
-#: Stands for the end of a word; no UTF-8 text has this byte.
-END = b"\xff"
+#: The splitting pattern of the vocabularies for which plain chunks are put together from letters and signs (a fixed value).
+WORDS_AND_SIGNS = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+SPACE = re.compile(rb"[\t-\r ]")
 #: Texts are handled in slices of about so many bytes.
-SLICE_BYTES = 1 << 20
+SLICE_BYTES = 4 << 20
+
+
+@lru_cache(maxsize=1)
+def symbols_by_byte() -> dict[int, str]:
+    """The symbol that stands for each byte that does not stand for itself: bytes without a visible Latin-1 character have those from 256 on, in order."""
+    hidden = [b for b in range(256) if not (33 <= b <= 126 or 161 <= b <= 172 or 174 <= b <= 255)]
+    return {b: chr(256 + i) for i, b in enumerate(hidden)}
+
+
+def byte_symbols(piece: str) -> str:
+    """A piece in the symbols of a byte-level vocabulary."""
+    return piece.encode().decode("latin-1").translate(symbols_by_byte())
+
+
+class Memo(dict):
+    """Ids by bytes or text, emptied when it has grown too large."""
+
+    held = 0
+
+    def keep(self, pairs: list[tuple]) -> None:
+        self.held += ENTRY_BYTES * len(pairs) + sum(len(v) for _, v in pairs)
+        self.update(pairs)
+
+    def trim(self, most: int) -> None:
+        if self.held > most:
+            self.clear()
+            self.held = 0
+
+
+class Node:
+    """A stretch of a text: its chunks and their ids, and whether a chunk goes on beyond its end."""
+
+    __slots__ = ("ids", "open", "words")
+
+    def __init__(self, words: list[bytes], ids: list[bytes], going_on: bool):
+        self.words, self.ids, self.open = words, ids, going_on
 
 
 class Encoder:
@@ -56,71 +101,133 @@ class Encoder:
         self.shown = [t.encode() for t in self.tokens]
         self.ends = self.tokenizer.model.end_of_word_suffix or ""
         self.lengths = [len(t.removesuffix(self.ends)) if self.ends else len(t) for t in self.tokens]
-        self.chunks: dict[bytes, bytes] = {}
-        self.piece = self.ranked()
-
-    def ranked(self):
-        """A function that merges one piece of bytes with an end mark by rank, or None where the vocabulary doesn't allow it.
-
-        Where ids count on with the merges, the id of a merged token is its merge's rank, and merging
-        by rank is what tiktoken does, several times faster. Both agree if every token's own text
-        encodes to that token alone, which is how such vocabularies are built.
-        """
-        import tiktoken
+        self.chunks, self.pieces = Memo(), Memo()
+        self.splits_plainly = self.letters_and_signs()
+        self.joins = 0
 
+    def letters_and_signs(self) -> bool:
+        """Whether the vocabulary's own steps split plain chunks into lower-case letters and signs, as ``learn`` does."""
         told = json.loads(self.tokenizer.to_str())
-        model, steps = told["model"], [x["type"] for x in (told["pre_tokenizer"] or {}).get("pretokenizers", [])]
+        steps = (told["pre_tokenizer"] or {}).get("pretokenizers", [])
         normal = [x["type"] for x in (told["normalizer"] or {}).get("normalizers", [])]
-        vocab, merges = model["vocab"], model["merges"]
-        first = len(vocab) - len(merges)
-        in_order = all(vocab.get("".join(m)) == first + i for i, m in enumerate(merges))
-        if not in_order or self.ends != "</w>" or steps != ["Split", "ByteLevel"] or normal != ["NFC", "Replace", "Lowercase"]:
-            return None
-        shown = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or 174 <= b <= 255]
-        hidden = [b for b in range(256) if b not in shown]
-        byte_of = {chr(b): b for b in shown} | {chr(256 + i): b for i, b in enumerate(hidden)}
-        ranks = {bytes(byte_of[c] for c in t.removesuffix(self.ends)) + END * t.endswith(self.ends): i for t, i in vocab.items()}
-        ranks |= {bytes([b]): len(vocab) + b for b in range(256) if bytes([b]) not in ranks}
-        own = tiktoken.Encoding("ranked", pat_str=r"\S+", mergeable_ranks=ranks, special_tokens={})
-        return own._core_bpe.encode_single_piece
-
-    def plain(self, word: bytes) -> bytes | None:
-        """The ids of a chunk of Latin letters and then ASCII signs, which needs neither normalizing nor splitting but at one place."""
-        found = PLAIN.fullmatch(word.decode("utf-8", "replace"))
-        if not found:
-            return None
-        letters, signs = found.groups()
-        ids = self.piece(letters.lower().encode() + END) if letters else []
-        return array("I", ids + self.piece(signs.encode() + END) if signs else ids).tobytes()
+        return normal == ["NFC", "Replace", "Lowercase"] and [x["type"] for x in steps] == ["Split", "ByteLevel"] and steps[0]["pattern"].get("Regex") == WORDS_AND_SIGNS
+
+    def model_ids(self, pieces: list[str]) -> list[list[int]]:
+        return [e.ids for e in self.model_only.encode_batch_fast(pieces, add_special_tokens=False)]
 
     def learn(self, texts: list[list[bytes]]) -> None:
-        """Remember the ids of the chunks not seen before."""
-        if len(self.chunks) > CACHED_CHUNKS:
-            self.chunks.clear()
+        """Remember the ids of the chunks not seen before; plain ones are put together from their letters and signs."""
+        self.chunks.trim(CACHED_BYTES)
+        self.pieces.trim(CACHED_BYTES)
         fresh = [w for w in set().union(*texts).difference(self.chunks) if len(w) <= UNSPLIT_BYTES]
-        if self.piece:
-            found = [(w, self.plain(w)) for w in fresh]
-            self.chunks.update(x for x in found if x[1] is not None)
-            fresh = [w for w, ids in found if ids is None]
+        if self.splits_plainly:
+            rest, plain, match = [], [], PLAIN.fullmatch
+            for w in fresh:
+                found = match(w.decode("utf-8", "replace"))
+                if found is None:
+                    rest.append(w)
+                else:
+                    plain.append((w, found[1].lower(), found[2]))
+            wanted = {p for _, letters, signs in plain for p in (letters, signs)}.difference(self.pieces)
+            wanted.discard("")
+            ordered = list(wanted)
+            for at in range(0, len(ordered), BATCH_CHUNKS):
+                some = ordered[at : at + BATCH_CHUNKS]
+                found = self.model_ids([p if p.isascii() else byte_symbols(p) for p in some])
+                self.pieces.keep([(p, array("I", ids).tobytes()) for p, ids in zip(some, found, strict=True)])
+            ids_of = self.pieces.get
+            self.chunks.keep([(w, ids_of(letters, b"") + ids_of(signs, b"")) for w, letters, signs in plain])
+            fresh = rest
         for at in range(0, len(fresh), BATCH_CHUNKS):
             words = fresh[at : at + BATCH_CHUNKS]
-            found = self.tokenizer.encode_batch_fast([w.decode("utf-8", "replace") for w in words], add_special_tokens=False)
-            self.chunks.update(zip(words, [array("I", e.ids).tobytes() for e in found], strict=True))
+            self.chunks.keep(list(zip(words, self.whole(words), strict=True)))
 
-    def encode(self, texts: list[bytes]) -> list[bytes]:
-        """The texts' ids as little-endian unsigned 32-bit integers."""
-        split = [t.split() for t in texts]
-        self.learn(split)
-        return [self.joined_chunks(words) for words in split]
+    def whole(self, texts: list[bytes]) -> list[bytes]:
+        """The library's ids of each text."""
+        found = self.tokenizer.encode_batch_fast([t.decode("utf-8", "replace") for t in texts], add_special_tokens=False)
+        return [array("I", e.ids).tobytes() for e in found]
 
-    def joined_chunks(self, words: list[bytes]) -> bytes:
+    def ids_of(self, words: list[bytes]) -> list[bytes]:
         try:
-            return b"".join(map(self.chunks.__getitem__, words))
+            return list(map(self.chunks.__getitem__, words))
         except KeyError:  # a long one among them
-            return b"".join([self.chunks[w] if w in self.chunks else self.unsplit(w) for w in words])
+            return [self.chunks[w] if w in self.chunks else self.unsplit(w) for w in words]
+
+    def encode(self, texts: list[bytes]) -> list[bytes]:
+        """The texts' ids as little-endian unsigned 32-bit integers."""
+        collecting = gc.isenabled()
+        gc.disable()  # nothing here has cycles, and the memo is large to walk
+        try:
+            return self.encoded(texts)
+        finally:
+            if collecting:
+                gc.enable()
+
+    def encoded(self, texts: list[bytes]) -> list[bytes]:
+        bounds = [self.cuts(t) for t in texts]
+        leaves = [[t[a:b].split() for a, b in zip(ends, ends[1:], strict=False)] for t, ends in zip(texts, bounds, strict=True)]
+        self.learn([words for each in leaves for words in each])
+        trees = []
+        for text, ends, each in zip(texts, bounds, leaves, strict=True):
+            trees.append([Node(words, self.ids_of(words), end < len(text) and not text[end - 1 : end].isspace() and not text[end : end + 1].isspace()) for words, end in zip(each, ends[1:], strict=True)])
+        while any(len(nodes) > 1 for nodes in trees):
+            pairs = [(nodes[i], nodes[i + 1]) for nodes in trees for i in range(0, len(nodes) - 1, 2)]
+            joined = iter(self.concatenated(pairs))
+            trees = [[next(joined) if i + 1 < len(nodes) else nodes[i] for i in range(0, len(nodes), 2)] for nodes in trees]
+        return [b"".join(nodes[0].ids) if nodes else b"" for nodes in trees]
+
+    def cuts(self, text: bytes) -> list[int]:
+        """Where a text's leaves begin and end: halves of halves, moved to the beginning of a symbol, none in a long chunk."""
+        n = len(text)
+        parts = 1
+        while parts * LEAF_BYTES < n:
+            parts *= 2
+        ends, beyond = [0], 0
+        for i in range(1, parts):
+            at = n * i // parts
+            while at < n and text[at] & 0xC0 == 0x80:
+                at += 1
+            if at <= beyond:  # in a long chunk
+                continue
+            start = max(text.rfind(s, max(0, at - UNSPLIT_BYTES), at) for s in (b" ", b"\n", b"\t", b"\r", b"\x0b", b"\x0c")) + 1
+            after = SPACE.search(text, at, at + UNSPLIT_BYTES)
+            if (start or at < UNSPLIT_BYTES) and (after or n - at < UNSPLIT_BYTES) and (after.start() if after else n) - start <= UNSPLIT_BYTES:
+                if at > ends[-1]:
+                    ends.append(at)
+                continue
+            after = SPACE.search(text, at)
+            at = beyond = after.start() if after else n
+            if ends[-1] < at < n:
+                ends.append(at)
+        return [*ends, n] if n else [0]
+
+    def concatenated(self, pairs: list[tuple[Node, Node]]) -> list[Node]:
+        """Each pair of neighbours as one node, by windows around the cut that grow until both sides agree."""
+        out: list[Node | None] = [None] * len(pairs)
+        waiting, k = range(len(pairs)), 2
+        while waiting:
+            windows = [b" ".join(a.words[-k:]) + (b"" if a.open else b" ") + b" ".join(b.words[:k]) for a, b in (pairs[i] for i in waiting)]
+            left = []
+            for i, window, ids in zip(waiting, windows, self.whole(windows), strict=True):
+                a, b = pairs[i]
+                first, last = len(a.words) > k, len(b.words) > k  # beyond an end of both there is nothing to agree on
+                head = a.ids[-k] if first else b""
+                tail = b.ids[k - 1] if last else b""
+                if len(ids) < len(head) + len(tail) or not ids.startswith(head) or not ids.endswith(tail):
+                    left.append(i)
+                    continue
+                # the window between the chunks that agree is one run of whole chunks from now on
+                middle = window[len(a.words[-k]) if first else 0 : len(window) - (len(b.words[k - 1]) if last else 0)]
+                keep_a, keep_b = (len(a.words) - k + 1 if first else 0), (k - 1 if last else len(b.words))
+                out[i] = Node([*a.words[:keep_a], middle, *b.words[keep_b:]], [*a.ids[:keep_a], ids[len(head) : len(ids) - len(tail)], *b.ids[keep_b:]], b.open)
+                self.joins += 1
+            waiting, k = left, 2 * k
+        return out
 
     def decode(self, ids: bytes) -> bytes:
-        """The text of some ids, special tokens included: without a decoder in the vocabulary, tokens joined by spaces."""
+        """The text of some ids, special tokens included; without a decoder in the vocabulary, that is its tokens joined by spaces."""
+        if self.tokenizer.decoder is not None:
+            return self.tokenizer.decode(memoryview(ids).cast("I").tolist(), skip_special_tokens=False).encode()
         return b" ".join(map(self.shown.__getitem__, memoryview(ids).cast("I")))
 
     def unsplit(self, chunk: bytes) -> bytes:

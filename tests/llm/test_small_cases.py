@@ -91,6 +91,22 @@ def test_long_unsplit_text_and_plain_chunks():
     assert all(len(e.ids) == 1 for e in encoder.model_only.encode_batch([t.removesuffix("</w>") for t in whole]))
 
 
+def test_tree_concatenation_of_long_texts(spark):
+    encoder, rng = Encoder(VOCABULARY), random.Random(2)
+    library = encoder.tokenizer
+    signs = "abcXYZ  \n\t'éÉñ1%<|日é   \x1c\x85"
+    for k in range(60):
+        text = "".join(rng.choice(signs) for _ in range(rng.randint(0, 9000)))
+        text = text.replace("%", "<|endoftext|>") if k % 3 == 0 else text
+        text = text.replace(" ", "") if k % 5 == 0 else text
+        assert np.frombuffer(encoder.encode([text.encode()])[0], "<u4").tolist() == library.encode(text, add_special_tokens=False).ids
+    before = encoder.joins
+    long = [prose(rng, 20_000), "x y " + "abcdefg" * 150_000 + " end", "Ti wh, " * 3000, "\n" * 5000 + "a" + " " * 5000]
+    got = encoder.encode([t.encode() for t in long])
+    assert [np.frombuffer(g, "<u4").tolist() for g in got] == [library.encode(t, add_special_tokens=False).ids for t in long]
+    assert encoder.joins > before + 100
+
+
 def test_elias_fano():
     rng = np.random.default_rng(0)
     for n, most in [(0, 1), (1, 0), (1, 10**12), (5000, 4), (5000, 10**9), (1500, 1500)]:
@@ -306,25 +322,75 @@ def test_quality_rules_reject_repeated_lines_and_words(spark):
     assert all(got[r[0]].kept for r in clean)
 
 
-def test_nearest_neighbours(spark):
+def brute_neighbours(rows, asked, k):
+    """Of each row that is asked for, its id and the k best others; ties to the smaller id."""
+    found = Counter()
+    for q, (name, v) in enumerate(rows):
+        if asked(name):
+            scores = [(-round(float((np.array(v) * np.array(w)).sum()), 9), other) for i, (other, w) in enumerate(rows) if i != q]
+            found[(name, tuple(i for _, i in sorted(scores)[:k]))] += 1
+    return found
+
+
+def found_neighbours(df, k, **options):
+    by = defaultdict(list)
+    for r in nearest_neighbours(df, F.col("vec_id") % 20 == 0, k=k, **options).orderBy("query_id", "rank").collect():
+        by[r.query_id].append(r.vec_id)
+    return by
+
+
+def test_nearest_neighbours(spark, monkeypatch):
+    from folioflow.llm import ann
+
     rng = np.random.default_rng(4)
     vectors = rng.normal(size=(700, 8))
     vectors[100:140] = vectors[100]  # ties
     rows = [(i, [float(x) for x in v]) for i, v in enumerate(vectors)]
     bad = [(700, None), (701, [0.0] * 8), (702, [float("nan")] + [1.0] * 7), (703, [None] + [1.0] * 7), (704, [float("inf")] + [1.0] * 7), (705, []), (706, [1.0, 2.0]), (None, [1.0] * 8)]
-    df = spark.createDataFrame([*rows, *bad], "vec_id long, embedding array<double>")
-    got = defaultdict(list)
-    for r in nearest_neighbours(df, df.filter("vec_id % 20 = 0"), k=5).orderBy("query_id", "rank").collect():
-        got[r.query_id].append((r.vec_id, r.score))
-    for q in range(0, 700, 20):
-        scores = [(-float((vectors[q] * v).sum()), i) for i, v in enumerate(vectors) if i != q]
-        assert [i for _, i in sorted((round(s, 9), i) for s, i in scores)[:5]] == [i for i, _ in got[q]]
-    assert set(got) == set(range(0, 700, 20))
-    ids = np.arange(700)
-    exact, _ = VantageTree.build(ids, vectors).search(ids[::20], vectors[::20], 5, 1.0)
-    relaxed, _ = VantageTree.build(ids, vectors).search(ids[::20], vectors[::20], 5, 0.6)
-    assert np.mean([len(set(a) & set(b)) / 5 for a, b in zip(exact, relaxed, strict=True)]) >= 0.9
+    df = spark.createDataFrame([(*r, 7, "x") for r in [*rows, *bad]], "vec_id long, embedding array<double>, row int, dims string")
+    want = brute_neighbours(rows, lambda i: i % 20 == 0, 5)
+    assert Counter((q, tuple(ids)) for q, ids in found_neighbours(df, 5).items()) == want
+    monkeypatch.setattr(ann, "SHARD_BYTES", 64 * 8 * 8)  # several shards, and trees of several pieces
+    assert Counter((q, tuple(ids)) for q, ids in found_neighbours(df, 5).items()) == want
     assert nearest_neighbours(df.limit(0), k=5).count() == 0
+    score = nearest_neighbours(df, F.col("vec_id") == 20, k=1).first()
+    assert score.score == pytest.approx(float(vectors[20] @ vectors[score.vec_id]), abs=1e-12)
+
+
+def test_nearest_neighbours_with_repeated_ids(spark):
+    df = spark.createDataFrame([(0, [1.0, 0.0]), (1, [5.0, 0.0]), (1, [9.0, 0.0]), (0, [2.0, 0.0]), (3, [4.0, 1.0]), (3, [4.0, 1.0])], "vec_id long, embedding array<double>")
+    got = Counter((r.query_id, r["rank"], r.vec_id, r.score) for r in nearest_neighbours(df, F.col("vec_id") == 0, k=3).collect())
+    assert got == Counter([(0, 1, 1, 9.0), (0, 2, 1, 5.0), (0, 3, 3, 4.0), (0, 1, 1, 18.0), (0, 2, 1, 10.0), (0, 3, 3, 8.0)])
+
+
+def test_vantage_trees_prune(spark, monkeypatch):
+    from folioflow.llm import ann
+
+    rng = np.random.default_rng(6)
+    centres = rng.normal(size=(60, 16))
+    vectors = centres[rng.integers(0, 60, 6000)] + 0.05 * rng.normal(size=(6000, 16))
+    vectors /= np.linalg.norm(vectors, axis=1)[:, None]
+    ids, asked = np.arange(6000), np.arange(0, 6000, 20)
+    tree = VantageTree.build(ids, ids, vectors)
+    assert len(tree.nodes) > 100  # several levels
+    scores = vectors[asked] @ vectors.T
+    scores[np.arange(len(asked)), asked] = -np.inf
+    want = np.argsort(-scores, axis=1)[:, :10]
+    seen = []
+    for factor, recall in ((1.0, 1.0), (0.7, 0.9), (0.5, 0.9)):
+        tree.seen = 0
+        got, _ = tree.search(asked, vectors[asked], 10, factor)
+        seen.append(tree.seen / (6000 * len(asked)))
+        assert np.mean([len(set(a) & set(b)) / 10 for a, b in zip(got, want, strict=True)]) >= recall
+    assert seen[0] < 0.5 and seen == sorted(seen, reverse=True) and seen[2] < seen[0]
+    monkeypatch.setattr(ann, "SHARD_BYTES", 500 * 16 * 8)
+    visits = []
+    whole = ann.Index.search
+    monkeypatch.setattr(ann.Index, "search", lambda self, some, *more: (visits.append(some.count()), whole(self, some, *more))[1])
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(vectors)], "vec_id long, embedding array<double>")
+    got = found_neighbours(df, 10)
+    assert all(set(got[q]) == set(w.tolist()) for q, w in zip(asked.tolist(), want, strict=True))
+    assert sum(visits) < 0.7 * len(asked) * 16
 
 
 @pytest.mark.parametrize("held", [True, False])
