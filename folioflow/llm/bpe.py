@@ -29,7 +29,7 @@ from pyspark.sql.types import StringType
 from folioflow.llm.common import free_name, trimmed
 
 #: Longer texts are encoded by tree concatenation; its leaves have at most so many bytes.
-LEAF_BYTES = 1024
+LEAF_BYTES = 2048
 #: Chunks over so many bytes have a tree of their own, whose leaves have at most so many symbols.
 UNSPLIT_BYTES = 4096
 LEAF_SYMBOLS = 1024
@@ -89,6 +89,7 @@ class Encoder:
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
+        from tokenizers.pre_tokenizers import WhitespaceSplit
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
@@ -101,6 +102,9 @@ class Encoder:
         self.shown = [t.encode() for t in self.tokens]
         self.ends = self.tokenizer.model.end_of_word_suffix or ""
         self.lengths = [len(t.removesuffix(self.ends)) if self.ends else len(t) for t in self.tokens]
+        self.by_space = Tokenizer(self.tokenizer.model)
+        self.by_space.pre_tokenizer = WhitespaceSplit()
+        self.last = np.array([bool(self.ends) and t.endswith(self.ends) for t in self.tokens])
         self.chunks, self.pieces = Memo(), Memo()
         self.splits_plainly = self.letters_and_signs()
         self.joins = 0
@@ -110,10 +114,16 @@ class Encoder:
         told = json.loads(self.tokenizer.to_str())
         steps = (told["pre_tokenizer"] or {}).get("pretokenizers", [])
         normal = [x["type"] for x in (told["normalizer"] or {}).get("normalizers", [])]
-        return normal == ["NFC", "Replace", "Lowercase"] and [x["type"] for x in steps] == ["Split", "ByteLevel"] and steps[0]["pattern"].get("Regex") == WORDS_AND_SIGNS
+        return normal == ["NFC", "Replace", "Lowercase"] and [x["type"] for x in steps] == ["Split", "ByteLevel"] and steps[0]["pattern"].get("Regex") == WORDS_AND_SIGNS and bool(self.ends)
 
-    def model_ids(self, pieces: list[str]) -> list[list[int]]:
-        return [e.ids for e in self.model_only.encode_batch_fast(pieces, add_special_tokens=False)]
+    def piece_ids(self, pieces: list[str]) -> list[bytes]:
+        """The ids of pieces without white space, each of which ends with an end-of-word token."""
+        ids = np.array(self.by_space.encode(" ".join(pieces), add_special_tokens=False).ids, dtype="<u4")
+        ends = np.append(0, np.flatnonzero(self.last[ids]) + 1) * 4
+        if len(ends) != len(pieces) + 1 or ends[-1] != 4 * len(ids):
+            raise ValueError("the vocabulary does not end each word by a token with its suffix")
+        flat = ids.tobytes()
+        return [flat[a:b] for a, b in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True)]
 
     def learn(self, texts: list[list[bytes]]) -> None:
         """Remember the ids of the chunks not seen before; plain ones are put together from their letters and signs."""
@@ -133,8 +143,7 @@ class Encoder:
             ordered = list(wanted)
             for at in range(0, len(ordered), BATCH_CHUNKS):
                 some = ordered[at : at + BATCH_CHUNKS]
-                found = self.model_ids([p if p.isascii() else byte_symbols(p) for p in some])
-                self.pieces.keep([(p, array("I", ids).tobytes()) for p, ids in zip(some, found, strict=True)])
+                self.pieces.keep(list(zip(some, self.piece_ids([p if p.isascii() else byte_symbols(p) for p in some]), strict=True)))
             ids_of = self.pieces.get
             self.chunks.keep([(w, ids_of(letters, b"") + ids_of(signs, b"")) for w, letters, signs in plain])
             fresh = rest

@@ -33,6 +33,8 @@ SAMPLE = 512
 #: Numbers are packed so many at a time, and ids are read for so many documents at a time.
 BLOCK = 1 << 14
 READ_DOCS = 256
+#: A file holds the ids of about so many bytes of text.
+FILE_BYTES = 64 << 20
 
 
 class EliasFano:
@@ -86,60 +88,97 @@ MANIFEST = T.StructType(
 )
 
 
-def write_token_files(docs: DataFrame, vocabulary: str, end_id: int, folder: str | None = None, text: str = "text", doc_id: str = "doc_id") -> list[dict]:
+def encoded(rows: DataFrame, vocabulary: str, end_id: int, edges: list[int]) -> DataFrame:
+    """part (how many of ``edges`` a doc_id exceeds), doc_id and ids (2 or 4 bytes each, ``end_id`` last) of every row."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encoder, inner = encoder_of(vocabulary), np.array(edges, dtype=np.int64)
+        kind = "<u4" if len(encoder.tokens) > 1 << 16 or end_id >= 1 << 16 else "<u2"
+        for batch in batches:
+            at = 0
+            for texts in slices(batch.column(1)):
+                found = [np.append(np.frombuffer(ids, "<u4"), np.uint32(end_id)).astype(kind).tobytes() for ids in encoder.encode(texts)]
+                names = batch.column(0).slice(at, len(texts))
+                known = names.is_valid().to_numpy(zero_copy_only=False)
+                part = np.where(known, np.searchsorted(inner, names.fill_null(0).to_numpy()), 0).astype(np.int32)
+                yield pa.RecordBatch.from_arrays([pa.array(part), names, pa.array(found, pa.binary()), pa.array(np.full(len(texts), kind == "<u4"))], names=["part", "doc_id", "ids", "wide"])
+                at += len(texts)
+
+    return rows.mapInArrow(trimmed(run), "part int, doc_id long, ids binary, wide boolean")
+
+
+def write_token_files(docs: DataFrame, vocabulary: str, end_id: int, folder: str | None = None, text: str = "text", doc_id: str = "doc_id", file_bytes: int = FILE_BYTES) -> list[dict]:
     """Encode every whole text, add ``end_id``, and write files in ascending order of doc_id; the files' manifest is returned.
 
-    Each task writes one file, under another name until it is whole, so a task that runs again only
-    replaces the file by its like. Null texts count as empty (the end id alone), null doc ids come
-    first, equal doc ids stay neighbours, other columns don't matter, and an empty table gives no file.
-    The manifest has a row a file; documents and ids stay on the executors.
+    Texts are encoded where they lie; only their ids move, to ranges of doc_id with about equally many
+    documents, a range for about ``file_bytes`` of text. A range's file is written under another name
+    until it is whole, so a task that runs again only replaces the file by its like. Null texts count as
+    empty (the end id alone), null doc ids come first, equal doc ids stay neighbours in the order of
+    their ids, a doc_id that is no whole number raises, other columns don't matter, and an empty table
+    gives no file. The manifest has a row a file; documents and ids stay on the executors.
     """
     spark = docs.sparkSession
     folder = folder or new_folder(spark, "tokens")
-    rows = docs.select(F.col(f"`{doc_id}`").cast("long").alias("doc_id"), F.coalesce(F.col(f"`{text}`").cast("string"), F.lit("")).alias("text"))
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    rows = rows.repartitionByRange(parts, F.asc_nulls_first("doc_id")).sortWithinPartitions(F.asc_nulls_first("doc_id"), "text")
-    rows = rows.select("doc_id", F.col("text").cast("binary").alias("text"))
+    rows = docs.select(F.col(f"`{doc_id}`").cast("long").alias("doc_id"), F.coalesce(F.col(f"`{text}`").cast("string"), F.lit("")).cast("binary").alias("text"))
+    size = rows.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
+    parts = max(1, -(-size // file_bytes))
+    edges = sorted(set(rows.agg(F.percentile_approx("doc_id", [i / parts for i in range(1, parts)], 100 * parts)).first()[0] or [])) if parts > 1 else []
+    laid = encoded(rows, vocabulary, end_id, edges).repartitionById(len(edges) + 1, "part").sortWithinPartitions("part", F.asc_nulls_first("doc_id"), "ids")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        context = TaskContext.get()
-        encoder = encoder_of(vocabulary)
-        wide = len(encoder.tokens) > 1 << 16 or end_id >= 1 << 16
+        encoder_of.cache_clear()  # a worker that has encoded before needs its vocabulary no more
         files, base = file_system(folder)
-        name = f"{base}/tokens-{context.partitionId():06d}"
-        sink, ends, names, total = None, [], [], 0
+        files.create_dir(base, recursive=True)
+        held: PartFile | None = None
         for batch in batches:
-            at = 0
-            for texts in slices(batch.column(1)):
-                if sink is None:
-                    files.create_dir(base, recursive=True)
-                    draft = f"{name}.{context.taskAttemptId()}.draft"
-                    sink = files.open_output_stream(draft, compression=None)
-                    sink.write(MAGIC)
-                for ids in encoder.encode(texts):
-                    flat = np.append(np.frombuffer(ids, "<u4"), np.uint32(end_id))
-                    sink.write(flat.astype("<u4" if wide else "<u2").tobytes())
-                    total += len(flat)
-                    ends.append(total)
-                names += batch.column(0).slice(at, len(texts)).to_pylist()
-                at += len(texts)
-        if sink is None:
-            return
-        nulls = sum(x is None for x in names)
-        known = np.array(names[nulls:], dtype=np.int64)
+            parts = batch.column(0).to_numpy()
+            bounds = [0, *(np.flatnonzero(parts[1:] != parts[:-1]) + 1).tolist(), len(parts)] if len(parts) else [0]
+            for a, b in zip(bounds, bounds[1:], strict=False):
+                if held is None or held.part != parts[a]:
+                    if held is not None:
+                        yield held.whole()
+                    held = PartFile(folder, int(parts[a]), TaskContext.get().taskAttemptId(), batch.column(3)[a].as_py())
+                held.add(batch.column(1).slice(a, b - a).to_pylist(), batch.column(2).slice(a, b - a))
+        if held is not None:
+            yield held.whole()
+
+    return [r.asDict() for r in laid.mapInArrow(trimmed(run), MANIFEST).collect()]
+
+
+class PartFile:
+    """A file as it is written."""
+
+    def __init__(self, folder: str, part: int, attempt: int, wide: bool):
+        self.files, base = file_system(folder)
+        self.folder, self.part, self.wide, self.name = folder, part, wide, f"tokens-{part:07d}.ids"
+        self.target, self.draft = f"{base}/{self.name}", f"{base}/{self.name}.{attempt}.draft"
+        self.sink = self.files.open_output_stream(self.draft, compression=None)
+        self.sink.write(MAGIC)
+        self.ends, self.names, self.total = [], [], 0
+
+    def add(self, names: list[int | None], ids: pa.Array) -> None:
+        for each in ids:
+            flat = each.as_py()
+            self.sink.write(flat)
+            self.total += len(flat) // (4 if self.wide else 2)
+            self.ends.append(self.total)
+        self.names += names
+
+    def whole(self) -> pa.RecordBatch:
+        """Ends the file and tells its row of the manifest."""
+        nulls = sum(x is None for x in self.names)
+        known = np.array(self.names[nulls:], dtype=np.int64)
         first = int(known[0]) if len(known) else 0
-        bounds = EliasFano.pack(np.array(ends, dtype=np.uint64))
+        bounds = EliasFano.pack(np.array(self.ends, dtype=np.uint64))
         keys = EliasFano.pack((known - first).astype(np.uint64))
-        tail = json.dumps({"docs": len(ends), "nulls": nulls, "first": first, "ids": total, "wide": wide, "bounds": len(bounds), "keys": len(keys)}).encode()
-        sink.write(bounds + keys + tail + struct.pack("<I", len(tail)) + MAGIC)
-        sink.close()
-        files.move(draft, f"{name}.ids")
-        size = len(MAGIC) * 2 + total * (4 if wide else 2) + len(bounds) + len(keys) + len(tail) + 4
-        yield pa.RecordBatch.from_pydict({"file": [f"{folder}/{name[len(base) + 1:]}.ids"], "part": pa.array([context.partitionId()], pa.int32()), "docs": [len(ends)], "ids": [total], "bytes": [size]})
-
-    return [r.asDict() for r in rows.mapInArrow(trimmed(run), MANIFEST).collect()]
+        tail = json.dumps({"docs": len(self.ends), "nulls": nulls, "first": first, "ids": self.total, "wide": self.wide, "bounds": len(bounds), "keys": len(keys)}).encode()
+        self.sink.write(bounds + keys + tail + struct.pack("<I", len(tail)) + MAGIC)
+        self.sink.close()
+        self.files.move(self.draft, self.target)
+        size = len(MAGIC) * 2 + self.total * (4 if self.wide else 2) + len(bounds) + len(keys) + len(tail) + 4
+        return pa.RecordBatch.from_pydict({"file": [f"{self.folder}/{self.name}"], "part": pa.array([self.part], pa.int32()), "docs": [len(self.ends)], "ids": [self.total], "bytes": [size]})
 
 
 class TokenFile:
@@ -184,6 +223,7 @@ def read_token_files(spark: SparkSession, manifest: list[dict]) -> DataFrame:
         base += entry["ids"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encoder_of.cache_clear()
         for batch in batches:
             for uri, before in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 held = TokenFile(uri)
