@@ -46,8 +46,7 @@ def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
-    vectors = table(spark, sf_dir, "embeddings")
-    return nearest_neighbours(vectors, vectors.filter("vec_id % 20 = 0"), k=20, factor=PRUNING)
+    return nearest_neighbours(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0, k=20, factor=PRUNING)
 
 
 def op4_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
