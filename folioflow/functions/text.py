@@ -7,6 +7,11 @@ import re
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+#: White space as the format's text rules count it, for use in a pattern's brackets: ASCII blanks, no-break and other spaces, line and paragraph separators, byte-order mark.
+SPACES = "\\t\\n\\x0B\\f\\r \\x{A0}\\x{1680}\\x{2000}-\\x{200A}\\x{2028}\\x{2029}\\x{202F}\\x{205F}\\x{3000}\\x{FEFF}"
+#: The same for Python's patterns.
+PYTHON_SPACES = "\t\n\x0b\x0c\r \xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000\ufeff"
+
 
 def normalized_spaces(x: Column) -> Column:
     """Runs of blanks, tabs, form feeds and vertical tabs become one space; ends are trimmed; line breaks stay."""
@@ -15,13 +20,13 @@ def normalized_spaces(x: Column) -> Column:
 
 def label(x: Column, most: int = 60) -> Column:
     """White space squashed, and cut to ``most`` characters with an ellipsis."""
-    flat = F.btrim(F.regexp_replace(x, "[ \\t\\n\\f\\r\\x0B]+", " "), F.lit(" "))
+    flat = F.btrim(F.regexp_replace(x, f"[{SPACES}]+", " "), F.lit(" "))
     return F.when(F.length(flat) > most, F.concat(F.substring(flat, 1, most - 1), F.lit("…"))).otherwise(flat)
 
 
 def is_list_item(x: Column) -> Column:
     """Lines that start with a bullet, or with a short number or letter and a point or parenthesis."""
-    return x.rlike("^\\s*([•◦▪‣*–-]|\\(?([0-9]{1,3}|[A-Za-z])[.)])\\s+")
+    return x.rlike(f"^[{SPACES}]*([•◦▪‣*–-]|\\(?([0-9]{{1,3}}|[A-Za-z])[.)])[{SPACES}]+")
 
 
 def latin_only(x: Column) -> Column:

@@ -33,6 +33,11 @@ def page_text(runs: DataFrame, keys: list[str], index: str = "run_index") -> Dat
     return told.withColumn("start_index", (F.sum(size).over(w.rowsBetween(Window.unboundedPreceding, 0)) - F.length("text")).cast("int"))
 
 
+def in_visual_order(df: DataFrame, keys: list[str], top: str, left: str, *ties: str) -> DataFrame:
+    """Items numbered from 1 in ``place``: from the top, then from the left, then by ``ties``."""
+    return df.withColumn("place", F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc(top), left, *ties)))
+
+
 def joined_pages(runs: DataFrame, keys: list[str], index: str = "run_index") -> DataFrame:
     """Each page's text."""
     told = page_text(runs, keys, index).groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct(index, F.concat("separator", "text").alias("part")))).alias("parts"))

@@ -6,30 +6,68 @@ import re
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from folioflow.functions.text import pieces, word_at
+from folioflow.functions.text import PYTHON_SPACES, SPACES
 
 
-def _alone(text: Column, start: Column, end: Column) -> Column:
-    return ~word_at(text, start) & ~word_at(text, end + 1)
+_WORD = re.compile("[0-9A-Za-z_]")
+
+
+def _alone(body: str, a: int, b: int) -> bool:
+    return not (a and _WORD.match(body[a - 1])) and not (b < len(body) and _WORD.match(body[b]))
+
+
+def _scanned(df: DataFrame, text: str, places, **columns: str) -> DataFrame:
+    """A row for each tuple that ``places`` gives for a text, with the other columns; one pass over each text in Arrow batches."""
+    names = [*df.columns, *columns]
+    schema = df.select("*", *(F.lit(None).cast(kind).alias(c) for c, kind in columns.items())).schema
+    at = df.columns.index(text)
+    kinds = {"int": pa.int32(), "string": pa.string()}
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows, found = [], []
+            for i, body in enumerate(batch.column(at).to_pylist()):
+                some = places(body) if body else []
+                rows += [i] * len(some)
+                found += some
+            values = zip(*found, strict=True) if found else ([] for _ in columns)
+            taken = batch.take(pa.array(rows, pa.int64()))
+            yield pa.RecordBatch.from_arrays([*taken.columns, *(pa.array(v, kinds[k]) for v, k in zip(values, columns.values(), strict=True))], names=names)
+
+    return df.mapInArrow(run, schema)
 
 
 def find_literal(df: DataFrame, query: str, text: str = "text", case_sensitive: bool = False, whole_word: bool = False) -> DataFrame:
-    """A row for each occurrence, with start and end (0-based, end beyond the last character).
+    """A row for each occurrence, with start and end (0-based code points, end beyond the last character).
 
     Occurrences are taken left to right and don't overlap; the search goes on at a match's end even if
-    the whole-word test rejects it. An empty query finds nothing. Stays in built-in functions.
+    the whole-word test rejects it. An empty query and null texts find nothing; rows that are equal are
+    searched each by itself. Without regard to case, both are lower-cased; where that changes a text's
+    length, places are those of the characters that the match comes from.
     """
     if not query:
         return df.withColumns({"start": F.lit(0), "end": F.lit(0)}).filter(F.lit(False))
-    size = len(query)
-    parts = F.transform(pieces(F.col(text), query, case_sensitive), F.length)
-    found = df.withColumn("_parts", parts).select(*df.columns, "_parts", F.posexplode(F.slice("_parts", F.lit(1), F.greatest(F.size("_parts") - 1, F.lit(0)))).alias("match_index", "_gap"))
-    start = F.aggregate(F.slice("_parts", F.lit(1), F.col("match_index") + 1), F.lit(0), lambda a, n: a + n) + F.col("match_index") * size
-    found = found.withColumn("start", start).withColumn("end", F.col("start") + size).drop("_parts", "_gap")
-    return (found.filter(_alone(F.col(text), F.col("start"), F.col("end"))) if whole_word else found).drop("match_index")
+    sought = query if case_sensitive else query.lower()
+
+    def places(body: str) -> list[tuple[int, int]]:
+        flat = body if case_sensitive else body.lower()
+        origin = None
+        if len(flat) != len(body):
+            origin = [i for i, c in enumerate(body) for _ in c.lower()] + [len(body)]
+            origin = origin if len(origin) == len(flat) + 1 else None
+        out, at = [], flat.find(sought)
+        while at >= 0:
+            end = at + len(sought)
+            a, b = (at, end) if origin is None else (origin[at], origin[end - 1] + 1)
+            if not whole_word or _alone(body, a, b):
+                out.append((a, b))
+            at = flat.find(sought, end)
+        return out
+
+    return _scanned(df, text, places, start="int", end="int")
 
 
 def find_regex(df: DataFrame, pattern: str, text: str = "text", case_sensitive: bool = False, whole_word: bool = False) -> DataFrame:
@@ -37,41 +75,35 @@ def find_regex(df: DataFrame, pattern: str, text: str = "text", case_sensitive:
 
     Places need a scan with state, so texts go through Arrow batches.
     """
-    schema = df.select("*", F.lit(0).alias("start"), F.lit(0).alias("end")).schema
     try:
         regex = re.compile(pattern, re.MULTILINE | (0 if case_sensitive else re.IGNORECASE))
     except re.error:
         return df.withColumns({"start": F.lit(0), "end": F.lit(0)}).filter(F.lit(False))
-    at = df.columns.index(text)
-    word = re.compile("[0-9A-Za-z_]")
 
-    def alone(body: str, a: int, b: int) -> bool:
-        return not (a and word.match(body[a - 1])) and not (b < len(body) and word.match(body[b]))
+    def places(body: str) -> list[tuple[int, int]]:
+        return [m.span() for m in regex.finditer(body) if m.end() > m.start() and (not whole_word or _alone(body, *m.span()))]
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            rows, starts, ends = [], [], []
-            for i, body in enumerate(batch.column(at).to_pylist()):
-                for m in regex.finditer(body or ""):
-                    if m.end() > m.start() and (not whole_word or alone(body, m.start(), m.end())):
-                        rows.append(i)
-                        starts.append(m.start())
-                        ends.append(m.end())
-            taken = batch.take(pa.array(rows, pa.int64()))
-            yield pa.RecordBatch.from_arrays([*taken.columns, pa.array(starts, pa.int32()), pa.array(ends, pa.int32())], names=[*batch.schema.names, "start", "end"])
+    return _scanned(df, text, places, start="int", end="int")
 
-    return df.mapInArrow(run, schema)
+
+def count_regex(text: Column, pattern: str, case_sensitive: bool = False) -> Column:
+    """How often a pattern occurs, without its places; one that the empty text matches is refused, as empty hits don't count."""
+    if re.compile(pattern).match(""):
+        raise ValueError("the pattern matches the empty text")
+    return F.regexp_count(text, F.lit(("(?m)" if case_sensitive else "(?im)") + pattern))
 
 
 def count_whole_words(text: Column, word: str) -> Column:
-    """How often a word stands alone among ASCII word characters, without its places: one pass of a split."""
-    return F.size(F.filter(F.split(F.lower(text), "[^0-9a-z_]+"), lambda x: x == word.lower()))
+    """How often a word stands alone among ASCII word characters, without its places; texts without it aren't searched further."""
+    flat, quoted = F.lower(text), re.sub(r"([^0-9A-Za-z_ ])", r"\\\1", word.lower())
+    n = F.regexp_count(flat, F.lit(f"(?<![0-9a-z_]){quoted}(?![0-9a-z_])"))
+    return F.when(F.contains(flat, F.lit(word.lower())), n).when(text.isNotNull(), F.lit(0))
 
 
 def with_snippets(matches: DataFrame, text: str = "text", before: int = 36, after: int = 48) -> DataFrame:
     """Add prefix, match_text and suffix: what is around a match in its line, squashed, with ellipses where it is cut."""
     t, start, end = F.col(text), F.col("start"), F.col("end")
-    squash = lambda x: F.regexp_replace(x, "[ \\t\\n\\f\\r\\x0B]+", " ")
+    squash = lambda x: F.regexp_replace(x, f"[{SPACES}]+", " ")
     head, tail = F.substring(t, F.lit(1), start), F.substring(t, end + 1, F.length(t))
     line_start = F.length(head) - F.length(F.substring_index(head, "\n", -1))
     line_end = end + F.length(F.substring_index(tail, "\n", 1))
@@ -86,18 +118,24 @@ def with_snippets(matches: DataFrame, text: str = "text", before: int = 36, afte
 
 
 def tokens(df: DataFrame, text: str = "text") -> DataFrame:
-    """A row for each run without white space, with token_index, start and end.
+    """A row for each run without white space, with token_index, token, start and end (0-based code points).
 
-    The gaps' lengths and the tokens' lengths are summed as columns, so offsets need no Python.
+    Each text is scanned once where it lies: nothing is shuffled, and rows that are equal don't mix. Null
+    and blank texts have none.
     """
-    words = F.filter(F.split(F.col(text), "[ \\t\\n\\f\\r\\x0B]+", -1), lambda x: x != "")
-    gaps = F.filter(F.split(F.col(text), "[^ \\t\\n\\f\\r\\x0B]+", -1), lambda x: F.lit(True))
-    staged = df.withColumns({"_words": words, "_gaps": F.transform(gaps, F.length)})
-    step = F.zip_with(F.col("_words"), F.slice("_gaps", F.lit(1), F.size("_words")), lambda w, g: F.struct(w.alias("token"), g.alias("gap")))
-    told = staged.select(*df.columns, F.posexplode(step).alias("token_index", "_step"))
-    w = Window.partitionBy(*[c for c in df.columns if c != text]).orderBy("token_index").rowsBetween(Window.unboundedPreceding, 0)
-    end = F.sum(F.length("_step.token") + F.col("_step.gap")).over(w)
-    return told.select(*df.columns, "token_index", F.col("_step.token").alias("token"), (end - F.length("_step.token")).cast("int").alias("start"), end.cast("int").alias("end"))
+    word = re.compile(f"[^{PYTHON_SPACES}]+")
+
+    def places(body: str) -> list[tuple[int, str, int, int]]:
+        return [(i, m[0], m.start(), m.end()) for i, m in enumerate(word.finditer(body))]
+
+    return _scanned(df, text, places, token_index="int", token="string", start="int", end="int")
+
+
+def token_totals(text: Column) -> Column:
+    """How many tokens a text has (n), how many characters they have (chars) and the longest has (longest); no Python, no shuffle."""
+    words = F.transform(F.filter(F.split(text, f"[{SPACES}]+", -1), lambda x: x != ""), F.length)
+    chars = F.aggregate(words, F.lit(0).cast("long"), lambda a, n: a + n)
+    return F.struct(F.size(words).cast("long").alias("n"), chars.alias("chars"), F.array_max(words).cast("long").alias("longest"))
 
 
 def next_match(current: Column, total: Column, step: int = 1) -> Column:

@@ -9,8 +9,8 @@ from pyspark.sql import functions as F
 def walk(nodes: DataFrame, node: str, parent: str, name: str, inherited: list[str], order: str | None = None, most: int = 50) -> DataFrame:
     """Every node that a root reaches: depth, dotted name, place as an array, and attributes that it or its nearest ancestor has.
 
-    A node's children are found level by level; a node is never below itself, and levels beyond
-    ``most`` are left out. Each level is one join on the parent.
+    A node's children are found level by level, and a node is never below itself. Each level is one join
+    on the parent; a tree with more than ``most`` levels raises.
     """
     place = F.col(order).cast("long") if order else F.lit(0).cast("long")
     own = nodes.select(F.col(node).alias("node"), F.col(parent).alias("parent"), F.col(name).alias("own_name"), place.alias("ord"), *(F.col(a).alias(f"own_{a}") for a in inherited))
@@ -26,20 +26,21 @@ def walk(nodes: DataFrame, node: str, parent: str, name: str, inherited: list[st
             *(F.coalesce(f"own_{a}", a).alias(a) for a in inherited),
         ).checkpoint()
         if level.isEmpty():
-            break
+            return found
         found = found.unionByName(level)
-    return found
+    raise ValueError(f"the tree has more than {most} levels")
 
 
 def walk_sql(view: str, node: str, parent: str, name: str, inherited: list[str], most: int = 50) -> str:
-    """The same as one recursive query, for a view's columns."""
+    """The same as one recursive query, for a view's columns; a tree with more than ``most`` levels raises when it is run."""
     first = ", ".join(["", *inherited])
     later = "".join(f", coalesce(c.{a}, p.{a})" for a in inherited)
     return f"""
         WITH RECURSIVE walked (node, depth, path_name{first}) AS (
             SELECT {node}, 0, {name}{first} FROM {view} WHERE {parent} IS NULL
             UNION ALL
-            SELECT c.{node}, p.depth + 1, concat(p.path_name, '.', c.{name}){later} FROM {view} AS c JOIN walked AS p ON c.{parent} = p.node WHERE p.depth < {most}
+            SELECT c.{node}, p.depth + 1, concat(p.path_name, '.', c.{name}){later} FROM {view} AS c JOIN walked AS p ON c.{parent} = p.node
+            WHERE CASE WHEN p.depth < {most} THEN true ELSE raise_error('the tree has more than {most} levels') IS NULL END
         )
         SELECT * FROM walked
     """

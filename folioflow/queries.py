@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from folioflow.functions import calculator, geometry, measure
 from folioflow.functions import text as texts
-from folioflow.operators import annotations, caches, compare, layout, pages, recognition, search, trees
+from folioflow.operators import annotations, caches, compare, editing, layout, pages, recognition, search, trees
+from folioflow.plans.partitioning import spread
 from folioflow.streaming import changes
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -32,8 +34,8 @@ def query(sql: str | None = None):
     return add
 
 
-def _point(x: Column, y: Column) -> Column:
-    return F.struct(x.cast("double").alias("x"), y.cast("double").alias("y"))
+#: The pattern of white space in DuckDB's syntax, for use in brackets.
+_BLANK = texts.SPACES
 
 
 # search
@@ -42,7 +44,7 @@ def _point(x: Column, y: Column) -> Column:
 @query("""SELECT doc_id, lang, n FROM (SELECT doc_id, lang, len(list_filter(string_split_regex(lower(text), '[^0-9a-z_]+'), lambda x: x = 'the')) AS n FROM documents)
     WHERE n > 0 ORDER BY n DESC, doc_id LIMIT 20""")
 def search_top_documents(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents").select("doc_id", "lang", search.count_whole_words(F.col("text"), "the").cast("long").alias("n"))
+    docs = spread(table(spark, sf_dir, "documents").select("doc_id", "lang", "text")).select("doc_id", "lang", search.count_whole_words(F.col("text"), "the").cast("long").alias("n"))
     return docs.filter("n > 0").orderBy(F.desc("n"), "doc_id").limit(20)
 
 
@@ -50,7 +52,7 @@ def search_top_documents(spark, sf_dir):
     hits AS (SELECT doc_id, p, unnest(range(1, len(p))) AS i FROM parts)
     SELECT doc_id, CAST(list_sum(p[1:i]) + (i - 1) * 4 AS BIGINT) AS "start", CAST(list_sum(p[1:i]) + i * 4 AS BIGINT) AS "end" FROM hits""")
 def search_matches(spark, sf_dir):
-    found = search.find_literal(table(spark, sf_dir, "documents").select("doc_id", "text"), "ment")
+    found = search.find_literal(spread(table(spark, sf_dir, "documents").select("doc_id", "text")), "ment")
     return found.select("doc_id", F.col("start").cast("long").alias("start"), F.col("end").cast("long").alias("end"))
 
 
@@ -62,14 +64,24 @@ def search_counts(spark, sf_dir):
 
 @query("""SELECT doc_id, CAST(len(regexp_extract_all(text, '[0-9]+')) AS BIGINT) AS n FROM documents""")
 def search_regex_counts(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    n = search.find_regex(docs, "[0-9]+").groupBy("doc_id").count()
-    return docs.select("doc_id").join(n, "doc_id", "left").select("doc_id", F.coalesce("count", F.lit(0)).cast("long").alias("n"))
+    docs = spread(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return docs.select("doc_id", search.count_regex(F.col("text"), "[0-9]+").cast("long").alias("n"))
 
 
-@query()
+@query("""WITH t AS (SELECT conv_id, turn, regexp_extract_all(text, '[a-z]+ing') AS w, regexp_split_to_array(text, '[a-z]+ing') AS g FROM conversations), e AS (SELECT conv_id, turn, w, g, unnest(range(1, len(w) + 1)) AS i FROM t)
+    SELECT conv_id, turn, CAST(coalesce(list_sum(list_transform(w[1:i - 1], lambda x: length(x))), 0) + list_sum(list_transform(g[1:i], lambda x: length(x))) AS INTEGER) AS "start", CAST(length(w[i]) AS INTEGER) AS size FROM e""")
+def search_regex_places(spark, sf_dir):
+    found = search.find_regex(table(spark, sf_dir, "conversations").select("conv_id", "turn", "text"), "[a-z]+ing", case_sensitive=True)
+    return found.select("conv_id", "turn", "start", (F.col("end") - F.col("start")).alias("size"))
+
+
+@query(f"""WITH p AS (SELECT doc_id, text, list_transform(string_split(lower(text), 'license'), lambda x: length(x)) AS p FROM documents), h AS (SELECT doc_id, text, unnest(range(1, len(p))) AS i, p FROM p),
+    m AS (SELECT doc_id, text, CAST(list_sum(p[1:i]) + (i - 1) * 7 AS BIGINT) AS a FROM h), w AS (SELECT *, a + 7 AS b FROM m WHERE NOT regexp_matches(substr(' ' || text, a + 1, 1), '[0-9A-Za-z_]') AND NOT regexp_matches(substr(text, a + 8, 1), '[0-9A-Za-z_]')),
+    l AS (SELECT *, a - length(string_split(substr(text, 1, a), chr(10))[-1]) AS ls, b + length(string_split(substr(text, b + 1), chr(10))[1]) AS le FROM w), c AS (SELECT *, greatest(ls, a - 36) AS lo, least(le, b + 48) AS hi FROM l)
+    SELECT doc_id, CAST(a AS INTEGER) AS "start", CASE WHEN lo > ls THEN '… ' ELSE '' END || ltrim(regexp_replace(substr(text, lo + 1, a - lo), '[{_BLANK}]+', ' ', 'g'), ' ') AS prefix, substr(text, a + 1, 7) AS match_text,
+        rtrim(regexp_replace(substr(text, b + 1, hi - b), '[{_BLANK}]+', ' ', 'g'), ' ') || CASE WHEN hi < le THEN ' …' ELSE '' END AS suffix FROM c""")
 def search_snippets(spark, sf_dir):
-    found = search.find_literal(table(spark, sf_dir, "documents").select("doc_id", "text"), "license", whole_word=True)
+    found = search.find_literal(spread(table(spark, sf_dir, "documents").select("doc_id", "text")), "license", whole_word=True)
     return search.with_snippets(found).select("doc_id", "start", "prefix", "match_text", "suffix")
 
 
@@ -86,11 +98,20 @@ def search_superseded(spark, sf_dir):
     return search.latest_search(table(spark, sf_dir, "events"), "user_id", "event_id", "event_type")
 
 
-@query("""SELECT doc_id, count(*) AS n, CAST(sum(length(w)) AS BIGINT) AS chars, max(length(w)) AS longest FROM
-    (SELECT doc_id, unnest(regexp_extract_all(text, '[^ \\t\\n\\f\\r\\x0B]+')) AS w FROM documents) GROUP BY doc_id""")
+@query(f"""SELECT doc_id, count(*) AS n, CAST(sum(length(w)) AS BIGINT) AS chars, max(length(w)) AS longest FROM
+    (SELECT doc_id, unnest(regexp_extract_all(text, '[^{_BLANK}]+')) AS w FROM documents) GROUP BY doc_id""")
 def token_statistics(spark, sf_dir):
-    found = search.tokens(table(spark, sf_dir, "documents").select("doc_id", "text"))
-    return found.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("end") - F.col("start")).alias("chars"), F.max(F.length("token")).cast("long").alias("longest"))
+    docs = spread(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return docs.select("doc_id", search.token_totals(F.col("text")).alias("t")).filter("t.n > 0").select("doc_id", "t.*")
+
+
+@query(f"""WITH t AS (SELECT conv_id, turn, regexp_extract_all(text, '[^{_BLANK}]+') AS w, regexp_split_to_array(text, '[^{_BLANK}]+') AS g FROM conversations),
+    e AS (SELECT conv_id, turn, w, g, unnest(range(1, len(w) + 1)) AS i FROM t)
+    SELECT conv_id, turn, CAST(i - 1 AS INTEGER) AS token_index, w[i] AS token, CAST(list_sum(list_transform(w[1:i - 1], lambda x: length(x))) + 0 AS INTEGER) IS NULL AS first,
+        CAST(coalesce(list_sum(list_transform(w[1:i - 1], lambda x: length(x))), 0) + list_sum(list_transform(g[1:i], lambda x: length(x))) AS INTEGER) AS "start" FROM e""")
+def token_offsets(spark, sf_dir):
+    found = search.tokens(table(spark, sf_dir, "conversations").select("conv_id", "turn", "text"))
+    return found.select("conv_id", "turn", "token_index", "token", (F.col("token_index") == 0).alias("first"), "start")
 
 
 # text
@@ -101,13 +122,13 @@ def normalized_text(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", texts.normalized_spaces(F.col("text")).alias("text"))
 
 
-@query("""WITH f AS (SELECT page_id, trim(regexp_replace(html, '[ \\t\\n\\f\\r\\x0B]+', ' ', 'g'), ' ') AS t FROM pages)
+@query(f"""WITH f AS (SELECT page_id, trim(regexp_replace(html, '[{_BLANK}]+', ' ', 'g'), ' ') AS t FROM pages)
     SELECT page_id, CASE WHEN length(t) > 60 THEN substr(t, 1, 59) || '…' ELSE t END AS label FROM f""")
 def capped_labels(spark, sf_dir):
     return table(spark, sf_dir, "pages").select("page_id", texts.label(F.col("html")).alias("label"))
 
 
-@query("""SELECT doc_id, count(*) AS lines, count(*) FILTER (regexp_matches(line, '^\\s*([•◦▪‣*–-]|\\(?([0-9]{1,3}|[A-Za-z])[.)])\\s+')) AS items
+@query(f"""SELECT doc_id, count(*) AS lines, count(*) FILTER (regexp_matches(line, '^[{_BLANK}]*([•◦▪‣*–-]|\\(?([0-9]{{1,3}}|[A-Za-z])[.)])[{_BLANK}]+')) AS items
     FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM documents) GROUP BY doc_id""")
 def list_items(spark, sf_dir):
     lines = table(spark, sf_dir, "documents").select("doc_id", F.explode(F.split("text", "\n")).alias("line"))
@@ -119,9 +140,12 @@ def latin_text(spark, sf_dir):
     return table(spark, sf_dir, "conversations").select("conv_id", "turn", texts.latin_only(F.col("text")).alias("text"))
 
 
-@query("""SELECT doc_id, text FROM documents""")
+@query("""SELECT doc_id, text, CASE WHEN regexp_matches(text, '[^\\x{00}-\\x{FF}]') THEN 2 + 2 * length(text) + 2 * len(regexp_extract_all(text, '[\\x{10000}-\\x{10FFFF}]')) ELSE length(text) END AS size,
+    CASE WHEN regexp_matches(text, '[^\\x{00}-\\x{FF}]') THEN 'FEFF' WHEN ascii(text) < 256 THEN printf('%02X', ascii(text)) END AS head FROM documents""")
 def string_round_trip(spark, sf_dir):
-    return table(spark, sf_dir, "documents").select("doc_id", texts.decoded(texts.encoded(F.col("text"))).alias("text"))
+    data = texts.encoded(F.col("text"))
+    wide = F.col("text").rlike("[^\\x00-\\xFF]")
+    return table(spark, sf_dir, "documents").select("doc_id", texts.decoded(data).alias("text"), F.octet_length(data).cast("long").alias("size"), F.hex(F.substring(data, 1, F.when(wide, 2).otherwise(1))).alias("head"))
 
 
 @query("""WITH b AS (SELECT conv_id, turn, strlen(text) AS n, hex(encode(text)) AS h FROM conversations),
@@ -179,8 +203,7 @@ def token_differences(spark, sf_dir):
 def vector_differences(spark, sf_dir):
     vectors = table(spark, sf_dir, "embeddings")
     scaled = F.transform("embedding", lambda x: F.floor(x * 1000).cast("int"))
-    # the next row by a join on its rank within buckets would need the same order; ids here follow one another
-    pairs = vectors.select("vec_id", scaled.alias("a")).join(vectors.select((F.col("vec_id") - 1).alias("vec_id"), scaled.alias("b")), "vec_id")
+    pairs = editing.next_rows(vectors.select("vec_id", scaled.alias("a")), "vec_id").filter("next is not null").select("vec_id", "a", F.col("next.a").alias("b"))
     differing = F.size(F.filter(F.zip_with("a", "b", lambda x, y: F.abs(x - y) > 8), lambda d: d))
     return pairs.select("vec_id", differing.cast("long").alias("differing"), F.size("a").cast("long").alias("total"))
 
@@ -256,13 +279,13 @@ def capped_pages(spark, sf_dir):
 
 @query("""SELECT o_orderkey, o_totalprice FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 25""")
 def slowest_files(spark, sf_dir):
-    return table(spark, sf_dir, "orders").orderBy(F.desc("o_totalprice"), "o_orderkey").limit(25).select("o_orderkey", "o_totalprice")
+    return editing.slowest(table(spark, sf_dir, "orders").select("o_orderkey", "o_totalprice"), 25, "o_totalprice", "o_orderkey")
 
 
 @query("""SELECT l_orderkey, CAST(row_number() OVER (PARTITION BY l_orderkey ORDER BY l_extendedprice DESC, l_quantity, l_linenumber, l_partkey) AS INTEGER) AS place, l_extendedprice AS top FROM lineitem""")
 def visual_order(spark, sf_dir):
-    w = Window.partitionBy("l_orderkey").orderBy(F.desc("l_extendedprice"), "l_quantity", "l_linenumber", "l_partkey")
-    return table(spark, sf_dir, "lineitem").select("l_orderkey", F.row_number().over(w).alias("place"), F.col("l_extendedprice").alias("top"))
+    lines = table(spark, sf_dir, "lineitem").withColumnsRenamed({"l_extendedprice": "top", "l_quantity": "left"})
+    return layout.in_visual_order(lines, ["l_orderkey"], "top", "left", "l_linenumber", "l_partkey").select("l_orderkey", "place", "top")
 
 
 # trees and chains
@@ -288,8 +311,9 @@ def _tree(spark: SparkSession, sf_dir: str) -> DataFrame:
         UNION ALL SELECT t.node, w.depth + 1, w.path_name || '.' || t.name, coalesce(t.box, w.box), coalesce(t.turn, w.turn) FROM tree AS t JOIN walked AS w ON t.parent = w.node)
     SELECT node, CAST(depth AS INTEGER) AS depth, path_name, box, CAST(turn AS INTEGER) AS turn FROM walked""")
 def inherited_tree(spark, sf_dir):
-    _tree(spark, sf_dir).createOrReplaceTempView("folioflow_tree")
-    found = spark.sql(trees.walk_sql("folioflow_tree", "node", "parent", "name", ["box", "turn"]))
+    view = f"folioflow_tree_{uuid.uuid4().hex}"
+    _tree(spark, sf_dir).createOrReplaceTempView(view)
+    found = spark.sql(trees.walk_sql(view, "node", "parent", "name", ["box", "turn"]))
     return found.select("node", F.col("depth").cast("int").alias("depth"), "path_name", "box", F.col("turn").cast("int").alias("turn"))
 
 
@@ -448,12 +472,13 @@ def wanted_categories(spark, sf_dir):
     return recognition.in_categories(table(spark, sf_dir, "conversations"), "role", ["user", "system"]).select("conv_id", "turn", "text")
 
 
-@query("""SELECT doc_id, count(*) AS n FROM (SELECT conv_id AS doc_id FROM conversations) GROUP BY doc_id""")
+@query("""SELECT conv_id AS doc_id, count(*) AS n, string_agg(turn || ':' || text, '|' ORDER BY turn, text) AS texts FROM conversations GROUP BY doc_id""")
 def context_pages(spark, sf_dir):
     turns = table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("doc_id"), F.col("turn").alias("page_index"), "text")
     none = turns.limit(0).select("doc_id", F.lit("").alias("name"), F.lit("").alias("type"), F.lit("").alias("value"))
     held = annotations.document_context(turns, none, "doc_id")
-    return held.select("doc_id", F.size(F.from_json("context", "pages array<struct<page_index:long,text:string>>")["pages"]).cast("long").alias("n"))
+    listed = F.from_json("context", "pages array<struct<page_index:long,text:string>>")["pages"]
+    return held.select("doc_id", F.size(listed).cast("long").alias("n"), F.array_join(F.transform(listed, lambda x: F.concat(x["page_index"].cast("string"), F.lit(":"), x["text"])), "|").alias("texts"))
 
 
 @query("""SELECT conv_id AS doc_id, 'Pages: ' || count(*) || chr(10) || string_agg('Page ' || (turn + 1) || ':' || chr(10) || text, chr(10) ORDER BY turn, text) AS prompt FROM conversations GROUP BY conv_id""")

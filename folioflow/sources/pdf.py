@@ -198,6 +198,8 @@ class Document:
     trailer: dict = field(default_factory=dict)
     held: dict = field(default_factory=dict)
     recovered: bool = False
+    parsed: dict = field(default_factory=dict)
+    placed: dict[int, int] = field(default_factory=dict)
 
     @classmethod
     def open(cls, data: bytes) -> Document:
@@ -312,6 +314,9 @@ class Document:
         return int(found[1]), None if value is _END or isinstance(value, Word) else value
 
     def members(self, stream: Stream) -> list[tuple[int, object, int]]:
+        """The objects of an object stream, parsed once."""
+        if id(stream) in self.parsed:
+            return self.parsed[id(stream)][1]
         body = self.decoded(stream)
         heads, out = Reader(body), []
         first = self.get(stream.about.get("First")) or 0
@@ -321,8 +326,15 @@ class Document:
                 break
             value = Reader(body, first + offset).object()
             out.append((number, None if value is _END or isinstance(value, Word) else value, i))
+        self.parsed[id(stream)] = (stream, out)
         return out
 
+    def headers(self) -> dict[int, int]:
+        """Where the last object of each number begins, found once."""
+        if not self.placed:
+            self.placed = {int(m[1]): m.start() for m in _HEADER.finditer(self.data)}
+        return self.placed
+
     def load(self, number: int):
         if number in self.held:
             return self.held[number]
@@ -333,8 +345,7 @@ class Document:
             if entry[0] == "at":
                 own, value = self.object_at(entry[1])
                 if own != number:
-                    last = [m for m in _HEADER.finditer(self.data) if int(m[1]) == number]
-                    value = self.object_at(last[-1].start())[1] if last else None
+                    value = self.object_at(self.headers()[number])[1] if number in self.headers() else None
             elif entry[0] == "in":
                 held = self.load(entry[1])
                 if isinstance(held, Stream):
@@ -402,6 +413,143 @@ class Document:
         return {k: text_of(v) if isinstance(v, bytes) else str(v) for k, v in values.items() if isinstance(v, bytes | Name)}
 
 
+    def action(self, raw) -> tuple[str | None, str | None]:
+        """Kind and target of an action: an address, a destination's name or page number, a named action, or a script."""
+        about = self.get(raw)
+        if not isinstance(about, dict):
+            return None, None
+        kind = str(self.get(about.get("S")) or "")
+        if kind == "GoTo":
+            return kind, self.destination(about.get("D"))
+        value = self.get(about.get({"URI": "URI", "Named": "N", "JavaScript": "JS"}.get(kind, "")))
+        if isinstance(value, Stream):
+            return kind, self.decoded(value).decode("utf-8", "replace")
+        return kind, text_of(value) if isinstance(value, bytes) else str(value) if isinstance(value, Name) else None
+
+    def destination(self, raw) -> str | None:
+        """The 0-based page that a destination leads to, as text; names are looked up in the catalog's trees."""
+        value = self.get(raw)
+        for _ in range(8):
+            if isinstance(value, bytes | Name):
+                value = self.named(value if isinstance(value, bytes) else value.encode("latin-1"))
+            if isinstance(value, dict):
+                value = self.get(value.get("D"))
+            if isinstance(value, list):
+                target = value[0] if value else None
+                if isinstance(target, Ref):
+                    return next((str(i) for i, r in enumerate(self.page_refs()) if r == target), None)
+                return str(target) if isinstance(target, int) else None
+            if value is None:
+                return None
+        return None
+
+    def named(self, name: bytes):
+        """A named destination: in the name tree, then among the older ones of the catalog."""
+        root = self.get(self.trailer.get("Root"))
+        names = self.get(root.get("Names")) if isinstance(root, dict) else None
+        queue, seen = [names.get("Dests")] if isinstance(names, dict) else [], set()
+        while queue:
+            ref = queue.pop()
+            node = self.get(ref)
+            mark = ref.number if isinstance(ref, Ref) else id(node)
+            if mark in seen or not isinstance(node, dict):
+                continue
+            seen.add(mark)
+            limits = self.get(node.get("Limits"))
+            if isinstance(limits, list) and len(limits) == 2 and all(isinstance(x, bytes) for x in map(self.get, limits)) and not self.get(limits[0]) <= name <= self.get(limits[1]):
+                continue
+            pairs = self.get(node.get("Names"))
+            for k, v in zip(pairs[::2], pairs[1::2], strict=False) if isinstance(pairs, list) else ():
+                if self.get(k) == name:
+                    return self.get(v)
+            kids = self.get(node.get("Kids"))
+            queue += kids if isinstance(kids, list) else []
+        old = self.get(root.get("Dests")) if isinstance(root, dict) else None
+        return self.get(old.get(name.decode("latin-1"))) if isinstance(old, dict) else None
+
+    def page_refs(self) -> list[Ref]:
+        """The references of the page tree's leaves, in order."""
+        out, seen = [], set()
+
+        def walk(ref) -> None:
+            node = self.get(ref)
+            if not isinstance(ref, Ref) or ref.number in seen or not isinstance(node, dict):
+                return
+            seen.add(ref.number)
+            kids = self.get(node.get("Kids"))
+            if isinstance(kids, list):
+                for kid in kids:
+                    walk(kid)
+            else:
+                out.append(ref)
+
+        root = self.get(self.trailer.get("Root"))
+        walk(root.get("Pages") if isinstance(root, dict) else None)
+        return out
+
+    def annotations(self, page: dict) -> list[dict]:
+        """A page's annotations in order: subtype, rect, flags, texts, and coordinates of lines, vertices, quads and ink."""
+        listed = self.get(page.get("Annots"))
+        numbers = lambda v: [float(x) for x in map(self.get, v) if isinstance(x, int | float)] if isinstance(v, list) else None
+        text = lambda v: text_of(v) if isinstance(v, bytes) else None
+        out = []
+        for slot, item in enumerate(listed if isinstance(listed, list) else []):
+            about = self.get(item)
+            if not isinstance(about, dict):
+                continue
+            got = lambda k, about=about: self.get(about.get(k))
+            rect = numbers(got("Rect")) or []
+            kind, target = self.action(about.get("A")) if "A" in about else ("GoTo", self.destination(about.get("Dest"))) if "Dest" in about else (None, None)
+            ink = got("InkList")
+            out.append(
+                {
+                    "slot": slot, "subtype": str(got("Subtype") or ""), "flags": got("F") if isinstance(got("F"), int) else 0,
+                    "rect": dict(zip(("left", "bottom", "right", "top"), (min(rect[0], rect[2]), min(rect[1], rect[3]), max(rect[0], rect[2]), max(rect[1], rect[3])) if len(rect) == 4 else (0.0,) * 4, strict=True)),
+                    "contents": text(got("Contents")), "author": text(got("T")), "name": text(got("NM")), "action": kind, "target": target,
+                    "coordinates": numbers(got("L")) or numbers(got("Vertices")) or numbers(got("QuadPoints")), "ink": [numbers(self.get(s)) or [] for s in ink] if isinstance(ink, list) else None,
+                }
+            )
+        return out
+
+    def fields(self) -> list[dict]:
+        """The form's terminal fields, depth first: dotted name, kind, flags, value, states and options; inherited where a field has none of its own."""
+        root = self.get(self.trailer.get("Root"))
+        form = self.get(root.get("AcroForm")) if isinstance(root, dict) else None
+        out, seen = [], set()
+        text = lambda v: text_of(v) if isinstance(v, bytes) else str(v) if isinstance(v, Name) else None
+
+        def walk(ref, prefix: str, above: dict) -> None:
+            node = self.get(ref)
+            mark = ref.number if isinstance(ref, Ref) else id(node)
+            if not isinstance(node, dict) or mark in seen:
+                return
+            seen.add(mark)
+            own = self.get(node.get("T"))
+            name = prefix if not isinstance(own, bytes) else f"{prefix}.{text_of(own)}" if prefix else text_of(own)
+            held = above | {k: self.get(node[k]) for k in ("FT", "Ff", "V", "Opt") if k in node}
+            kids = self.get(node.get("Kids"))
+            below = [k for k in kids if isinstance(d := self.get(k), dict) and isinstance(self.get(d.get("T")), bytes)] if isinstance(kids, list) else []
+            for kid in below:
+                walk(kid, name, held)
+            if below:
+                return
+            value = held.get("V")
+            first = self.get(value[0]) if isinstance(value, list) and value else value
+            options = [[text(self.get(x)) for x in o] if isinstance(o := self.get(raw), list) else [text(o)] * 2 for raw in held.get("Opt") or []] if isinstance(held.get("Opt"), list) else []
+            out.append(
+                {
+                    "name": name, "kind": str(held.get("FT") or ""), "flags": held.get("Ff") if isinstance(held.get("Ff"), int) else 0, "value": text(first),
+                    "checked": isinstance(value, Name) and value != "Off", "widgets": len(kids) if isinstance(kids, list) else 1,
+                    "options": [{"export": o[0], "display": o[1]} for o in options if len(o) == 2],
+                }
+            )
+
+        listed = self.get(form.get("Fields")) if isinstance(form, dict) else None
+        for ref in listed if isinstance(listed, list) else []:
+            walk(ref, "", {})
+        return out
+
+
 def text_of(data: bytes) -> str:
     if data[:2] == b"\xfe\xff":
         return data[2:].decode("utf-16-be", "replace")
@@ -631,18 +779,25 @@ _PAGE = pa.struct(
     [
         ("page_index", pa.int32()), ("media_box", pa.list_(pa.float64())), ("crop_box", pa.list_(pa.float64())), ("rotation", pa.int32()), ("n_operations", pa.int32()),
         ("runs", pa.list_(pa.struct([("run_index", pa.int32()), ("text", pa.string()), ("width", pa.float64()), ("matrix", pa.struct([(c, pa.float64()) for c in "abcdef"]))]))),
+        ("annotations", pa.list_(pa.struct([
+            ("slot", pa.int32()), ("subtype", pa.string()), ("flags", pa.int64()), ("rect", pa.struct([(c, pa.float64()) for c in ("left", "bottom", "right", "top")])), ("contents", pa.string()), ("author", pa.string()), ("name", pa.string()),
+            ("action", pa.string()), ("target", pa.string()), ("coordinates", pa.list_(pa.float64())), ("ink", pa.list_(pa.list_(pa.float64()))),
+        ]))),
     ]
-)
-_SCHEMA = pa.schema([("path", pa.string()), ("version", pa.string()), ("is_encrypted", pa.bool_()), ("recovered", pa.bool_()), ("info", pa.map_(pa.string(), pa.string())), ("pages", pa.list_(_PAGE)), ("_corrupt", pa.string())])
+)
+_FIELD = pa.struct([("name", pa.string()), ("kind", pa.string()), ("flags", pa.int64()), ("value", pa.string()), ("checked", pa.bool_()), ("widgets", pa.int32()), ("options", pa.list_(pa.struct([("export", pa.string()), ("display", pa.string())])))])
+_SCHEMA = pa.schema([("path", pa.string()), ("version", pa.string()), ("is_encrypted", pa.bool_()), ("recovered", pa.bool_()), ("info", pa.map_(pa.string(), pa.string())), ("pages", pa.list_(_PAGE)), ("fields", pa.list_(_FIELD)), ("_corrupt", pa.string())])
 SCHEMA = """path string, version string, is_encrypted boolean, recovered boolean, info map<string,string>,
     pages array<struct<page_index:int,media_box:array<double>,crop_box:array<double>,rotation:int,n_operations:int,
-    runs:array<struct<run_index:int,text:string,width:double,matrix:struct<a:double,b:double,c:double,d:double,e:double,f:double>>>>>, _corrupt string"""
+    runs:array<struct<run_index:int,text:string,width:double,matrix:struct<a:double,b:double,c:double,d:double,e:double,f:double>>>,
+    annotations:array<struct<slot:int,subtype:string,flags:bigint,rect:struct<left:double,bottom:double,right:double,top:double>,contents:string,author:string,name:string,action:string,target:string,coordinates:array<double>,ink:array<array<double>>>>>>,
+    fields array<struct<name:string,kind:string,flags:bigint,value:string,checked:boolean,widgets:int,options:array<struct<export:string,display:string>>>>, _corrupt string"""
 
 
 def parse_file(path: str, data: bytes) -> dict:
     """One file's row."""
     head = re.search(rb"%PDF-(\d\.\d)", data[:1024])
-    row = {"path": path, "version": head[1].decode() if head else None, "is_encrypted": None, "recovered": None, "info": None, "pages": None, "_corrupt": None}
+    row = {"path": path, "version": head[1].decode() if head else None, "is_encrypted": None, "recovered": None, "info": None, "pages": None, "fields": None, "_corrupt": None}
     try:
         doc = Document.open(data)
         row |= {"is_encrypted": "Encrypt" in doc.trailer, "recovered": doc.recovered}
@@ -654,20 +809,57 @@ def parse_file(path: str, data: bytes) -> dict:
             turn = doc.get(page.get("Rotate"))
             turn = int(turn) % 360 // 90 * 90 if isinstance(turn, int | float) else 0
             runs = [r | {"run_index": k} for k, r in enumerate(text_runs(doc, page))]
-            pages.append({"page_index": i, "media_box": box("MediaBox"), "crop_box": box("CropBox"), "rotation": turn, "n_operations": len(operations(doc.content(page))), "runs": runs})
-        row["pages"] = pages
+            pages.append({"page_index": i, "media_box": box("MediaBox"), "crop_box": box("CropBox"), "rotation": turn, "n_operations": len(operations(doc.content(page))), "runs": runs, "annotations": doc.annotations(page)})
+        row["pages"], row["fields"] = pages, doc.fields()
     except (ValueError, RecursionError, TypeError, KeyError, IndexError, AttributeError, struct.error) as problem:
         row["_corrupt"] = f"{type(problem).__name__}: {problem}"
     return row
 
 
+def parsed(files: DataFrame, path: str = "path", content: str = "content") -> DataFrame:
+    """A row for each file of a table of bytes; null bytes are a file that can't be opened."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                yield pa.RecordBatch.from_pylist([parse_file(batch.column(0)[i].as_py(), batch.column(1)[i].as_py() or b"")], schema=_SCHEMA)
+
+    return files.select(path, content).mapInArrow(run, SCHEMA)
+
+
 def read_pdfs(spark: SparkSession, path: str) -> DataFrame:
     """A row for each PDF file below a path."""
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.pdf").option("recursiveFileLookup", "true").load(path)
+    return parsed(spark.read.format("binaryFile").option("pathGlobFilter", "*.pdf").option("recursiveFileLookup", "true").load(path))
+
+
+def read_operations(files: DataFrame, path: str = "path", content: str = "content") -> DataFrame:
+    """A row for each operation of each page's content: path, page_index, op_index, operator, and its operands in JSON (bytes as Latin-1, names with a slash)."""
+    import json
+
+    def shown(value):
+        if isinstance(value, Name):
+            return f"/{value}"
+        if isinstance(value, bytes):
+            return value.decode("latin-1")
+        if isinstance(value, list):
+            return [shown(x) for x in value]
+        return {k: shown(v) for k, v in value.items()} if isinstance(value, dict) else value
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(batch.num_rows):
-                yield pa.RecordBatch.from_pylist([parse_file(batch.column(0)[i].as_py(), batch.column(1)[i].as_py())], schema=_SCHEMA)
-
-    return files.select("path", "content").mapInArrow(run, SCHEMA)
+                try:
+                    doc = Document.open(batch.column(1)[i].as_py() or b"")
+                    pages = doc.pages()
+                except (ValueError, RecursionError, TypeError, KeyError, IndexError, AttributeError, struct.error):
+                    continue
+                for number, page in enumerate(pages):
+                    found = operations(doc.content(page))
+                    yield pa.RecordBatch.from_pydict(
+                        {
+                            "path": pa.array([batch.column(0)[i].as_py()] * len(found), pa.string()), "page_index": pa.array([number] * len(found), pa.int32()), "op_index": pa.array(range(len(found)), pa.int32()),
+                            "operator": pa.array([o for o, _ in found], pa.string()), "operands": pa.array([json.dumps(shown(x), ensure_ascii=False) for _, x in found], pa.string()),
+                        }
+                    )
+
+    return files.select(path, content).mapInArrow(run, "path string, page_index int, op_index int, operator string, operands string")
