@@ -15,19 +15,23 @@ from pyspark.sql import functions as F
 
 #: ASCII white space, the only characters that separate words.
 SPACE = " \t\n\x0b\x0c\r"
+#: The folders made so far, in order.
+_MADE: list[str] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder that the driver and all executors share.
 
-    It is the session's ``spark.checkpoint.dir``. Only where that is unset (a single-machine
-    session, as in tests) a temporary folder of this machine becomes the checkpoint folder.
+    It is the session's ``spark.checkpoint.dir``. Only where that is unset in a session on one machine,
+    as in tests, a temporary folder becomes the checkpoint folder; on a cluster it has to be set.
     """
     where = spark.conf.get("spark.checkpoint.dir", None)
     if not where:
         held = spark.sparkContext._jsc.sc().getCheckpointDir()
         if held.isDefined():
             return held.get().rstrip("/")
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         where = f"file://{tempfile.mkdtemp(prefix='folioflow-')}"
         spark.sparkContext.setCheckpointDir(where)
     return where.rstrip("/")
@@ -36,6 +40,7 @@ def shared_dir(spark: SparkSession) -> str:
 def new_folder(spark: SparkSession, name: str) -> str:
     """A fresh path below the shared folder, removed when the driver's Python ends normally."""
     path = f"{shared_dir(spark)}/folioflow/{name}-{uuid.uuid4().hex[:12]}"
+    _MADE.append(path)
     atexit.register(remove, spark, path)
     return path
 
@@ -58,6 +63,17 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def settled(spark: SparkSession, make, name: str) -> tuple[DataFrame, str]:
+    """What ``make`` gives as a table, and its folder; the folders made on the way to it go as soon as it is whole."""
+    before = len(_MADE)
+    df = make()
+    path = new_folder(spark, name)
+    df.write.parquet(path)
+    for other in _MADE[before:-1]:
+        remove(spark, other)
+    return spark.read.schema(df.schema).parquet(path), path
+
+
 def file_system(uri: str):
     """An Arrow file system and the path in it, for reading and writing whole files from executors."""
     from pyarrow import fs
