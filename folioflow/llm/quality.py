@@ -232,7 +232,8 @@ def verdict(statistics: DataFrame, fitted: DataFrame, lang: str, source: str, na
     """Add the column ``kept``; a document of a group without an estimate is kept if it passes the base rules."""
     own = [F.col(f"d.`{c}`") for c in statistics.columns]
     n = {k: F.col(f"d.`{v}`") for k, v in names.items()}
-    joined = statistics.alias("d").join(fitted.alias("e"), group_keys(f"{lang}", f"{source}")[0] == F.col("e.g0"), "left")
+    sent = F.broadcast(fitted) if fitted.count() <= MOST_GROUPS else fitted  # else a group's rows would meet in one task
+    joined = statistics.alias("d").join(sent.alias("e"), group_keys(f"{lang}", f"{source}")[0] == F.col("e.g0"), "left")
     far = distance(vector(n)) > cutoff(rules)
     return joined.select(*own, (~n["base_failed"] & ~F.coalesce(far, F.lit(False))).alias(kept))
 
@@ -256,15 +257,12 @@ def quality_report(docs: DataFrame, text: str = "text", lang: str = "lang", sour
 def quality_filter(docs: DataFrame, text: str = "text", lang: str = "lang", source: str = "source", rules: QualityRules = QualityRules()) -> DataFrame:
     """The rows that the rules keep, with their columns unchanged.
 
-    Texts are measured once for the estimates, which only keep the small vectors, and again for the
-    verdict, so that whole texts need not move between executors. Nulls, blanks, repeated rows and
-    empty tables are as in ``quality_report``.
+    Rows are written once with their statistics, so that texts are measured once and never move between
+    executors. Nulls, blanks, repeated rows and empty tables are as in ``quality_report``.
     """
     prefix = free_prefix(docs, "quality")
     names = {k: f"{prefix}_{k}" for k in (*BASE, "base_failed")}
-    narrow = docs.select(F.col(f"`{lang}`").alias("quality_lang"), F.col(f"`{source}`").alias("quality_source"), F.col(f"`{text}`").alias("quality_body"))
-    plain = {k: k for k in names}
-    statistics = written(with_statistics(narrow, "quality_body", plain, rules).drop("quality_body"), "quality-statistics")
-    fitted = fit(statistics, "quality_lang", "quality_source", plain, rules)
-    judged = verdict(with_statistics(docs, text, names, rules), fitted, lang, source, names, rules, f"{prefix}_kept")
+    told = written(with_statistics(docs, text, names, rules), "quality-rows")
+    fitted = fit(told, lang, source, names, rules)
+    judged = verdict(told, fitted, lang, source, names, rules, f"{prefix}_kept")
     return judged.filter(F.col(f"`{prefix}_kept`")).select(*(F.col(f"`{c}`") for c in docs.columns))
