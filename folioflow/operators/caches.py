@@ -20,16 +20,18 @@ def lru_replay(trace: DataFrame, scope: str, budget: int) -> DataFrame:
 
     def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
         held: dict[str, int] = {}
+        total = 0
         for op, name, size in rows.sort_values("seq")[["op", "key", "bytes"]].itertuples(index=False):
             if op == "purge":
                 held.clear()
+                total = 0
             elif op == "read" and name in held:
                 held[name] = held.pop(name)
             elif op == "write" and size <= budget:
-                held.pop(name, None)
+                total += int(size) - held.pop(name, 0)
                 held[name] = int(size)
-                while sum(held.values()) > budget and len(held) > 1:
-                    held.pop(next(k for k in held if k != name))
+                while total > budget and len(held) > 1:
+                    total -= held.pop(next(iter(held)))  # the one just written is the last
         return pd.DataFrame([[*key, i, k, v] for i, (k, v) in enumerate(held.items())], columns=[scope, "age_rank", "key", "bytes"])
 
     return trace.groupBy(scope).applyInPandas(run, f"{scope} {kind}, age_rank int, key string, bytes long")

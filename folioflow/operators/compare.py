@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -10,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from folioflow.functions.text import label
+from folioflow.functions.text import PYTHON_SPACES, label
 
 
 def lcs_segments(a: list[str], b: list[str]) -> list[tuple[str, list[str], list[str]]]:
@@ -70,12 +71,13 @@ def lcs_segments(a: list[str], b: list[str]) -> list[tuple[str, list[str], list[
 
 
 def token_diff(pairs: DataFrame, key: str, before: str = "before", after: str = "after") -> DataFrame:
-    """(key, seg_index, kind, before, after): the stretches of tokens of each pair of texts. The time is the product of the lengths, a row at a time."""
+    """(key, seg_index, kind, before, after): the stretches of tokens of each pair of texts. The time is the product of the lengths, a row at a time; null texts are empty."""
     kind = pairs.schema[key].dataType.simpleString()
+    words = re.compile(f"[^{PYTHON_SPACES}]+").findall
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = [(k, i, *s) for k, a, b in zip(*(batch.column(c).to_pylist() for c in range(3)), strict=True) for i, s in enumerate(lcs_segments((a or "").split(), (b or "").split()))]
+            rows = [(k, i, *s) for k, a, b in zip(*(batch.column(c).to_pylist() for c in range(3)), strict=True) for i, s in enumerate(lcs_segments(words(a or ""), words(b or "")))]
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], batch.schema.field(0).type), pa.array([r[1] for r in rows], pa.int32()), pa.array([r[2] for r in rows]), pa.array([list(r[3]) for r in rows], pa.list_(pa.string())), pa.array([list(r[4]) for r in rows], pa.list_(pa.string()))], names=["key", "seg_index", "kind", "before", "after"])
 

@@ -198,6 +198,18 @@ def token_differences(spark, sf_dir):
     return compare.hunks(compare.token_diff(keyed, "pair"), "pair")
 
 
+@query(f"""WITH t AS (SELECT conv_id, turn, text AS after_text, lag(text) OVER (PARTITION BY conv_id ORDER BY turn) AS before_text FROM conversations)
+    SELECT conv_id || '/' || turn AS pair, trim(regexp_replace(before_text, '[{_BLANK}]+', ' ', 'g'), ' ') AS before_text, trim(regexp_replace(after_text, '[{_BLANK}]+', ' ', 'g'), ' ') AS after_text FROM t WHERE before_text IS NOT NULL""")
+def token_difference_texts(spark, sf_dir):
+    """Both texts of each pair, put together again from the stretches of their difference."""
+    w = Window.partitionBy("conv_id").orderBy("turn")
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", F.lag("text").over(w).alias("before"), F.col("text").alias("after")).filter("before is not null")
+    found = compare.token_diff(turns.select(F.concat_ws("/", "conv_id", "turn").alias("pair"), "before", "after"), "pair")
+    parts = found.groupBy("pair").agg(F.sort_array(F.collect_list(F.struct("seg_index", "before", "after"))).alias("s"))
+    joined = lambda side: F.array_join(F.flatten(F.col(f"s.{side}")), " ")
+    return parts.select("pair", joined("before").alias("before_text"), joined("after").alias("after_text"))
+
+
 @query("""WITH p AS (SELECT vec_id, embedding AS a, lead(embedding) OVER (ORDER BY vec_id) AS b FROM embeddings)
     SELECT vec_id, CAST(list_sum(list_transform(range(1, len(a) + 1), lambda i: CASE WHEN abs(CAST(floor(a[i] * 1000) AS INTEGER) - CAST(floor(b[i] * 1000) AS INTEGER)) > 8 THEN 1 ELSE 0 END)) AS BIGINT) AS differing, CAST(len(a) AS BIGINT) AS total FROM p WHERE b IS NOT NULL""")
 def vector_differences(spark, sf_dir):
