@@ -15,6 +15,7 @@ from __future__ import annotations
 
 import gc
 import json
+import os
 import re
 from array import array
 from collections.abc import Iterator
@@ -33,14 +34,15 @@ LEAF_BYTES = 2048
 #: Chunks over so many bytes have a tree of their own, whose leaves have at most so many symbols.
 UNSPLIT_BYTES = 4096
 LEAF_SYMBOLS = 1024
-#: A worker forgets its chunks, or its pieces of letters and signs, when they hold about so many bytes.
-CACHED_BYTES = 96 << 20
+#: Bytes of chunks, and of pieces of letters and signs, at which a worker begins a new memo; it holds the one before, too.
+CHUNK_BYTES, PIECE_BYTES = 40 << 20, 32 << 20
 #: What an entry takes beside its ids.
 ENTRY_BYTES = 200
 #: New chunks are encoded so many at a time, because the library's results take much memory.
 BATCH_CHUNKS = 4096
 #: Latin letters (all of them precomposed), then ASCII signs that start neither a contraction nor a special token.
 PLAIN = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]*)([!-&(-/:;=-@\[-`{-~]*)")
+PLAIN_ASCII = re.compile(rb"([A-Za-z]*)([!-&(-/:;=-@\[-`{-~]*)")
 #: The splitting pattern of the vocabularies for which plain chunks are put together from letters and signs (a fixed value).
 WORDS_AND_SIGNS = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 SPACE = re.compile(rb"[\t-\r ]")
@@ -55,24 +57,35 @@ def symbols_by_byte() -> dict[int, str]:
     return {b: chr(256 + i) for i, b in enumerate(hidden)}
 
 
-def byte_symbols(piece: str) -> str:
+def byte_symbols(piece: bytes) -> str:
     """A piece in the symbols of a byte-level vocabulary."""
-    return piece.encode().decode("latin-1").translate(symbols_by_byte())
+    return piece.decode("latin-1").translate(symbols_by_byte())
 
 
 class Memo(dict):
-    """Ids by bytes or text, emptied when it has grown too large."""
+    """Ids by bytes or text. What has not been asked for while the memo filled up twice is forgotten."""
 
-    held = 0
+    def __init__(self, most: int):
+        super().__init__()
+        self.most, self.held, self.old = most, 0, {}
 
     def keep(self, pairs: list[tuple]) -> None:
-        self.held += ENTRY_BYTES * len(pairs) + sum(len(v) for _, v in pairs)
+        self.held += ENTRY_BYTES * len(pairs) + sum([len(v) for _, v in pairs])
         self.update(pairs)
 
-    def trim(self, most: int) -> None:
-        if self.held > most:
+    def missing(self, wanted: set) -> set:
+        """What is neither held nor found among what was held before, which is held again."""
+        fresh = wanted.difference(self)
+        if self.old:
+            again = fresh.intersection(self.old)
+            self.keep([(k, self.old[k]) for k in again])
+            fresh -= again
+        return fresh
+
+    def trim(self) -> None:
+        if self.held > self.most:
+            self.old, self.held = dict(self), 0
             self.clear()
-            self.held = 0
 
 
 class Node:
@@ -88,6 +101,8 @@ class Encoder:
     """The ids of texts as the tokenizers library gives them without special tokens added."""
 
     def __init__(self, path: str):
+        # a task has one core, and Spark runs as many tasks as there are cores
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
         from tokenizers.pre_tokenizers import WhitespaceSplit
 
@@ -105,7 +120,7 @@ class Encoder:
         self.by_space = Tokenizer(self.tokenizer.model)
         self.by_space.pre_tokenizer = WhitespaceSplit()
         self.last = np.array([bool(self.ends) and t.endswith(self.ends) for t in self.tokens])
-        self.chunks, self.pieces = Memo(), Memo()
+        self.chunks, self.pieces = Memo(CHUNK_BYTES), Memo(PIECE_BYTES)
         self.splits_plainly = self.letters_and_signs()
         self.joins = 0
 
@@ -127,23 +142,25 @@ class Encoder:
 
     def learn(self, texts: list[list[bytes]]) -> None:
         """Remember the ids of the chunks not seen before; plain ones are put together from their letters and signs."""
-        self.chunks.trim(CACHED_BYTES)
-        self.pieces.trim(CACHED_BYTES)
-        fresh = [w for w in set().union(*texts).difference(self.chunks) if len(w) <= UNSPLIT_BYTES]
+        self.chunks.trim()
+        self.pieces.trim()
+        fresh = [w for w in self.chunks.missing(set().union(*texts)) if len(w) <= UNSPLIT_BYTES]
         if self.splits_plainly:
-            rest, plain, match = [], [], PLAIN.fullmatch
+            rest, plain, ascii_match, match = [], [], PLAIN_ASCII.fullmatch, PLAIN.fullmatch
             for w in fresh:
-                found = match(w.decode("utf-8", "replace"))
-                if found is None:
-                    rest.append(w)
+                if found := ascii_match(w):
+                    letters, signs = found.groups()
+                    plain.append((w, letters.lower(), signs))
+                elif found := match(w.decode("utf-8", "replace")):
+                    plain.append((w, found[1].lower().encode(), found[2].encode()))
                 else:
-                    plain.append((w, found[1].lower(), found[2]))
-            wanted = {p for _, letters, signs in plain for p in (letters, signs)}.difference(self.pieces)
-            wanted.discard("")
-            ordered = list(wanted)
+                    rest.append(w)
+            wanted = {letters for _, letters, _ in plain} | {signs for *_, signs in plain}
+            wanted.discard(b"")
+            ordered = list(self.pieces.missing(wanted))
             for at in range(0, len(ordered), BATCH_CHUNKS):
                 some = ordered[at : at + BATCH_CHUNKS]
-                self.pieces.keep(list(zip(some, self.piece_ids([p if p.isascii() else byte_symbols(p) for p in some]), strict=True)))
+                self.pieces.keep(list(zip(some, self.piece_ids([p.decode() if p.isascii() else byte_symbols(p) for p in some]), strict=True)))
             ids_of = self.pieces.get
             self.chunks.keep([(w, ids_of(letters, b"") + ids_of(signs, b"")) for w, letters, signs in plain])
             fresh = rest
