@@ -403,12 +403,15 @@ def keep_one_of_each(docs: DataFrame, threshold: float = 0.8, text: str = "text"
     are as in ``similar_documents``. What goes is sent to all executors where it is small enough, so
     that texts need not move.
     """
-    rows = classes(docs, threshold, 5, 1e-6, text, doc_id).filter("doc_id is not null and n_shingles > 0").select("class_node", "doc_id", "text_key")
+    rows = classes(docs, threshold, 5, 1e-6, text, doc_id).filter("doc_id is not null and n_shingles > 0").select("class_node", "class_id", "doc_id", "text_key")
     found = written(rows, "similar")
-    best = found.groupBy("class_node").agg(F.min(F.struct("doc_id", "text_key")).alias("best"))
     name_id, name_text = free_name(docs, "similar_id"), free_name(docs, "similar_text")
     names = [F.col("doc_id").alias(name_id), F.col("text_key").alias(name_text)]
-    gone = written(found.join(best, "class_node").filter(F.struct("doc_id", "text_key") != F.col("best")).select(*names).distinct(), "similar-gone")
+    # rows of the least doc_id with several texts in one class are few, and no class meets in one task
+    first = found.filter("doc_id = class_id")
+    several = first.groupBy("class_node", "doc_id").agg(F.min("text_key").alias("best"), F.max("text_key").alias("worst")).filter("best <> worst")
+    other = first.join(several.select("class_node", "doc_id", "best"), ["class_node", "doc_id"]).filter("text_key <> best")
+    gone = written(found.filter("doc_id <> class_id").select(*names).unionByName(other.select(*names)).distinct(), "similar-gone")
     again = written(found.groupBy("doc_id", "text_key").count().filter("count > 1").select(*names), "similar-again")
     same = (F.col(f"`{doc_id}`").cast("long") == F.col(name_id)) & (F.xxhash64(F.col(f"`{text}`").cast("string").cast("binary")) == F.col(name_text))
     left = docs.join(F.broadcast(gone) if gone.count() <= MOST_SENT else gone, same, "left_anti")
