@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import itertools
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -97,6 +98,24 @@ def trimmed(run):
     return whole
 
 
+def runs_of(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[pa.Table]:
+    """Runs of rows that are equal (nulls too) in the first ``keys`` columns."""
+    held: list[pa.RecordBatch] = []
+    last: tuple | None = None
+    for batch in batches:
+        names = list(zip(*(batch.column(i).to_pylist() for i in range(keys)), strict=True))
+        at = 0
+        for key, group in itertools.groupby(names):
+            n = sum(1 for _ in group)
+            if held and key != last:
+                yield pa.Table.from_batches(held)
+                held = []
+            held.append(batch.slice(at, n))
+            last, at = key, at + n
+    if held:
+        yield pa.Table.from_batches(held)
+
+
 def give_back() -> None:
     import ctypes
     import gc

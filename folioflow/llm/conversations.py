@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from folioflow.llm.common import trimmed, written
+from folioflow.llm.common import runs_of, trimmed, written
 
 #: A conversation of more turns, or more bytes of text, than this is repaired in parts.
 MOST_TURNS, MOST_BYTES = 4096, 4 << 20
@@ -400,24 +400,6 @@ def turn_code() -> Column:
     return F.when(bare == "", MUST_GO).otherwise(base + F.when(F.substring(bare, -1, 1).isin(".", "!", "?"), 0).otherwise(4))
 
 
-def runs_of(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[pa.Table]:
-    """Runs of rows that are equal (nulls too) in the first ``keys`` columns."""
-    held: list[pa.RecordBatch] = []
-    last: tuple | None = None
-    for batch in batches:
-        names = list(zip(*(batch.column(i).to_pylist() for i in range(keys)), strict=True))
-        at = 0
-        for key, group in itertools.groupby(names):
-            n = sum(1 for _ in group)
-            if held and key != last:
-                yield pa.Table.from_batches(held)
-                held = []
-            held.append(batch.slice(at, n))
-            last, at = key, at + n
-    if held:
-        yield pa.Table.from_batches(held)
-
-
 def repaired_turns(turns: DataFrame, edits: DataFrame) -> DataFrame:
     """conv_id, place (from 1), role and text of the repaired conversations, from the turns and ``repair_conversations``' audits.
 

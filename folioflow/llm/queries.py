@@ -11,6 +11,7 @@ from folioflow.llm.ann import nearest_neighbours
 from folioflow.llm.bpe import bpe_encode_decode
 from folioflow.llm.conversations import damaged, repair_conversations
 from folioflow.llm.elias_fano import read_token_files, write_token_files
+from folioflow.llm.embedding_dedup import linked_vectors
 from folioflow.llm.lm import score_documents
 from folioflow.llm.mixing import mix_report
 from folioflow.llm.ngram_join import similar_documents
@@ -93,6 +94,10 @@ def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repair_conversations(damaged(table(spark, sf_dir, "conversations")))
 
 
+def op13_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return linked_vectors(table(spark, sf_dir, "embeddings"), threshold=0.93)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_substring_dedup": op1_substring_dedup,
     "op2_mixing": op2_mixing,
@@ -105,9 +110,29 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_ngram_join": op9_ngram_join,
     "op10_quality_rules": op10_quality_rules,
     "op12_conversation_repair": op12_conversation_repair,
+    "op13_embedding_dedup": op13_embedding_dedup,
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op13_embedding_dedup": """
+        WITH RECURSIVE rows AS (
+            SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS e FROM embeddings
+        ), fine AS (
+            SELECT *, sqrt(list_sum(list_transform(e, lambda x: x * x))) AS size FROM rows
+            WHERE vec_id IS NOT NULL AND label IS NOT NULL AND len(e) > 0 AND len(list_filter(e, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(e, lambda x: x <> 0)) > 0
+        ), links AS (
+            SELECT a.vec_id AS a, b.vec_id AS b FROM fine AS a JOIN fine AS b ON a.label = b.label AND a.vec_id <> b.vec_id AND len(a.e) = len(b.e)
+            WHERE list_dot_product(a.e, b.e) / (a.size * b.size) >= 0.93
+        ), reached AS (
+            SELECT a AS vec_id, a AS other FROM links UNION SELECT r.vec_id, l.b FROM reached AS r JOIN links AS l ON r.other = l.a
+        ), least AS (
+            SELECT vec_id, min(other) AS component_id FROM reached GROUP BY vec_id
+        ), counts AS (
+            SELECT a AS vec_id, count(*) AS n_links FROM links GROUP BY a
+        )
+        SELECT vec_id, coalesce(n_links, 0) AS n_links, coalesce(component_id, vec_id) AS component_id, coalesce(component_id, vec_id) = vec_id AS kept
+        FROM rows LEFT JOIN least USING (vec_id) LEFT JOIN counts USING (vec_id)
+    """,
     "op7_warc": """
         WITH rows AS (
             SELECT page_id, strlen(coalesce(html, '')) AS payload_bytes, sha1(coalesce(html, '')) AS payload_digest FROM pages
