@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from folioflow.llm.ann import nearest_neighbours
 from folioflow.llm.bpe import bpe_encode_decode
+from folioflow.llm.collocations import collocations
 from folioflow.llm.conversations import damaged, repair_conversations
 from folioflow.llm.elias_fano import read_token_files, write_token_files
 from folioflow.llm.embedding_dedup import linked_vectors
@@ -90,6 +91,10 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
+def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations(table(spark, sf_dir, "documents"))
+
+
 def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repair_conversations(damaged(table(spark, sf_dir, "conversations")))
 
@@ -109,11 +114,42 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_bpe_encode_decode": op8_bpe_encode_decode,
     "op9_ngram_join": op9_ngram_join,
     "op10_quality_rules": op10_quality_rules,
+    "op11_collocations": op11_collocations,
     "op12_conversation_repair": op12_conversation_repair,
     "op13_embedding_dedup": op13_embedding_dedup,
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op11_collocations": r"""
+        WITH pieces AS (
+            SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\n\x0b\x0c\r]')) AS piece FROM documents
+        ), words AS (
+            SELECT lang, list_filter(regexp_split_to_array(piece, '[ \t]+'), lambda x: x <> '') AS w FROM pieces
+        ), runs AS (
+            SELECT lang, size, array_to_string(w[i : i + size - 1], ' ') AS phrase
+            FROM (SELECT lang, w, size, unnest(range(1, len(w) - size + 2)) AS i FROM words, (SELECT CAST(range AS INTEGER) AS size FROM range(1, 5)) AS sizes)
+        ), counts AS (
+            SELECT lang, size, phrase, count(*) AS a FROM runs GROUP BY ALL
+        ), totals AS (
+            SELECT lang, sum(a) AS n FROM counts WHERE size = 1 GROUP BY lang
+        ), found AS (
+            SELECT *, string_split(phrase, ' ') AS w FROM counts WHERE size > 1 AND a >= 30
+        ), cuts AS (
+            SELECT f.lang, f.phrase, f.a, k, l.a AS l, r.a AS r, CAST(CAST(2000000 AS HUGEINT) * f.a // (l.a + r.a) AS BIGINT) AS score
+            FROM found AS f CROSS JOIN (SELECT CAST(range AS INTEGER) AS k FROM range(1, 4)) AS places
+            JOIN counts AS l ON l.lang = f.lang AND l.phrase = array_to_string(f.w[1 : k], ' ') JOIN counts AS r ON r.lang = f.lang AND r.phrase = array_to_string(f.w[k + 1 :], ' ')
+            WHERE k < f.size
+        ), scored AS (
+            SELECT * FROM cuts QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1
+        ), longer AS (
+            SELECT lang, array_to_string(w[i : i + size - 1], ' ') AS phrase, max(a) AS longer
+            FROM (SELECT f.lang, f.w, f.a, s.size, unnest(range(1, f.size - s.size + 2)) AS i FROM found AS f JOIN (SELECT CAST(range AS INTEGER) AS size FROM range(2, 4)) AS s ON s.size < f.size)
+            GROUP BY ALL
+        )
+        SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, CAST(n AS BIGINT) AS n, score
+        FROM scored LEFT JOIN longer USING (lang, phrase) JOIN totals USING (lang) WHERE longer IS NULL OR 100 * CAST(longer AS HUGEINT) < 80 * CAST(a AS HUGEINT)
+        QUALIFY rank <= 2000
+    """,
     "op13_embedding_dedup": """
         WITH RECURSIVE rows AS (
             SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS e FROM embeddings
