@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from folioflow.llm import conversations_sql
 from folioflow.llm.ann import nearest_neighbours
 from folioflow.llm.bpe import bpe_encode_decode
 from folioflow.llm.collocations import collocations
@@ -150,6 +151,7 @@ ORACLE_SQL: dict[str, str] = {
         FROM scored LEFT JOIN longer USING (lang, phrase) JOIN totals USING (lang) WHERE longer IS NULL OR 100 * CAST(longer AS HUGEINT) < 80 * CAST(a AS HUGEINT)
         QUALIFY rank <= 2000
     """,
+    "op12_conversation_repair": conversations_sql.sql(),
     "op13_embedding_dedup": """
         WITH RECURSIVE rows AS (
             SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS e FROM embeddings
