@@ -165,6 +165,44 @@ def test_substring_dedup(docs, rows, empty, monkeypatch, held):
         assert substring_dedup(empty, 50).count() == 0
 
 
+@pytest.mark.parametrize(("held", "segment", "shard", "served"), [(True, 2048, 64, 1024), (False, 2048, 64, 1024), (True, 30, 3, 5)])
+def test_substring_dedup_of_unlike_texts_under_one_id(spark, monkeypatch, held, segment, shard, served):
+    from folioflow.llm import substring
+
+    for name, value in ({"SEGMENT": segment, "SHARD": shard, "SERVED": served} | ({} if held else {"MOST_HELD": -1, "MOST_SENT": -1})).items():
+        monkeypatch.setattr(substring, name, value)
+    rng = random.Random(8)
+    a, b, c, d = prose(rng, 70), prose(rng, 70), prose(rng, 400), prose(rng, 90)
+    rows = [(1, a), (5, a), (5, b), (5, b), (5, f"{b} {a}"), (3, f"{d} {c} {d}"), (9, f"{d} x {a} y {b} {c}"), (9, d), (None, c), (2, f"{c} {c}"), (2, None), (7, b), (7, f"{b} x")]
+    rows += [(i, " ".join(rng.sample([a, b, c, d], 3))) for i in range(20, 40)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = Counter((r.doc_id, r.n_words, r.n_removed, " ".join((r.text or "").split())) for r in substring_dedup(docs, 50).collect())
+    assert got == kept_words(rows, 50)
+    from corpus_pipeline import repeated_passages
+
+    staged = repeated_passages(spark, docs.selectExpr("*", "'en' AS lang", "'a' AS source", "length(text) AS n_chars"), "")
+    left = Counter((r.doc_id, " ".join((r.text or "").split())) for r in staged.collect())
+    assert left == Counter((i, t) for i, words, gone, t in kept_words(rows, 50).elements() if gone == 0 or gone < words)
+
+
+def test_automaton_knows_the_least_document_of_each_run():
+    from folioflow.llm.substring import SuffixAutomaton
+
+    rng = random.Random(6)
+    for _ in range(200):
+        runs = [(rng.randrange(9), [rng.choice("abc") for _ in range(rng.randint(1, 12))]) for _ in range(rng.randint(1, 6))]
+        automaton = SuffixAutomaton()
+        for doc, words in runs:
+            automaton.add(words, doc)
+        automaton.finish()
+        own, least, doc = [rng.choice("abc") for _ in range(12)], rng.randint(1, 4), rng.randrange(10)
+        covered = set()
+        for i in range(len(own) - least + 1):
+            if any(other < doc and words[k : k + least] == own[i : i + least] for other, words in runs for k in range(len(words) - least + 1)):
+                covered.update(range(i, i + least))
+        assert {k for x, y in automaton.spans(own, least, doc) for k in range(x, y)} == covered
+
+
 def links_of(rows):
     sets = []
     for r in rows:
