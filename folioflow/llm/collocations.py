@@ -16,13 +16,14 @@ from __future__ import annotations
 
 import pickle
 import uuid
-from collections import Counter
+from collections import Counter, defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass
 from operator import itemgetter
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -37,7 +38,9 @@ RANGE = 1 << 18
 #: Counts that a task holds before it sends them on, and phrases that it remembers having sent.
 HELD, REMEMBERED = 1 << 21, 1 << 19
 #: Phrases of an automaton, and bytes of text that a task holds to scan with one automaton after another.
-PHRASES, HELD_BYTES = 60_000, 16 << 20
+PHRASES, HELD_BYTES = 400_000, 16 << 20
+#: Counts of an automaton's phrases that are summed together, and counts that a scanning task holds.
+SLICE, HELD_COUNTS = 1 << 16, 1 << 22
 #: Bytes in pieces of text: letters A-Z in lower case, tabs as spaces, and all that ends a piece as a line feed.
 _PLAIN = bytes(10 if c in b".,;:!?\n\x0b\x0c\r" else 32 if c == 9 else c + 32 if 65 <= c <= 90 else c for c in range(256))
 _PLAIN_TABLE = np.frombuffer(_PLAIN, dtype=np.uint8)
@@ -64,6 +67,7 @@ class Pieces:
     def __init__(self, data: np.ndarray, offsets: np.ndarray):
         plain = _PLAIN_TABLE[data]
         self.words = words = Words(plain, offsets)
+        self.whole = plain.tobytes()
         n = len(words.starts)
         breaks = np.cumsum(plain == 10)
         piece = breaks[words.starts] if n else np.zeros(0, dtype=np.int64)
@@ -78,9 +82,14 @@ class Pieces:
         hashes = self.words.hashes if size == 1 else run_hashes(self.words.hashes, size)
         return hashes, self.left[: len(hashes)] >= size
 
-    def text(self, place: int, size: int) -> bytes:
-        """The run's words joined by one space."""
-        return b" ".join(self.words.data[s:e].tobytes() for s, e in zip(self.words.starts[place : place + size], self.words.ends[place : place + size], strict=True))
+    def texts(self, places: np.ndarray, size: int) -> list[bytes]:
+        """The runs' words joined by one space."""
+        starts, ends, whole = self.words.starts, self.words.ends, self.whole
+        tight = np.ones(len(places), dtype=bool)  # words that stand one space apart
+        for k in range(size - 1):
+            tight &= starts[places + k + 1] - ends[places + k] == 1
+        runs = zip(places.tolist(), starts[places].tolist(), ends[places + size - 1].tolist(), tight.tolist(), strict=True)
+        return [whole[s:e] if alike else b" ".join(whole[starts[p + k] : ends[p + k]] for k in range(size)) for p, s, e, alike in runs]
 
 
 def counters(hashes: np.ndarray, row: int, width: int) -> np.ndarray:
@@ -142,10 +151,15 @@ def summed(parts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     return at[edges], np.add.reduceat(n, edges) if len(at) else n
 
 
+def packed(values: np.ndarray) -> bytes:
+    return zstandard.compress(values.tobytes(), 1)
+
+
 def with_level(rows: DataFrame, sketch: Sketch, level: int, rules: Rules) -> None:
     """Counts the level's phrases over all texts and adds its bits to the sketch."""
     width, sizes = sketch.width, range(level, rules.words + 1) if level == 3 else range(level, level + 1)
-    held = rows.sparkSession.sparkContext.broadcast(sketch)
+    held, least, span = rows.sparkSession.sparkContext.broadcast(sketch), rules.least, min(RANGE, sketch.width)
+    kind = np.uint8 if least < 256 else np.uint32  # whether a sum reaches the threshold is the same with parts cut at it
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = held.value
@@ -156,11 +170,12 @@ def with_level(rows: DataFrame, sketch: Sketch, level: int, rules: Rules) -> Non
                 if some:
                     at, n = summed(some)
                     some.clear()
-                    edges = np.searchsorted(at, np.arange(0, width + 1, RANGE)) if width > RANGE else np.array([0, len(at)])
+                    edges = np.searchsorted(at, np.arange(0, width + 1, span))
                     for k, (a, b) in enumerate(zip(edges, edges[1:], strict=False)):
                         if b > a:
-                            data = (at[a:b] - k * RANGE).astype("<u4").tobytes() + np.minimum(n[a:b], 2**31).astype("<u4").tobytes()
-                            yield pa.RecordBatch.from_arrays([pa.array([row], pa.int32()), pa.array([k], pa.int32()), pa.array([data], pa.binary())], names=["row", "range", "counts"])
+                            dense = np.zeros(span, dtype=kind)
+                            dense[at[a:b] - k * span] = np.minimum(n[a:b], least)
+                            yield pa.RecordBatch.from_arrays([pa.array([row], pa.int32()), pa.array([k], pa.int32()), pa.array([packed(dense)], pa.binary())], names=["row", "range", "counts"])
 
         size_held = 0
         for _, pieces, salts in sliced(batches):
@@ -175,8 +190,6 @@ def with_level(rows: DataFrame, sketch: Sketch, level: int, rules: Rules) -> Non
                 size_held = 0
         yield from told()
 
-    least = rules.least
-
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, sums = None, None
 
@@ -189,9 +202,8 @@ def with_level(rows: DataFrame, sketch: Sketch, level: int, rules: Rules) -> Non
                 if now != (row, k):
                     if now:
                         yield told()
-                    now, sums = (row, k), np.zeros(min(RANGE, width), dtype=np.int64)
-                at, n = np.frombuffer(data, "<u4").reshape(2, -1)
-                sums[at] += n  # a counter comes once in a part
+                    now, sums = (row, k), np.zeros(span, dtype=np.int64)
+                sums += np.frombuffer(zstandard.decompress(data), kind)
         if now:
             yield told()
 
@@ -201,36 +213,64 @@ def with_level(rows: DataFrame, sketch: Sketch, level: int, rules: Rules) -> Non
         bits = np.zeros((width + 7) // 8, dtype=np.uint8)
         for r in found:
             if r.row == row:
-                bits[r.range * RANGE // 8 : r.range * RANGE // 8 + len(r.bits)] = np.frombuffer(r.bits, np.uint8)
+                bits[r.range * span // 8 : r.range * span // 8 + len(r.bits)] = np.frombuffer(r.bits, np.uint8)
         sketch.bits[level, row] = bits
 
 
 def candidates(rows: DataFrame, sketch: Sketch, rules: Rules) -> DataFrame:
     """(lang, phrase) that may come often enough, of one word and more, once each; and (lang, null, n), the number of all words."""
-    held = rows.sparkSession.sparkContext.broadcast(sketch)
+    held, buckets = rows.sparkSession.sparkContext.broadcast(sketch), max(16, sketch.width >> 19)
 
     def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = held.value
-        seen: set[int] = set()
+        known, seen = held.value, set()
+        words: Counter = Counter()
+        fresh: dict[tuple[str, int], list[bytes]] = defaultdict(list)
+
+        def told() -> Iterator[pa.RecordBatch]:
+            for (lang, bucket), some in fresh.items():
+                data = zstandard.compress(b"\n".join(sorted(some)), 1)
+                yield pa.RecordBatch.from_arrays([pa.array([lang]), pa.array([bucket], pa.int32()), pa.array([data], pa.binary()), pa.array([0], pa.int64())], names=["lang", "bucket", "phrases", "n"])
+            fresh.clear()
+            seen.clear()
+
         for names, pieces, salts in sliced(batches):
-            langs, phrases, words = [], [], Counter()
             for name, n in zip(names, pieces.words.counts.tolist(), strict=True):
                 words[name] += n
             for size, places, hashes in known.open_runs(pieces, salts, 3, rules.words):
                 some = known.may_reach(min(size, 3), hashes)
-                fresh, first = np.unique(hashes[some], return_index=True)
-                for h, place in zip(fresh.tolist(), places[some][first].tolist(), strict=True):
-                    if h not in seen:  # only spares copies
-                        seen.add(h)
-                        langs.append(names[pieces.owner[place]])
-                        phrases.append(pieces.text(place, size))
+                first, at = np.unique(hashes[some], return_index=True)
+                new = [i for i, h in enumerate(first.tolist()) if h not in seen]
+                seen.update(first.tolist())  # only spares copies
+                chosen = places[some][at[new]]
+                for h, owner, phrase in zip((first[new] >> np.uint64(20)).tolist(), pieces.owner[chosen].tolist(), pieces.texts(chosen, size), strict=True):
+                    fresh[names[owner], h % buckets].append(phrase)
             if len(seen) > REMEMBERED:
-                seen.clear()
-            n = len(langs)
-            counts = [None] * n + list(words.values())
-            yield pa.RecordBatch.from_arrays([pa.array(langs + list(words), pa.string()), pa.array(phrases + [None] * len(words), pa.binary()), pa.array(counts, pa.int64())], names=["lang", "phrase", "n"])
+                yield from told()
+        yield from told()
+        if words:
+            yield pa.RecordBatch.from_arrays([pa.array(list(words)), pa.array([-1] * len(words), pa.int32()), pa.array([None] * len(words), pa.binary()), pa.array(list(words.values()), pa.int64())], names=["lang", "bucket", "phrases", "n"])
+
+    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, phrases, total = None, set(), 0
+
+        def told() -> pa.RecordBatch:
+            some = [None] if now[1] < 0 else list(phrases)
+            return pa.RecordBatch.from_arrays([pa.array([now[0]] * len(some)), pa.array(some, pa.binary()), pa.array([total] * len(some), pa.int64())], names=["lang", "phrase", "n"])
+
+        for batch in batches:
+            for lang, bucket, data, n in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
+                if now != (lang, bucket):
+                    if now:
+                        yield told()
+                    now, phrases, total = (lang, bucket), set(), 0
+                total += n
+                if data is not None:
+                    phrases.update(zstandard.decompress(data).split(b"\n"))
+        if now:
+            yield told()
 
-    return rows.mapInArrow(trimmed(pick), "lang string, phrase binary, n long").groupBy("lang", "phrase").agg(F.sum("n").alias("n"))
+    picked = rows.mapInArrow(trimmed(pick), "lang string, bucket int, phrases binary, n long")
+    return picked.repartition("lang", "bucket").sortWithinPartitions("lang", "bucket").mapInArrow(trimmed(merge), "lang string, phrase binary, n long")
 
 
 def guarded(text: bytes) -> str:
@@ -256,8 +296,9 @@ def compiled(phrases: DataFrame, folder: str) -> DataFrame:
         files, base = file_system(folder)
         # an attempt has its own file; the table names those that count
         name = f"{uuid.uuid4().hex}-{TaskContext.get().taskAttemptId()}.automaton"
-        with files.open_output_stream(f"{base}/{name}", compression=None) as sink:
-            sink.write(pickle.dumps((some, automaton), protocol=5))
+        for suffix, held in (("", (len(some), automaton)), (".phrases", some)):
+            with files.open_output_stream(f"{base}/{name}{suffix}", compression=None) as sink:
+                sink.write(pickle.dumps(held, protocol=5))
         return pa.table({"lang": group["lang"][:1], "file": [name], "n": pa.array([len(some)], pa.int64())})
 
     parts = phrases.groupBy("lang").agg(F.ceil(F.count(F.lit(1)) / PHRASES).alias("parts"))
@@ -265,35 +306,43 @@ def compiled(phrases: DataFrame, folder: str) -> DataFrame:
     return written(dealt.groupBy("lang", "part").applyInArrow(build, "lang string, file string, n long"), "automata")
 
 
-def scanned(rows: DataFrame, automata: dict[str, list[str]], folder: str) -> DataFrame:
-    """(lang, phrase, a) of all occurrences in each task's texts."""
+def scanned(rows: DataFrame, automata: dict[str, list[str]], folder: str, least: int) -> DataFrame:
+    """(lang, phrase, a) of all phrases that come ``least`` times or more, from the sums of all tasks' counts."""
+    languages = {name: lang for lang, names in automata.items() for name in names}
+
+    def read(name: str):
+        files, base = file_system(folder)
+        with files.open_input_file(f"{base}/{name}") as source:
+            return pickle.loads(source.read())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         texts: dict[str, list[bytes]] = {}
+        counts: dict[str, np.ndarray] = {}
         size, held = 0, {}
 
-        def loaded(name: str) -> tuple:
-            if name not in held:
-                held.clear()  # one at a time
-                files, base = file_system(folder)
-                with files.open_input_file(f"{base}/{name}") as source:
-                    held[name] = pickle.loads(source.read())
-            return held[name]
-
-        def told() -> Iterator[pa.RecordBatch]:
+        def scan() -> None:
             for lang, some in texts.items():
                 plain = [guarded(t) for t in some]
                 for name in automata.get(lang, ()):
-                    phrases, automaton = loaded(name)
-                    counts: Counter = Counter()
-                    for text in plain:
-                        counts.update(map(itemgetter(1), automaton.iter(text)))
-                    found = list(counts)
-                    if found:
-                        told = [phrases[i].encode("utf-8", "surrogateescape") for i in found]
-                        yield pa.RecordBatch.from_arrays([pa.array([lang] * len(found)), pa.array(told, pa.binary()), pa.array(list(counts.values()), pa.int64())], names=["lang", "phrase", "a"])
+                    if name not in held:
+                        held.clear()  # one automaton at a time
+                        held[name] = read(name)
+                    n, automaton = held[name]
+                    total = counts.setdefault(name, np.zeros(n, dtype=np.int64))
+                    for a in range(0, len(plain), 64):  # several texts at once: all begin and end with a guard
+                        found = np.fromiter(map(itemgetter(1), automaton.iter("\n".join(plain[a : a + 64]))), dtype=np.int64)
+                        total += np.bincount(found, minlength=n)
             texts.clear()
 
+        def told() -> Iterator[pa.RecordBatch]:
+            for name, total in counts.items():
+                for a in range(0, len(total), SLICE):
+                    part = total[a : a + SLICE]
+                    if part.any():
+                        data = packed(part.astype(np.uint16) if part.max() < 1 << 16 else part)
+                        yield pa.RecordBatch.from_arrays([pa.array([name]), pa.array([a], pa.int64()), pa.array([data], pa.binary())], names=["file", "first", "counts"])
+            counts.clear()
+
         for batch in batches:
             for lang, text in zip(batch.column(0), batch.column(1), strict=True):
                 text = text.as_py()
@@ -301,11 +350,36 @@ def scanned(rows: DataFrame, automata: dict[str, list[str]], folder: str) -> Dat
                     texts.setdefault(lang.as_py(), []).append(text)
                     size += len(text)
                     if size >= HELD_BYTES:
-                        yield from told()
+                        scan()
                         size = 0
+                        if sum(map(len, counts.values())) > HELD_COUNTS:
+                            yield from told()
+        scan()
         yield from told()
 
-    return rows.mapInArrow(trimmed(run), "lang string, phrase binary, a long")
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, sums = None, None
+
+        def told() -> pa.RecordBatch:
+            phrases, kept = read(f"{now[0]}.phrases"), np.flatnonzero(sums >= least)
+            some = [phrases[now[1] + i].encode("utf-8", "surrogateescape") for i in kept.tolist()]
+            return pa.RecordBatch.from_arrays([pa.array([languages[now[0]]] * len(some), pa.string()), pa.array(some, pa.binary()), pa.array(sums[kept])], names=["lang", "phrase", "a"])
+
+        for batch in batches:
+            for name, first, data in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
+                if now != (name, first):
+                    if now:
+                        yield told()
+                    now, sums, n = (name, first), None, 0
+                raw = zstandard.decompress(data)
+                n = n or min(SLICE, len(read(f"{name}.phrases")) - first)
+                part = np.frombuffer(raw, np.uint16 if len(raw) == 2 * n else np.int64)
+                sums = part.astype(np.int64) if sums is None else sums + part
+        if now:
+            yield told()
+
+    partial = rows.mapInArrow(trimmed(run), "file string, first long, counts binary").repartition("file", "first").sortWithinPartitions("file", "first")
+    return partial.mapInArrow(trimmed(add), "lang string, phrase binary, a long")
 
 
 def collocations(docs: DataFrame, rules: Rules = Rules(), text: str = "text", lang: str = "lang") -> DataFrame:
@@ -326,8 +400,7 @@ def collocations(docs: DataFrame, rules: Rules = Rules(), text: str = "text", la
     automata: dict[str, list[str]] = {}
     for r in compiled(open_phrases.filter("phrase is not null").select("lang", "phrase"), folder).orderBy("lang", "file").collect():  # a row for each automaton
         automata.setdefault(r.lang, []).append(r.file)
-    counts = scanned(rows, automata, folder).groupBy("lang", "phrase").agg(F.sum("a").alias("a")).filter(F.col("a") >= rules.least)
-    known = written(counts.select("lang", F.col("phrase").cast("string").alias("phrase"), "a"), "phrases")
+    known = written(scanned(rows, automata, folder, rules.least).select("lang", F.col("phrase").cast("string").alias("phrase"), "a"), "phrases")
     return ranked(known, open_phrases.filter("phrase is null").select("lang", "n"), rules)
 
 

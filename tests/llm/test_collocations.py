@@ -61,6 +61,9 @@ def test_collocations_agree_with_brute_force(spark, rows, phrases, held, least,
     monkeypatch.setattr(module, "PHRASES", phrases)
     monkeypatch.setattr(module, "HELD_BYTES", held)
     monkeypatch.setattr(module, "HELD", held)
+    monkeypatch.setattr(module, "REMEMBERED", held)
+    monkeypatch.setattr(module, "HELD_COUNTS", held)
+    monkeypatch.setattr(module, "SLICE", phrases)
     rules = Rules(least=least, kept=40)
     found = collocations(spark.createDataFrame(rows, SCHEMA).repartition(3), rules)
     assert found.columns == ["lang", "rank", "phrase", "a", "l", "r", "n", "score"]
@@ -96,7 +99,7 @@ def test_pieces_and_guards():
     (_, _, data, offsets), *_ = text_slices(pa.array([t if t is None else t.encode() for t in texts], pa.binary()))
     pieces = Pieces(data, offsets)
     assert pieces.left.tolist() == [2, 1, 2, 1, 1, 2, 1]
-    assert [pieces.text(p, 2) for p in np.flatnonzero(pieces.runs(2)[1])] == [b"one two", b"three four", "É É".encode()]
+    assert pieces.texts(np.flatnonzero(pieces.runs(2)[1]), 2) == [b"one two", b"three four", "É É".encode()]
     assert guarded("One two. THREE\tfour\n".encode()) == " one two \n three four "
     sketch = Sketch(64)
     assert counters(pieces.words.hashes, 0, sketch.width).max() < 64
