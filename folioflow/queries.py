@@ -68,11 +68,12 @@ def search_regex_counts(spark, sf_dir):
     return docs.select("doc_id", search.count_regex(F.col("text"), "[0-9]+").cast("long").alias("n"))
 
 
-@query("""WITH t AS (SELECT conv_id, turn, regexp_extract_all(text, '[a-z]+ing') AS w, regexp_split_to_array(text, '[a-z]+ing') AS g FROM conversations), e AS (SELECT conv_id, turn, w, g, unnest(range(1, len(w) + 1)) AS i FROM t)
-    SELECT conv_id, turn, CAST(coalesce(list_sum(list_transform(w[1:i - 1], lambda x: length(x))), 0) + list_sum(list_transform(g[1:i], lambda x: length(x))) AS INTEGER) AS "start", CAST(length(w[i]) AS INTEGER) AS size FROM e""")
+@query("""WITH t AS (SELECT doc_id, regexp_extract_all(text, '[a-z]+ing') AS w, regexp_split_to_array(text, '[a-z]+ing') AS g FROM documents),
+    e AS (SELECT doc_id, unnest(range(1, len(w) + 1)) AS i, unnest(list_transform(w, lambda x: length(x))) AS w, unnest(list_transform(g[1:len(w)], lambda x: length(x))) AS g FROM t)
+    SELECT doc_id, CAST(sum(w + g) OVER (PARTITION BY doc_id ORDER BY i) - w AS INTEGER) AS "start", CAST(w AS INTEGER) AS size FROM e""")
 def search_regex_places(spark, sf_dir):
-    found = search.find_regex(table(spark, sf_dir, "conversations").select("conv_id", "turn", "text"), "[a-z]+ing", case_sensitive=True)
-    return found.select("conv_id", "turn", "start", (F.col("end") - F.col("start")).alias("size"))
+    found = search.find_regex(spread(table(spark, sf_dir, "documents").select("doc_id", "text")), "[a-z]+ing", case_sensitive=True)
+    return found.select("doc_id", "start", (F.col("end") - F.col("start")).alias("size"))
 
 
 @query(f"""WITH p AS (SELECT doc_id, text, list_transform(string_split(lower(text), 'license'), lambda x: length(x)) AS p FROM documents), h AS (SELECT doc_id, text, unnest(range(1, len(p))) AS i, p FROM p),
@@ -81,7 +82,7 @@ def search_regex_places(spark, sf_dir):
     SELECT doc_id, CAST(a AS INTEGER) AS "start", CASE WHEN lo > ls THEN '… ' ELSE '' END || ltrim(regexp_replace(substr(text, lo + 1, a - lo), '[{_BLANK}]+', ' ', 'g'), ' ') AS prefix, substr(text, a + 1, 7) AS match_text,
         rtrim(regexp_replace(substr(text, b + 1, hi - b), '[{_BLANK}]+', ' ', 'g'), ' ') || CASE WHEN hi < le THEN ' …' ELSE '' END AS suffix FROM c""")
 def search_snippets(spark, sf_dir):
-    found = search.find_literal(spread(table(spark, sf_dir, "documents").select("doc_id", "text")), "license", whole_word=True)
+    found = search.find_literal(spread(table(spark, sf_dir, "documents").select("doc_id", "text")), "license", whole_word=True, lines=search.SNIPPET)
     return search.with_snippets(found).select("doc_id", "start", "prefix", "match_text", "suffix")
 
 
@@ -105,13 +106,12 @@ def token_statistics(spark, sf_dir):
     return docs.select("doc_id", search.token_totals(F.col("text")).alias("t")).filter("t.n > 0").select("doc_id", "t.*")
 
 
-@query(f"""WITH t AS (SELECT conv_id, turn, regexp_extract_all(text, '[^{_BLANK}]+') AS w, regexp_split_to_array(text, '[^{_BLANK}]+') AS g FROM conversations),
-    e AS (SELECT conv_id, turn, w, g, unnest(range(1, len(w) + 1)) AS i FROM t)
-    SELECT conv_id, turn, CAST(i - 1 AS INTEGER) AS token_index, w[i] AS token, CAST(list_sum(list_transform(w[1:i - 1], lambda x: length(x))) + 0 AS INTEGER) IS NULL AS first,
-        CAST(coalesce(list_sum(list_transform(w[1:i - 1], lambda x: length(x))), 0) + list_sum(list_transform(g[1:i], lambda x: length(x))) AS INTEGER) AS "start" FROM e""")
+@query(f"""WITH t AS (SELECT doc_id, regexp_extract_all(text, '[^{_BLANK}]+') AS w, regexp_split_to_array(text, '[^{_BLANK}]+') AS g FROM documents),
+    e AS (SELECT doc_id, unnest(range(1, len(w) + 1)) AS i, unnest(w) AS w, unnest(list_transform(g[1:len(w)], lambda x: length(x))) AS g FROM t)
+    SELECT doc_id, CAST(i - 1 AS INTEGER) AS token_index, w AS token, i = 1 AS first, CAST(sum(length(w) + g) OVER (PARTITION BY doc_id ORDER BY i) - length(w) AS INTEGER) AS "start" FROM e""")
 def token_offsets(spark, sf_dir):
-    found = search.tokens(table(spark, sf_dir, "conversations").select("conv_id", "turn", "text"))
-    return found.select("conv_id", "turn", "token_index", "token", (F.col("token_index") == 0).alias("first"), "start")
+    found = search.tokens(spread(table(spark, sf_dir, "documents").select("doc_id", "text")))
+    return found.select("doc_id", "token_index", "token", (F.col("token_index") == 0).alias("first"), "start")
 
 
 # text

@@ -28,7 +28,7 @@ def test_rejected_whole_words_still_take_their_place(spark):
 
 def test_offsets_and_snippets(spark):
     df = spark.createDataFrame([("one\nthe  quick brown fox jumps over the lazy dog and runs away from the other animals of the wood\nend",)], "text string")
-    rows = search.with_snippets(search.find_literal(df, "runs")).collect()
+    rows = search.with_snippets(search.find_literal(df, "runs", with_text=True, lines=search.SNIPPET)).collect()
     body = rows[0].text
     assert body[rows[0].start : rows[0].end] == "runs" and rows[0].match_text == "runs"
     assert rows[0].prefix.startswith("… ") and rows[0].suffix == " away from the other animals of the wood"
@@ -42,6 +42,34 @@ def test_tokens_have_their_places(spark):
     assert all({1: body, 3: "x"}[r.id][r.start : r.end] == r.token for r in rows)
 
 
+@pytest.mark.parametrize(("words", "most"), [(20_000, 1 << 16), (200_000, 1 << 16), (3_000, 7)])
+def test_long_texts(spark, words, most, monkeypatch):
+    monkeypatch.setattr(search, "MOST_PLACES", most)
+    bodies = {i: " ".join(f"w{k % 97}İ" if k % 5 == i else f"word{k % 13}" for k in range(words)) for i in range(3)} | {3: "", 4: None, 5: "word1"}
+    df = spark.createDataFrame(list(bodies.items()), "id int, text string")
+    got = search.tokens(df).select("id", "token_index", "token", "start", "end").collect()
+    assert len(got) == 3 * words + 1
+    for r in got if words < 50_000 else got[:: words // 100]:
+        assert bodies[r.id][r.start : r.end] == r.token
+    hits = search.find_literal(df, "word1", whole_word=True).groupBy("id").count().collect()
+    assert {r.id: r["count"] for r in hits} == {i: b.split().count("word1") for i, b in bodies.items() if b and "word1" in b.split()}
+    found = search.find_regex(df, "word1[0-2]?", with_text=True).filter("id = 0").selectExpr("substr(text, start + 1, end - start) AS m").groupBy("m").count().collect()
+    assert {r.m: r["count"] for r in found} == {w: bodies[0].split().count(w) for w in ("word1", "word10", "word11", "word12")}
+
+
+def test_lines_around_matches(spark):
+    import random
+
+    rng = random.Random(3)
+    bodies = ["".join(rng.choice("ab \nx") for _ in range(rng.randint(0, 60))) for _ in range(200)]
+    df = spark.createDataFrame(list(enumerate(bodies)), "id int, text string")
+    for r in search.find_literal(df, "x", with_text=True, lines=(5, 7)).collect():
+        line_start = r.text.rfind("\n", 0, r.start) + 1
+        line_end = (r.text + "\n").find("\n", r.end)
+        low, high = max(line_start, r.start - 5), min(line_end, r.end + 7)
+        assert (r.before, r.match_text, r.after, r.cut_before, r.cut_after) == (r.text[low : r.start], "x", r.text[r.end : high], low > line_start, high < line_end)
+
+
 def test_strings_and_keys(spark):
     df = spark.createDataFrame([("naïve",), ("→ far",), ("",)], "t string")
     back = df.select("t", texts.decoded(texts.encoded(F.col("t"))).alias("b")).collect()
