@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from folioflow.functions.geometry import contains, intersects
+from folioflow.functions.geometry import intersects
+from folioflow.operators import spatial
 
 # bits of an annotation's flags, counted from 1 in the format's tables (fixed values)
 HIDDEN, READ_ONLY, LOCKED, LOCKED_CONTENTS = 1 << 1, 1 << 6, 1 << 7, 1 << 9
@@ -40,9 +41,10 @@ def in_rubber_band(annotations: DataFrame, area: Column) -> DataFrame:
 
 def topmost_at(annotations: DataFrame, points: DataFrame, keys: list[str], slot: str = "slot") -> DataFrame:
     """For each point of a page, the slot of the topmost annotation whose box holds it; null where none does."""
-    hit = points.join(annotations, keys, "left")
-    held = contains(F.col("rect"), F.col("x"), F.col("y")) & ~has(F.col("flags"), HIDDEN)
-    return hit.groupBy(*points.columns).agg(F.max(F.when(held, F.col(slot))).alias("slot"))
+    shown = annotations.filter(~has(F.col("flags"), HIDDEN)).select(*keys, slot, "rect")
+    best = spatial.at_points(points, shown, keys).groupBy(*points.columns).agg(F.max(slot).alias(slot))
+    same = [F.col(f"p.{c}").eqNullSafe(F.col(f"q.{c}")) for c in points.columns]
+    return points.distinct().alias("p").join(best.alias("q"), same, "left").select("p.*", F.col(f"q.{slot}").alias("slot"))
 
 
 def first_by_name(annotations: DataFrame, name: str, *order: str) -> DataFrame:
@@ -161,9 +163,8 @@ def filled(fields: DataFrame, values: DataFrame, keys: list[str]) -> DataFrame:
 
 def redacted(items: DataFrame, marks: DataFrame, keys: list[str]) -> DataFrame:
     """Items whose box no mark of their page meets."""
-    m = marks.select(*keys, F.col("rect").alias("_mark"))
-    hit = items.join(m, keys).filter(intersects(F.col("rect"), F.col("_mark"))).select(*keys, "item").distinct()
-    return items.join(hit, [*keys, "item"], "left_anti")
+    hit = spatial.overlapping(items.select(*keys, "item", "rect"), marks.select(*keys, F.col("rect").alias("_mark")), keys, F.col("rect"), F.col("_mark"), spatial.fitted_grid(items))
+    return items.join(hit.select(*keys, "item").distinct(), [*keys, "item"], "left_anti")
 
 
 def document_context(pages: DataFrame, fields: DataFrame, doc: str) -> DataFrame:

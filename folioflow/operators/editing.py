@@ -9,7 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from folioflow.functions.geometry import box, centroid, contains, path_length, shoelace
+from folioflow.functions.geometry import box, centroid, path_length, shoelace
+from folioflow.operators import spatial
 from folioflow.operators.annotations import HIDDEN, has
 
 #: Kinds that can't be copied, and markups whose quads must be upright to be restyled (fixed values).
@@ -47,14 +48,15 @@ def check_marks(annotations: DataFrame, keys: list[str]) -> DataFrame:
 
 def elements_at(elements: DataFrame, points: DataFrame, keys: list[str], index: str) -> DataFrame:
     """The elements whose boxes hold each point, numbered from the topmost, which is the last drawn."""
-    hit = points.join(elements, keys).filter(contains(F.col("rect"), F.col("x"), F.col("y")))
+    hit = spatial.at_points(points, elements.select(*keys, index, "rect"), keys)
     top = Window.partitionBy(*points.columns).orderBy(F.desc(index))
     return hit.select(*points.columns, index).withColumn("depth", F.row_number().over(top))
 
 
 def field_at(widgets: DataFrame, points: DataFrame, keys: list[str], slot: str) -> DataFrame:
     """The field and widget of the topmost visible widget under each point that belongs to a field; points on none are left out."""
-    hit = points.join(widgets, keys).filter((F.col("subtype") == "Widget") & ~has(F.col("flags"), HIDDEN) & F.col("field").isNotNull() & contains(F.col("rect"), F.col("x"), F.col("y")))
+    shown = widgets.filter((F.col("subtype") == "Widget") & ~has(F.col("flags"), HIDDEN) & F.col("field").isNotNull())
+    hit = spatial.at_points(points, shown.select(*keys, "rect", "field", "widget", slot), keys)
     return hit.groupBy(*points.columns).agg(F.max_by(F.struct("field", "widget"), slot).alias("f")).select(*points.columns, "f.field", "f.widget")
 
 
@@ -285,34 +287,72 @@ def reachable(edges: DataFrame, roots: DataFrame, most: int = 1000) -> DataFrame
 # pictures and runs
 
 
-def figures(images: DataFrame, keys: list[str], index: str = "image_index", least: float = 24.0) -> DataFrame:
-    """Pictures without rules and icons (a side under ``least``) and without those that cover over 0.9 of an earlier kept one of the same stream."""
-    big = images.filter((F.col("rect.right") - F.col("rect.left") >= least) & (F.col("rect.top") - F.col("rect.bottom") >= least))
-    listed = big.groupBy(*keys, "stream").agg(F.sort_array(F.collect_list(F.struct(F.col(index).alias("i"), F.col("rect").alias("r")))).alias("all_images"))
-    area = lambda r: (r["right"] - r["left"]) * (r["top"] - r["bottom"])
-
-    def overlap(a: Column, b: Column) -> Column:
-        w = F.greatest(F.lit(0.0), F.least(a["right"], b["right"]) - F.greatest(a["left"], b["left"]))
-        h = F.greatest(F.lit(0.0), F.least(a["top"], b["top"]) - F.greatest(a["bottom"], b["bottom"]))
-        return w * h / F.least(area(a), area(b))
+def figures(images: DataFrame, keys: list[str], index: str = "image_index", least: float = 24.0, most: int = 1000) -> DataFrame:
+    """Pictures without rules and icons (a side under ``least``) and without those that cover over 0.9 of an earlier kept one of the same stream.
 
-    first = F.slice("all_images", F.lit(1), F.lit(1))
-    kept = F.aggregate(F.slice("all_images", F.lit(2), F.size("all_images")), first, lambda held, x: F.when(F.exists(held, lambda k: overlap(k["r"], x["r"]) > 0.9), held).otherwise(F.concat(held, F.array(x))))
-    return images.join(listed.select(*keys, "stream", F.explode(kept).alias("k")).select(*keys, "stream", F.col("k.i").alias(index)), [*keys, "stream", index], "left_semi")
+    Pairs that cover each other come from the spatial join. A picture stays as soon as all earlier ones that it
+    covers are gone, and goes as soon as one of them stays; each round settles all that it can, and
+    chains that need over ``most`` rounds raise.
+    """
+    r = F.col("rect")
+    big = images.filter((r["right"] - r["left"] >= least) & (r["top"] - r["bottom"] >= least)).select(*keys, "stream", index, "rect")
+    area = lambda r: (r["right"] - r["left"]) * (r["top"] - r["bottom"])
+    mine = [*keys, "stream"]
+    other = big.select(*mine, F.col(index).alias("_before"), F.col("rect").alias("_rect"))
+    pairs = spatial.overlapping(big, other, mine, r, F.col("_rect"), spatial.fitted_grid(big)).filter(F.col("_before") < F.col(index))
+    o = F.col("_rect")
+    w, h = F.least(r["right"], o["right"]) - F.greatest(r["left"], o["left"]), F.least(r["top"], o["top"]) - F.greatest(r["bottom"], o["bottom"])
+    pairs = pairs.filter(w * h / F.least(area(r), area(o)) > 0.9).select(*mine, index, "_before").checkpoint()
+    gone, open_pairs = None, pairs
+    for _ in range(most):
+        if open_pairs.isEmpty():
+            break
+        # earlier pictures that cover no undecided one stay, so what covers them goes, and so does what they wait for
+        waiting = open_pairs.select(*mine, F.col(index).alias("_before")).distinct()
+        lost = open_pairs.join(waiting, [*mine, "_before"], "left_anti").select(*mine, index).distinct().checkpoint()
+        gone = lost if gone is None else gone.unionByName(lost)
+        left = open_pairs.join(lost, [*mine, index], "left_anti")
+        open_pairs = left.join(lost.select(*mine, F.col(index).alias("_before")), [*mine, "_before"], "left_anti").checkpoint()
+    else:
+        raise ValueError(f"pictures cover one another over more than {most} steps")
+    kept = images.join(big.select(*mine, index).distinct(), [*mine, index], "left_semi")
+    return kept if gone is None else kept.join(gone, [*mine, index], "left_anti")
 
 
 def image_places(images: DataFrame, blocks: DataFrame, keys: list[str], image: str = "image_index", block: str = "block_index") -> DataFrame:
-    """Where each picture comes among a page's blocks: half a step behind the nearest block above with over a tenth of the narrower's width in common, else behind the last block whose top is not below the picture's middle, else first."""
-    b = blocks.select(*keys, F.col(block).alias("_b"), F.col("rect").alias("_r"))
-    both = images.join(b, keys, "left")
+    """Where each picture comes among a page's blocks: half a step behind the nearest block above with over a tenth of the narrower's width in common, else behind the last block whose top is not below the picture's middle, else first.
+
+    Blocks above are sought in a strip over the picture, eight times as high in each round, until one is found or the
+    strip holds all. The fallback is a running maximum from the top, by slices of the page and then in a slice.
+    """
     r, o = F.col("rect"), F.col("_r")
-    common = F.greatest(F.lit(0.0), F.least(r["right"], o["right"]) - F.greatest(r["left"], o["left"]))
+    mine = images.select(*keys, image, "rect").distinct()
+    b = blocks.filter(spatial.is_box(F.col("rect"))).select(*keys, F.col(block).alias("_b"), F.col("rect").alias("_r"))
+    grid = spatial.fitted_grid(blocks)
+    low, high = mine.agg(F.min(r["top"])).first()[0], b.agg(F.max(o["bottom"])).first()[0]
+    common = F.least(r["right"], o["right"]) - F.greatest(r["left"], o["left"])
     gap = o["bottom"] - r["top"]
-    above = (common > 0.1 * F.least(r["right"] - r["left"], o["right"] - o["left"])) & (gap >= 0)
-    best = F.min(F.when(above, F.struct(gap.alias("gap"), F.col("_b").alias("b"))))
-    fallback = F.max(F.when(o["top"] >= (r["bottom"] + r["top"]) / 2, F.col("_b")))
-    found = both.groupBy(*keys, image).agg(best.alias("best"), fallback.alias("fallback"))
-    return found.select(*keys, image, (F.coalesce(F.col("best.b"), F.col("fallback"), F.lit(-1)) + 0.5).alias("order_key"))
+    best, left, strip = None, mine, 8 * grid.height
+    while low is not None and high is not None:
+        edge = box(o["left"], o["bottom"], o["right"], o["bottom"])
+        met = spatial.overlapping(left, b, keys, box(r["left"], r["top"], r["right"], r["top"] + strip), edge, grid)
+        met = met.filter((common > 0.1 * F.least(r["right"] - r["left"], o["right"] - o["left"])) & (gap >= 0) & (gap <= strip))
+        new = met.groupBy(*keys, image).agg(F.min(F.struct(gap.alias("gap"), F.col("_b").alias("b"))).alias("best")).checkpoint()
+        best = new if best is None else best.unionByName(new)
+        if strip > high - low:
+            break
+        left, strip = left.join(new, [*keys, image], "left_anti").checkpoint(), 8 * strip
+    slice_of = lambda h: F.floor(F.greatest(F.lit(-spatial.FAR), F.least(F.lit(spatial.FAR), h / (64 * grid.height)))).cast("long")
+    tops = b.select(*keys, o["top"].alias("_h"), F.lit(0).alias("_kind"), F.col("_b").alias("_last"), F.lit(None).cast(mine.schema[image].dataType).alias(image))
+    asked = mine.select(*keys, ((r["bottom"] + r["top"]) / 2).alias("_h"), F.lit(1).alias("_kind"), F.lit(None).cast(b.schema["_b"].dataType).alias("_last"), image)
+    both = tops.unionByName(asked).withColumn("_slice", slice_of(F.col("_h")))
+    above = Window.partitionBy(*keys).orderBy(F.desc("_slice")).rowsBetween(Window.unboundedPreceding, -1)
+    slices = both.groupBy(*keys, "_slice").agg(F.max("_last").alias("_most")).withColumn("_before", F.max("_most").over(above)).drop("_most")
+    down = Window.partitionBy(*keys, "_slice").orderBy(F.desc("_h"), "_kind").rowsBetween(Window.unboundedPreceding, 0)
+    behind = both.withColumn("_here", F.max("_last").over(down)).filter("_kind = 1").join(slices, [*keys, "_slice"])
+    found = behind.groupBy(*keys, image).agg(F.max(F.greatest("_here", "_before")).alias("fallback"))
+    held = found.join(best, [*keys, image], "left") if best is not None else found.withColumn("best", F.lit(None).cast("struct<gap: double, b: int>"))
+    return held.select(*keys, image, (F.coalesce(F.col("best.b"), F.col("fallback"), F.lit(-1)) + 0.5).alias("order_key"))
 
 
 def run_box(matrix: Column, start: Column, end: Column) -> Column:

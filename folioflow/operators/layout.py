@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from folioflow.functions.geometry import matrix_apply, matrix_scale
+from folioflow.operators import spatial
 
 
 def separator(previous: Column, width: Column, matrix: Column) -> Column:
@@ -52,13 +53,18 @@ def text_in_box(runs: DataFrame, keys: list[str], area: Column, index: str = "ru
     return held.select(*keys, F.array_join(F.col("parts.text"), " ").alias("text"))
 
 
+def texts_in_boxes(runs: DataFrame, areas: DataFrame, keys: list[str], area: str = "area", index: str = "run_index") -> DataFrame:
+    """For each area of a page the text of the runs whose centres lie in it, in document order, joined by one space; areas without runs are left out."""
+    x, y = (F.col("bounds.left") + F.col("bounds.right")) / 2, (F.col("bounds.bottom") + F.col("bounds.top")) / 2
+    centres = runs.select(*keys, index, "text", x.alias("x"), y.alias("y"))
+    held = spatial.at_points(centres, areas, keys, area).groupBy(*areas.columns).agg(F.sort_array(F.collect_list(F.struct(index, "text"))).alias("parts"))
+    return held.select(*areas.columns, F.array_join(F.col("parts.text"), " ").alias("text"))
+
+
 def nearest_run(runs: DataFrame, points: DataFrame, keys: list[str], tolerance: float = float("inf"), index: str = "run_index") -> DataFrame:
     """For each point of a page the run with the nearest box, the first of equals; -1 beyond the tolerance."""
-    dx = F.greatest(F.col("bounds.left") - F.col("x"), F.lit(0.0), F.col("x") - F.col("bounds.right"))
-    dy = F.greatest(F.col("bounds.bottom") - F.col("y"), F.lit(0.0), F.col("y") - F.col("bounds.top"))
-    near = points.join(runs, keys, "left").withColumn("distance", dx * dx + dy * dy)
-    best = near.groupBy(*points.columns).agg(F.min(F.struct("distance", index)).alias("best"))
-    return best.select(*points.columns, F.when(F.col("best.distance") <= tolerance * tolerance, F.col(f"best.{index}")).otherwise(F.lit(-1)).alias("run"))
+    found = spatial.nearest(points, runs, keys, index, "bounds", tolerance)
+    return found.select(*points.columns, F.coalesce(index, F.lit(-1)).alias("run"))
 
 
 _LIST = re.compile(r"^\s*([•◦▪‣*–-]|\(?([0-9]{1,3}|[A-Za-z])[.)])\s+")

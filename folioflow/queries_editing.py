@@ -309,14 +309,18 @@ def imported_objects(spark, sf_dir):
 # pictures, runs, text
 
 
-@query(f"""WITH i AS (SELECT doc_id, slot, s % 2 AS stream, x0, y0, x0 + 20 + p % 10 AS x1, y0 + 20 + s % 10 AS y1 FROM {_LINES}), b AS (SELECT * FROM i WHERE x1 - x0 >= 24 AND y1 - y0 >= 24)
-    SELECT doc_id, slot FROM b QUALIFY row_number() OVER (PARTITION BY doc_id, stream, x0, y0, x1, y1 ORDER BY slot) = 1""")
+@query(f"""WITH RECURSIVE i AS (SELECT doc_id, slot, p % 4 + 0.0 AS x0, s % 4 + 0.0 AS y0, p % 4 + 20.0 + p % 2 * 20 AS x1, s % 4 + 42.0 AS y1 FROM {_LINES}),
+    b AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY slot) AS nth FROM i WHERE x1 - x0 >= 24 AND y1 - y0 >= 24),
+    g AS (SELECT DISTINCT doc_id, CAST(0 AS BIGINT) AS nth, CAST([] AS STRUCT(slot INTEGER, x0 DOUBLE, y0 DOUBLE, x1 DOUBLE, y1 DOUBLE)[]) AS kept FROM b
+        UNION ALL SELECT b.doc_id, b.nth, CASE WHEN len(list_filter(kept, lambda k: greatest(0, least(k.x1, b.x1) - greatest(k.x0, b.x0)) * greatest(0, least(k.y1, b.y1) - greatest(k.y0, b.y0))
+            / least((k.x1 - k.x0) * (k.y1 - k.y0), (b.x1 - b.x0) * (b.y1 - b.y0)) > 0.9)) > 0 THEN kept ELSE list_append(kept, {{'slot': b.slot, 'x0': b.x0, 'y0': b.y0, 'x1': b.x1, 'y1': b.y1}}) END
+        FROM g JOIN b ON g.doc_id = b.doc_id AND b.nth = g.nth + 1)
+    SELECT doc_id, unnest(kept).slot AS slot FROM g QUALIFY nth = max(nth) OVER (PARTITION BY doc_id)""")
 def kept_figures(spark, sf_dir):
-    # equal boxes cover each other; other boxes of the table are told apart by a stream of their own
+    # boxes that overlap in part: some by more than the limit, and not all with one another
     rows = _lines(spark, sf_dir)
-    r = F.col("rect")
-    big = geometry.box(r["left"], r["bottom"], r["left"] + 20 + F.col("p") % 10, r["bottom"] + 20 + F.col("s") % 10)
-    images = rows.withColumn("rect", big).withColumn("stream", F.to_json(F.struct((F.col("s") % 2).alias("s"), "rect")))
+    x, y = (F.col("p") % 4).cast("double"), (F.col("s") % 4).cast("double")
+    images = rows.withColumns({"rect": geometry.box(x, y, x + 20 + F.col("p") % 2 * 20, y + 42), "stream": F.lit("page")})
     return editing.figures(images, ["doc_id"], "slot").select("doc_id", "slot")
 
 
@@ -354,6 +358,63 @@ def texts_in_boxes(spark, sf_dir):
     return layout.text_in_box(rows, ["doc_id"], geometry.box(F.lit(15.0), F.lit(5.0), F.lit(45.0), F.lit(35.0)))
 
 
+#: All order lines on one page, with boxes of very different sizes, and parts as points among them.
+_PAGE = """(SELECT CAST(row_number() OVER (ORDER BY l_orderkey, l_linenumber, l_partkey, l_extendedprice) - 1 AS INTEGER) AS slot, l_extendedprice / 50 AS x0, CAST((l_partkey * 7919 + l_suppkey * 31) % 2000 AS DOUBLE) AS y0,
+    l_extendedprice / 50 + 2 + CASE WHEN l_partkey % 500 = 0 THEN 400 ELSE l_quantity / 5 END AS x1, CAST((l_partkey * 7919 + l_suppkey * 31) % 2000 AS DOUBLE) + 2 + CASE WHEN l_partkey % 500 = 0 THEN 300 ELSE l_linenumber END AS y1 FROM lineitem)"""
+_SPOTS = "(SELECT p_partkey AS spot, p_retailprice + 0.0 AS x, CAST(p_partkey * 13 % 2000 AS DOUBLE) AS y FROM part)"
+
+
+def _page(spark, sf_dir) -> DataFrame:
+    place = Window.orderBy("l_orderkey", "l_linenumber", "l_partkey", "l_extendedprice")
+    x, y = F.col("l_extendedprice") / 50, ((F.col("l_partkey") * 7919 + F.col("l_suppkey") * 31) % 2000).cast("double")
+    large = F.col("l_partkey") % 500 == 0
+    rect = geometry.box(x, y, x + 2 + F.when(large, 400).otherwise(F.col("l_quantity") / 5), y + 2 + F.when(large, 300).otherwise(F.col("l_linenumber")))
+    return table(spark, sf_dir, "lineitem").select(F.lit(1).alias("page"), (F.row_number().over(place) - 1).alias("slot"), rect.alias("rect"))
+
+
+def _spots(spark, sf_dir) -> DataFrame:
+    return table(spark, sf_dir, "part").select(F.lit(1).alias("page"), F.col("p_partkey").alias("spot"), F.col("p_retailprice").cast("double").alias("x"), (F.col("p_partkey") * 13 % 2000).cast("double").alias("y"))
+
+
+@query(f"""SELECT spot, slot, CAST(row_number() OVER (PARTITION BY spot ORDER BY slot DESC) AS INTEGER) AS depth FROM {_SPOTS} JOIN {_PAGE} ON x BETWEEN x0 AND x1 AND y BETWEEN y0 AND y1""")
+def one_page_hits(spark, sf_dir):
+    return editing.elements_at(_page(spark, sf_dir), _spots(spark, sf_dir), ["page"], "slot").select("spot", "slot", "depth")
+
+
+@query(f"""SELECT spot, CAST(max(slot) AS INTEGER) AS slot FROM {_SPOTS} LEFT JOIN {_PAGE} ON x BETWEEN x0 AND x1 AND y BETWEEN y0 AND y1 GROUP BY spot""")
+def one_page_topmost(spark, sf_dir):
+    rows = _page(spark, sf_dir).withColumn("flags", F.lit(0))
+    return annotations.topmost_at(rows, _spots(spark, sf_dir), ["page"]).select("spot", "slot")
+
+
+@query(f"""SELECT spot, arg_min(slot, {{'d': pow(greatest(x0 - x, 0, x - x1), 2) + pow(greatest(y0 - y, 0, y - y1), 2), 's': slot}}) AS run FROM {_SPOTS}, {_PAGE} GROUP BY spot""")
+def one_page_nearest(spark, sf_dir):
+    runs = _page(spark, sf_dir).select("page", F.col("slot").alias("run_index"), F.col("rect").alias("bounds"))
+    return layout.nearest_run(runs, _spots(spark, sf_dir), ["page"]).select("spot", "run")
+
+
+@query(f"""SELECT slot FROM {_PAGE} ANTI JOIN {_SPOTS} ON x0 <= x + 5 AND x1 >= x AND y0 <= y + 3 AND y1 >= y""")
+def one_page_redactions(spark, sf_dir):
+    marks = _spots(spark, sf_dir).select("page", geometry.box(F.col("x"), F.col("y"), F.col("x") + 5, F.col("y") + 3).alias("rect"))
+    return annotations.redacted(_page(spark, sf_dir).withColumn("item", F.col("slot")), marks, ["page"]).select("slot")
+
+
+@query(f"""SELECT spot, string_agg(CAST(slot AS VARCHAR), ' ' ORDER BY slot) AS text FROM {_SPOTS} JOIN {_PAGE} ON (x0 + x1) / 2 BETWEEN x AND x + 9 AND (y0 + y1) / 2 BETWEEN y AND y + 6 GROUP BY spot""")
+def one_page_texts(spark, sf_dir):
+    runs = _page(spark, sf_dir).select("page", F.col("slot").alias("run_index"), F.col("slot").cast("string").alias("text"), F.col("rect").alias("bounds"))
+    areas = _spots(spark, sf_dir).select("page", "spot", geometry.box(F.col("x"), F.col("y"), F.col("x") + 9, F.col("y") + 6).alias("area"))
+    return layout.texts_in_boxes(runs, areas, ["page"]).select("spot", "text")
+
+
+@query(f"""WITH i AS (SELECT spot, x, y, x + 40 AS x1, y + 10 AS y1 FROM {_SPOTS}), b AS (SELECT * FROM {_PAGE} WHERE slot % 4 = 0),
+    j AS (SELECT spot, slot, greatest(0, least(i.x1, b.x1) - greatest(i.x, b.x0)) > 0.1 * least(i.x1 - i.x, b.x1 - b.x0) AND b.y0 >= i.y1 AS above, b.y0 - i.y1 AS gap, b.y1 >= (i.y + i.y1) / 2 AS back FROM i, b)
+    SELECT spot, coalesce(arg_min(slot, {{'g': gap, 's': slot}}) FILTER (above), max(slot) FILTER (back), -1) + CAST(0.5 AS DOUBLE) AS order_key FROM j GROUP BY spot""")
+def one_page_pictures(spark, sf_dir):
+    blocks = _page(spark, sf_dir).filter("slot % 4 = 0").select("page", F.col("slot").alias("block_index"), "rect")
+    images = _spots(spark, sf_dir).select("page", "spot", geometry.box(F.col("x"), F.col("y"), F.col("x") + 40, F.col("y") + 10).alias("rect"))
+    return editing.image_places(images, blocks, ["page"], "spot").select("spot", F.col("order_key").cast("double").alias("order_key"))
+
+
 @query(f"""WITH r AS (SELECT *, p % 3 AS gap, lag(p % 3) OVER (PARTITION BY doc_id ORDER BY slot) AS before FROM {_LINES})
     SELECT doc_id, string_agg(CASE WHEN before IS NULL THEN '' WHEN gap <> before THEN chr(10) WHEN s % 2 = 0 THEN ' ' ELSE '' END || 'w' || p, '' ORDER BY slot) AS text FROM r GROUP BY doc_id""")
 def page_texts(spark, sf_dir):
