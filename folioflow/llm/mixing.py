@@ -18,10 +18,12 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from folioflow.llm.common import free_name, free_prefix, word_array, written
+from folioflow.llm.common import free_prefix, word_array, written
 
 #: A source has a shard for so many words, up to so many shards.
 SHARD_WORDS, MOST_SHARDS = 1 << 15, 4096
+#: Shards whose rows (of about 150 bytes) go to all executors at most.
+MOST_SENT = 100_000
 
 
 @dataclass(frozen=True)
@@ -80,7 +82,7 @@ def measured(docs: DataFrame, text: str, source: str, mix: Mix, names: dict[str,
     identity = F.xxhash64(F.col(f"`{names['id']}`"), body, F.lit(mix.seed))
     return docs.select(
         *(F.col(f"`{c}`") for c in docs.columns),
-        F.size(word_array(body)).cast("long").alias(names["size"]),
+        F.regexp_count(body, F.lit(r"[^\x20\x09-\x0D]+")).cast("long").alias(names["size"]),
         source_key(F.col(f"`{source}`")).alias(names["key"]),
         identity.alias(names["rank"]),
     )
@@ -139,11 +141,6 @@ def taken_parts(rows: DataFrame, known: DataFrame, plan: DataFrame, names: dict[
     )
 
 
-def _names(docs: DataFrame, doc_id: str) -> dict[str, str]:
-    prefix = free_prefix(docs, "mix")
-    return {"id": doc_id} | {n: f"{prefix}_{n}" for n in ("size", "key", "rank", "source_size", "target", "passes", "tail_from", "tail_to", "head_to")}
-
-
 def _taken(n: dict[str, str]) -> Column:
     c = {k: F.col(f"`{v}`") for k, v in n.items()}
     return c["passes"] * c["size"] + (c["tail_to"] - c["tail_from"]) + c["head_to"]
@@ -164,29 +161,65 @@ def mix_report(docs: DataFrame, text: str = "text", source: str = "source", doc_
     return parts.select("doc_id", "size", "source_size", "target", _taken(names).alias("taken"))
 
 
+def cut_points(rows: DataFrame, plan: DataFrame) -> DataFrame:
+    """For each shard of (key, shard, rank, pos, size) rows and each end of the runs that it gives: the row it falls into and how many of its words lie before.
+
+    In the order of a shard, rows before that row are wholly before the end, rows after it wholly behind; so
+    one row a shard tells what is taken of every row, and no text has to move.
+    """
+    before = Window.partitionBy("key", "shard").orderBy("rank", "pos").rowsBetween(Window.unboundedPreceding, -1)
+    order = Window.partitionBy("key", "shard").orderBy("rank", "pos")
+    alone = ~(F.lag("rank").over(order).eqNullSafe(F.col("rank")) | F.lead("rank").over(order).eqNullSafe(F.col("rank")))
+    placed = rows.filter("size > 0").withColumn("at", F.coalesce(F.sum("size").over(before), F.lit(0))).withColumn("alone", alone)
+    end = F.col("first") + F.col("rest")
+    ends = {"tail_from": F.col("first"), "tail_to": F.least(end, F.col("words")), "head_to": end - F.col("words")}
+    sent = plan.select("key", "shard", "passes", *(F.when(x <= 0, F.lit(0)).when(x >= F.col("words"), F.lit(-1)).otherwise(x).alias(n) for n, x in ends.items()))
+    met = placed.join(sent, ["key", "shard"])
+    here = lambda n: F.max(F.when((F.col(n) > 0) & (F.col("at") <= F.col(n)) & (F.col(n) < F.col("at") + F.col("size")), F.struct("rank", "pos", "alone", (F.col(n) - F.col("at")).alias("words"))))
+    found = met.groupBy("key", "shard").agg(F.first("passes").alias("passes"), *(F.first(n).alias(n) for n in ends), *(here(n).alias(f"{n}_row") for n in ends))
+    return written(found, "mix-cuts")
+
+
 def mix_documents(docs: DataFrame, text: str = "text", source: str = "source", doc_id: str = "doc_id", n_chars: str = "n_chars", mix: Mix = Mix()) -> DataFrame:
     """The mixed documents with the columns of ``docs``: a row for each whole pass over a document, and one for the words taken beyond.
 
     Words taken beyond whole passes are joined by one space, in their order; if they are the whole
     text, it comes unchanged. ``n_chars``, if there, is counted anew. Documents of which nothing is
-    taken are missing. Nulls, blanks, repeated rows and empty tables are as in ``mix_report``.
+    taken are missing. Nulls, blanks, repeated rows and empty tables are as in ``mix_report``; repeated
+    rows are told apart by their place in the scan, so ``docs`` should be a table where rows repeat. Texts stay where they
+    are read: what is taken of them follows from a row for each shard.
     """
-    names = _names(docs, doc_id)
-    narrow = docs.select(F.col(f"`{doc_id}`").alias("doc_id"), F.col(f"`{source}`").alias("source"), F.col(f"`{text}`").alias("text"))
-    plain = {n: n for n in ("size", "key", "rank")} | {"id": "doc_id"}
-    sizes = written(measured(narrow, "text", "source", mix, plain).drop("text", "doc_id"), "mix-sizes")
+    prefix = free_prefix(docs, "mix")
+    n = {c: f"{prefix}_{c}" for c in ("size", "key", "rank", "pos", "shard", "passes", "tail_from", "tail_to", "head_to", "nth")}
+    c = {k: F.col(f"`{v}`") for k, v in n.items()}
+    measures = measured(docs, text, source, mix, {"id": doc_id, "size": n["size"], "key": n["key"], "rank": n["rank"]}).withColumn(n["pos"], F.monotonically_increasing_id())
+    sizes = written(measures.select(F.col(f"`{source}`").alias("source"), *(c[k].alias(k) for k in ("key", "rank", "pos", "size"))), "mix-sizes")
     known, plan = shard_plan(sizes, mix)
-    rows = measured(docs, text, source, mix, names)
-    parts = taken_parts(rows, known, plan, names, free_name(rows, "mix_at"), free_name(rows, "mix_place")).filter(_taken(names) > 0)
-    c = {k: F.col(f"`{v}`") for k, v in names.items()}
-    words = word_array(F.col(f"`{text}`"))
-    some = F.array_join(
-        F.concat(F.slice(words, F.lit(1), c["head_to"].cast("int")), F.slice(words, c["tail_from"].cast("int") + 1, (c["tail_to"] - c["tail_from"]).cast("int"))), " "
+    shards = known.select("key", "shards")
+    cuts = cut_points(sizes.join(shards, "key").withColumn("shard", shard_of(F.col("rank"), F.col("shards"))), plan)
+    own = [k for k in cuts.columns if k not in ("key", "shard")]
+    # where there are very many sources, rows meet their source and shard by joins
+    sent = F.broadcast if cuts.count() <= MOST_SENT else (lambda side: side)
+    met = measures.join(sent(shards.select(F.col("key").alias(n["key"]), F.col("shards").alias(n["passes"]))), n["key"]).withColumn(n["shard"], shard_of(c["rank"], c["passes"])).drop(n["passes"])
+    met = met.join(sent(cuts.select(F.col("key").alias(n["key"]), F.col("shard").alias(n["shard"]), F.struct(*own).alias(n["nth"]))), [n["key"], n["shard"]])
+    cut = {k: c["nth"][k] for k in own}
+
+    def before(name: str) -> Column:
+        at = cut[f"{name}_row"]
+        same = c["rank"] == at["rank"]
+        ahead = (c["rank"] < at["rank"]) | (same & ~at["alone"] & (c["pos"] < at["pos"]))
+        here = same & (at["alone"] | (c["pos"] == at["pos"]))
+        return F.when(cut[name] == 0, F.lit(0)).when(cut[name] < 0, c["size"]).when(ahead, c["size"]).when(here, at["words"]).otherwise(F.lit(0)).cast("int")
+
+    told = met.filter(c["size"] > 0).select(
+        *(F.col(f"`{x}`") for x in docs.columns), c["size"].alias(n["size"]), cut["passes"].alias(n["passes"]), *(before(k).alias(n[k]) for k in ("tail_from", "tail_to", "head_to"))
     )
     beyond = c["head_to"] + c["tail_to"] - c["tail_from"]
-    last = F.when(beyond == 0, F.array().cast("array<string>")).when(beyond == c["size"], F.array(F.col(f"`{text}`"))).otherwise(F.array(some))
-    copies = F.concat(F.array_repeat(F.col(f"`{text}`"), c["passes"].cast("int")), last)
-    out = free_name(rows, "mix_text")
-    told = parts.select(*(F.col(f"`{x}`") for x in docs.columns), F.explode(copies).alias(out))
-    new = {text: F.col(out), n_chars: F.length(out)}
+    copies = c["passes"] + F.when(beyond > 0, 1).otherwise(0)
+    told = told.withColumn(n["nth"], F.explode(F.when(copies > 0, F.sequence(F.lit(1).cast("long"), copies)).otherwise(F.array().cast("array<bigint>"))))
+    words = word_array(F.col(f"`{text}`"))
+    some = F.array_join(F.concat(F.slice(words, F.lit(1), c["head_to"]), F.slice(words, c["tail_from"] + 1, c["tail_to"] - c["tail_from"])), " ")
+    out = n["key"]
+    told = told.select(*(F.col(f"`{x}`") for x in docs.columns), F.when((c["nth"] <= c["passes"]) | (beyond == c["size"]), F.col(f"`{text}`")).otherwise(some).alias(out))
+    new = {text: F.col(f"`{out}`"), n_chars: F.length(f"`{out}`")}
     return told.select(*(new[x].cast(docs.schema[x].dataType).alias(x) if x in new else F.col(f"`{x}`") for x in docs.columns))

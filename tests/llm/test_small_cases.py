@@ -4,6 +4,7 @@ import hashlib
 import random
 import zlib
 from collections import Counter, defaultdict
+from fractions import Fraction
 
 import numpy as np
 import pytest
@@ -17,7 +18,7 @@ from folioflow.llm.ann import VantageTree, nearest_neighbours  # noqa: E402
 from folioflow.llm.bpe import LEAF_BYTES, Encoder, bpe_encode_decode  # noqa: E402
 from folioflow.llm.elias_fano import EliasFano, read_token_files, write_token_files  # noqa: E402
 from folioflow.llm.lm import score_documents  # noqa: E402
-from folioflow.llm.mixing import Mix, mix_documents, mix_report  # noqa: E402
+from folioflow.llm.mixing import Mix, apportioned, mix_documents, mix_report  # noqa: E402
 from folioflow.llm.ngram_join import keep_one_of_each, similar_documents  # noqa: E402
 from folioflow.llm.quality import QualityRules, chi2_cdf, chi2_quantile, cutoff, quality_filter, quality_report  # noqa: E402
 from folioflow.llm.sharding import extendible_shards  # noqa: E402
@@ -281,8 +282,55 @@ def test_keep_one_of_rows_that_share_an_id(spark):
     assert left == Counter([(1, one), (2, other), (3, None), (4, "")])
 
 
-def test_mixing(docs, rows, empty):
+def naive_seats(votes: list[int], seats: int) -> list[int]:
+    """Highest quotients, one seat after another; ties to the first."""
+    won = [0] * len(votes)
+    for _ in range(seats):
+        best = max(range(len(votes)), key=lambda i: (Fraction(votes[i]) / (2 * won[i] + 1), -i))
+        won[best] += 1
+    return won
+
+
+def test_quotas_are_those_of_highest_quotients(spark):
+    rng = random.Random(9)
+    groups = {g: [rng.choice([0, 5, 5, rng.randrange(1, 4000)]) for _ in range(rng.randint(1, 12))] + [3] for g in range(40)}
+    parties = [(g, i, v, 7 * g + 1) for g, votes in groups.items() for i, v in enumerate(votes)]
+    table = spark.createDataFrame(parties, "grp long, party long, votes long, due long")
+    got = {(r.grp, r.party): r.quota for r in apportioned(table, ["grp"], "party", "votes", F.col("due")).collect()}
+    assert got == {(g, i): n for g, votes in groups.items() for i, n in enumerate(naive_seats(votes, 7 * g + 1))}
+
+
+def test_shards_share_their_source_by_highest_quotients(spark, monkeypatch, tmp_path):
+    from folioflow.llm import mixing
+
+    monkeypatch.setattr(mixing, "SHARD_WORDS", 300)
+    rng = random.Random(10)
+    rows = [(i, prose(rng, rng.randint(0, 60)), "en", "abcd"[min(3, i % 7)], 0) for i in range(400)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/docs")
+    docs, mix = spark.read.parquet(f"{tmp_path}/docs"), Mix(block_words=8)
+    plain = {n: n for n in ("size", "key", "rank")} | {"id": "doc_id"}
+    sizes = mixing.written(mixing.measured(docs, "text", "source", mix, plain).select("source", "key", "rank", "size"), "sizes")
+    known, plan = mixing.shard_plan(sizes, mix)
+    known, plan = {r.key: r for r in known.collect()}, sorted(plan.collect(), key=lambda r: (r.key, r.shard))
+    seats = round(sum(r.source_size for r in known.values()) / 8)
+    order = sorted(known)
+    assert [known[k].source_quota for k in order] == naive_seats([Fraction(known[k].target) for k in order], seats)
+    for k in order:
+        own = [r for r in plan if r.key == k]
+        assert len(own) > 2 and [r.quota for r in own] == naive_seats([r.words for r in own], known[k].source_quota)
+    taken = Counter()
+    for r in mixing.mix_documents(docs, mix=mix).collect():
+        taken[r.doc_id] += len(r.text.split())
+    assert +taken == +Counter({r.doc_id: r.taken for r in mix_report(docs, mix=mix).collect()})
+    for least in (-1, 10**6):
+        monkeypatch.setattr(mixing, "MOST_SENT", least)
+        assert Counter(map(tuple, mixing.mix_documents(docs.union(docs), mix=mix).collect())).total() > 400
+
+
+def test_mixing(spark, docs, rows, empty, tmp_path):
     mix = Mix(block_words=8)
+    docs.write.parquet(f"{tmp_path}/docs")
+    docs = spark.read.parquet(f"{tmp_path}/docs")
     got = mix_report(docs, mix=mix).collect()
     sizes = defaultdict(int)
     for r in rows:
@@ -495,9 +543,14 @@ def test_lm_contexts_grow_with_the_corpus(spark):
     assert score[held[0]] - score[held[1]] > 40
     assert lm.bits_for(8 << 14) == 14 and lm.bits_for(1) == lm.BITS
 
+@pytest.mark.parametrize("most", [300, 7_000_000_000])
+def test_lm_paths_keep_counts_of_any_size(most):
+    from folioflow.llm import lm
+
+    rng = np.random.default_rng(6)
     pairs = np.sort(rng.integers(0, 1 << 63, 500, dtype=np.uint64) >> np.uint64(47))
     pairs, times = np.unique(pairs, return_counts=True)
-    times[3] = 100_000
+    times[3], times[9] = 100_000, most
     again = lm.unpacked_pairs(lm.packed_pairs(pairs, times), len(pairs))
     assert (again[0] == pairs).all() and (again[1] == times).all()
     along = lm.paths(pairs, times, 12)
