@@ -131,14 +131,13 @@ def give_back() -> None:
 def write_pairs(pairs: DataFrame, name: str, value_type: str) -> str:
     """Write a table of two whole numbers as files of arrays, in ranges of the first; the folder is returned.
 
-    Executors write and read the files; a task's file gets its name when it is whole. Values beyond
-    the type's largest become that.
+    Executors write and read the files; a task's file gets its name when it is whole. Values have to fit
+    the type.
     """
     spark = pairs.sparkSession
     folder = new_folder(spark, name)
     key, value = pairs.columns
     ordered = pairs.repartitionByRange(int(spark.conf.get("spark.sql.shuffle.partitions")), key).sortWithinPartitions(key)
-    most = np.iinfo(value_type).max
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
@@ -151,7 +150,7 @@ def write_pairs(pairs: DataFrame, name: str, value_type: str) -> str:
             draft = f"{target}.{context.taskAttemptId()}.draft"
             with files.open_output_stream(draft, compression=None) as sink:
                 sink.write(np.concatenate([h[0] for h in held]).astype(np.int64).tobytes())
-                sink.write(np.minimum(np.concatenate([h[1] for h in held]), most).astype(value_type).tobytes())
+                sink.write(np.concatenate([h[1] for h in held]).astype(value_type).tobytes())
             files.move(draft, f"{target}.pairs")
         yield pa.RecordBatch.from_pydict({"parts": pa.array([len(held)], pa.int64())})
 
