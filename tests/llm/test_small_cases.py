@@ -597,4 +597,4 @@ def test_archives(spark):
 
 
 def test_all_are_registered():
-    assert sorted(int(n[2:].split("_")[0]) for n in registered.QUERIES) == list(range(1, 11))
+    assert sorted(int(n[2:].split("_")[0]) for n in registered.QUERIES) == list(range(1, 14))
