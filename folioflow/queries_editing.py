@@ -10,8 +10,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from folioflow.functions import geometry, measure
-from folioflow.operators import annotations, editing, layout, recognition
+from folioflow.operators import annotations, editing, graphics, layout, recognition
+from folioflow.plans.folders import shared_folder
 from folioflow.queries import query, table
+from folioflow.streaming.buckets import Buckets
 
 _LINES = """(SELECT l_orderkey AS doc_id, CAST(row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_extendedprice) - 1 AS INTEGER) AS slot,
     CAST(l_quantity AS DOUBLE) AS x0, CAST(l_partkey % 50 AS DOUBLE) AS y0, CAST(l_quantity AS DOUBLE) + 10 AS x1, CAST(l_partkey % 50 AS DOUBLE) + 5 AS y1,
@@ -579,3 +581,41 @@ def sure_spans(spark, sf_dir):
     bounds = geometry.box(F.lit(0.0), F.lit(0.0), F.when(e % 4 == 0, F.lit(0.0)).otherwise(F.lit(1.0)), F.lit(1.0))
     spans = table(spark, sf_dir, "events").select("event_id", "value", F.col("value").alias("confidence"), bounds.alias("bounds"), F.when(e % 5 == 0, F.lit(" ")).otherwise(F.lit("w")).alias("text"))
     return recognition.confident_spans(spans, 20.0).select("event_id", "value")
+
+
+# graphics state and kept state
+
+#: Forty orders make a page of operations: scopes, moves and scales, lines of text.
+_OPS = """(SELECT l_orderkey // 40 AS page, row_number() OVER (PARTITION BY l_orderkey // 40 ORDER BY l_orderkey, l_linenumber, l_partkey, l_extendedprice) - 1 AS i, l_partkey % 9 AS k,
+    CAST(l_suppkey % 3 - 1 AS DOUBLE) AS u, CAST(l_linenumber AS DOUBLE) AS v, CASE l_suppkey % 3 WHEN 0 THEN 0.5 WHEN 1 THEN 1.0 ELSE 2.0 END AS z FROM lineitem)"""
+_OPERATORS = ("q", "q", "Q", "cm", "Tj", "BT", "Tm", "Td", "Tj")
+
+
+@query(f"""WITH RECURSIVE o AS (SELECT * FROM {_OPS}), g AS (
+    SELECT DISTINCT page, CAST(-1 AS BIGINT) AS i, CAST(-1 AS BIGINT) AS k, [1.0::DOUBLE, 1.0::DOUBLE, 0.0::DOUBLE, 0.0::DOUBLE] AS m, CAST([] AS DOUBLE[][]) AS held, [1.0::DOUBLE, 0.0::DOUBLE, 0.0::DOUBLE] AS line FROM o
+    UNION ALL SELECT o.page, o.i, o.k, CASE o.k WHEN 2 THEN coalesce(g.held[-1], g.m) WHEN 3 THEN [z * m[1], z * m[2], u * m[1] + m[3], v * m[2] + m[4]] ELSE m END,
+        CASE WHEN o.k IN (0, 1) THEN list_append(g.held, m) WHEN o.k = 2 THEN g.held[:-2] ELSE g.held END,
+        CASE o.k WHEN 5 THEN [1.0::DOUBLE, 0.0::DOUBLE, 0.0::DOUBLE] WHEN 6 THEN [z, u, v] WHEN 7 THEN [line[1], u * line[1] + line[2], v * line[1] + line[3]] ELSE line END
+    FROM g JOIN o ON g.page = o.page AND o.i = g.i + 1)
+    SELECT page, i, CAST(len(held) AS INTEGER) AS depth, m[1] AS width, m[3] AS x, m[4] AS y, line[1] AS size, line[2] AS line_x, line[3] AS line_y FROM g WHERE k IN (4, 8)""")
+def shown_text_matrices(spark, sf_dir):
+    order = Window.partitionBy("page").orderBy("l_orderkey", "l_linenumber", "l_partkey", "l_extendedprice")
+    lines = table(spark, sf_dir, "lineitem").withColumn("page", F.expr("l_orderkey div 40"))
+    u, v = (F.col("l_suppkey") % 3 - 1).cast("double"), F.col("l_linenumber").cast("double")
+    z, zero = F.get(F.array(F.lit(0.5), F.lit(1.0), F.lit(2.0)), (F.col("l_suppkey") % 3).cast("int")), F.lit(0.0)
+    name = F.get(F.array(*map(F.lit, _OPERATORS)), (F.col("l_partkey") % 9).cast("int"))
+    ops = lines.select("page", (F.row_number().over(order) - 1).cast("long").alias("op_index"), name.alias("operator"), F.array(z, zero, zero, z, u, v).alias("six"), F.array(u, v).alias("two"))
+    ops = ops.withColumn("numbers", F.when(F.col("operator").isin("cm", "Tm"), F.col("six")).when(F.col("operator") == "Td", F.col("two")))
+    found = graphics.text_matrices(ops, ["page"])
+    return found.select("page", F.col("op_index").alias("i"), "depth", F.col("ctm.a").alias("width"), F.col("ctm.e").alias("x"), F.col("ctm.f").alias("y"), F.col("line.a").alias("size"), F.col("line.e").alias("line_x"), F.col("line.f").alias("line_y"))
+
+
+@query("""SELECT user_id, name, event_id AS seq, event_type AS snapshot FROM (SELECT *, event_id % 20 AS name FROM events) QUALIFY event_id = max(event_id) OVER (PARTITION BY user_id, name) AND event_id % 7 <> 0""")
+def bucketed_feed(spark, sf_dir):
+    # batches come out of order: each has every fourth event
+    kind = F.when(F.col("event_id") % 7 == 0, F.lit("removed")).otherwise(F.lit("modified"))
+    feed = table(spark, sf_dir, "events").select("user_id", (F.col("event_id") % 20).alias("name"), F.col("event_id").alias("seq"), kind.alias("kind"), F.col("event_type").alias("snapshot"))
+    state = Buckets(shared_folder(spark, "bucketed-feed"), feed.schema, ("user_id", "name"), number=16)
+    for batch in range(4):
+        state.merge(feed.filter(F.col("seq") % 4 == 3 - batch), batch)
+    return state.state(spark).select("user_id", "name", "seq", "snapshot")
