@@ -75,11 +75,11 @@ class Memo(dict):
 
     def missing(self, wanted: set) -> set:
         """What is neither held nor found among what was held before, which is held again."""
-        fresh = wanted.difference(self)
-        if self.old:
-            again = fresh.intersection(self.old)
-            self.keep([(k, self.old[k]) for k in again])
-            fresh -= again
+        fresh = {k for k in wanted if k not in self}  # the methods of sets would walk the whole memo
+        if old := self.old:
+            again = [k for k in fresh if k in old]
+            self.keep([(k, old[k]) for k in again])
+            fresh.difference_update(again)
         return fresh
 
     def trim(self) -> None:
