@@ -110,7 +110,14 @@ def markups(selections: DataFrame, subtype: str, rects: str = "rects") -> DataFr
 
 
 def shapes(rows: DataFrame, subtype: str, points: str = "points", width: str = "stroke_width") -> DataFrame:
-    """Line, PolyLine, Polygon or Ink annotations from points; the box is theirs, wider by the pen's width. Rows with too few points make none."""
+    """Line, PolyLine, Polygon or Ink annotations from points; the box is theirs, wider by the pen's width. Rows with too few points make none.
+
+    Square and Circle have two opposite corners, in any order, and lie within their box: it is not widened.
+    """
+    if subtype in ("Square", "Circle"):
+        a, b = F.get(points, F.lit(0)), F.get(points, F.lit(1))
+        rect = box(F.least(a["x"], b["x"]), F.least(a["y"], b["y"]), F.greatest(a["x"], b["x"]), F.greatest(a["y"], b["y"]))
+        return rows.filter(F.coalesce(F.size(points) == 2, F.lit(False))).withColumns({"subtype": F.lit(subtype), "rect": rect})
     least = {"Line": 2, "PolyLine": 2, "Polygon": 3, "Ink": 1}[subtype]
     enough = F.size(points) == 2 if subtype == "Line" else F.size(points) >= least
     return rows.filter(F.coalesce(enough, F.lit(False))).withColumns({"subtype": F.lit(subtype), "rect": points_box(F.col(points), F.col(width))})
@@ -273,14 +280,17 @@ def flattened(ops: DataFrame, annotations: DataFrame, keys: list[str]) -> tuple[
 
 
 def reachable(edges: DataFrame, roots: DataFrame, most: int = 1000) -> DataFrame:
-    """The objects that references lead to from the roots, themselves included; loops end. Raises where ``most`` steps don't suffice."""
-    found = roots.select(F.col("object")).distinct().checkpoint()
-    edge, new = edges.select(F.col("source").alias("object"), "target").checkpoint(), found
+    """The objects that references lead to from the roots, themselves included; loops end. Raises where ``most`` steps don't suffice.
+
+    What a step finds is written once; the steps are put together when they are read.
+    """
+    found = new = roots.select(F.col("object")).distinct().checkpoint()
+    edge = edges.select(F.col("source").alias("object"), "target").checkpoint()
     for _ in range(most):
         new = edge.join(new, "object", "left_semi").select(F.col("target").alias("object")).filter("object is not null").distinct().join(found, "object", "left_anti").checkpoint()
         if new.isEmpty():
             return found
-        found = found.unionByName(new).checkpoint()
+        found = found.unionByName(new)
     raise ValueError(f"references are more than {most} steps deep")
 
 
@@ -566,20 +576,24 @@ def slowest(results: DataFrame, most: int, cost: str, *ties: str) -> DataFrame:
 def report_lines(totals: DataFrame, base: str, tool: str = "tool") -> DataFrame:
     """A line of a Markdown table for each tool: pages, milliseconds a page, and how many times as fast as the base."""
     per = F.col("ms") / F.col("pages")
-    slow = totals.filter(F.col(tool) == base).select(per.alias("_base"))
-    both = totals.join(F.broadcast(slow), how="left")  # one row: the base tool's
-    times = F.when(per > 0, F.format_string("%.2fx", F.col("_base") / per)).otherwise(F.lit("—"))
-    return both.select(tool, F.concat(F.lit("| "), F.col(tool), F.lit(" | "), F.col("pages").cast("string"), F.lit(" | "), F.format_string("%.1f", per), F.lit(" | "), F.coalesce(times, F.lit("—")), F.lit(" |")).alias("line"))
+    slow = totals.filter(F.col(tool) == base).agg(F.max(per)).scalar()
+    times = F.when(per > 0, F.format_string("%.2fx", slow / per)).otherwise(F.lit("—"))
+    return totals.select(tool, F.concat(F.lit("| "), F.col(tool), F.lit(" | "), F.col("pages").cast("string"), F.lit(" | "), F.format_string("%.1f", per), F.lit(" | "), F.coalesce(times, F.lit("—")), F.lit(" |")).alias("line"))
 
 
 def next_rows(df: DataFrame, key: str, width: int = 10_000) -> DataFrame:
     """Each row with the row of the next greater key in ``next`` (a struct, null for the last); keys are whole numbers and unique.
 
-    Rows are ordered within ranges of ``width`` keys; only the first row of each range goes on to the range before it.
+    Rows are ordered within ranges of ``width`` keys, the least keys of ranges within ranges of ranges; only the
+    last row of each range is joined with the row that it is followed by.
     """
     told = df.withColumn("_range", F.floor(F.col(key) / width))
     row = F.struct(*df.columns)
-    heads = told.groupBy("_range").agg(F.min_by(row, key).alias("_head"))
-    after = heads.withColumn("_head", F.lead("_head").over(Window.orderBy("_range")))
+    heads = told.groupBy("_range").agg(F.min(key).alias("_head")).withColumn("_outer", F.floor(F.col("_range") / width))
+    outer = heads.groupBy("_outer").agg(F.min("_head").alias("_head"))  # a row for width x width keys
+    outer = outer.select("_outer", F.lead("_head").over(Window.orderBy("_outer")).alias("_beyond"))
+    after = heads.withColumn("_next", F.lead("_head").over(Window.partitionBy("_outer").orderBy("_range"))).join(outer, "_outer")
+    after = after.select("_range", F.coalesce("_next", "_beyond").alias("_next"))
     inner = told.withColumn("next", F.lead(row).over(Window.partitionBy("_range").orderBy(key)))
-    return inner.join(after, "_range").withColumn("next", F.coalesce("next", "_head")).drop("_range", "_head")
+    last = inner.filter("next is null").join(after, "_range").join(df.select(F.col(key).alias("_next"), row.alias("_row")), "_next", "left")
+    return inner.filter("next is not null").drop("_range").unionByName(last.withColumn("next", F.col("_row")).select(*df.columns, "next"))

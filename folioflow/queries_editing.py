@@ -133,6 +133,13 @@ def drawn_polygons(spark, sf_dir):
     return found.select("doc_id", *_sides(F.col("rect")))
 
 
+@query(f"""SELECT doc_id, least(x0, x1) AS l_side, least(y0, y1) AS b_side, greatest(x0, x1) AS r_side, greatest(y0, y1) AS t_side FROM (
+    SELECT doc_id, max(x0) FILTER (slot = 0) AS x0, max(y0) FILTER (slot = 0) AS y0, max(x0) FILTER (slot = 1) AS x1, max(y0) FILTER (slot = 1) AS y1, count(*) AS n FROM {_LINES} GROUP BY doc_id) WHERE n = 2""")
+def drawn_circles(spark, sf_dir):
+    found = editing.shapes(_points(spark, sf_dir).withColumn("stroke_width", F.lit(2.0)), "Circle")
+    return found.select("doc_id", *_sides(F.col("rect")))
+
+
 @query(f"""WITH n AS (SELECT *, lead(x0) OVER w AS nx, lead(y0) OVER w AS ny, first_value(x0) OVER w AS fx, first_value(y0) OVER w AS fy, count(*) OVER (PARTITION BY doc_id) AS n FROM {_LINES} WINDOW w AS (PARTITION BY doc_id ORDER BY slot)),
     a AS (SELECT doc_id, max(n) AS n, sum(sqrt((nx - x0) * (nx - x0) + (ny - y0) * (ny - y0))) AS along, abs(sum(x0 * coalesce(ny, fy) - coalesce(nx, fx) * y0)) / 2 AS area, sum(x0) AS sx, sum(x0) FILTER (slot = 0) + sum(x0) FILTER (slot = n - 1) AS ends FROM n GROUP BY doc_id)
     SELECT doc_id, CASE WHEN n = 2 THEN round(along * 0.5, 6) END AS distance, CASE WHEN n >= 2 THEN round(along * 0.5, 6) END AS perimeter, CASE WHEN n >= 3 THEN round(area * 0.25, 6) END AS area,
