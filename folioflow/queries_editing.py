@@ -237,15 +237,15 @@ def renamed_form_fields(spark, sf_dir):
     return editing.renamed_fields(fields, fields.filter("k % 2 = 0").select("doc", "name", part.alias("new_part")), "doc")
 
 
-@query("""SELECT p_partkey, CASE WHEN p_size % 5 = 0 THEN TRUE WHEN p_size % 4 = 0 THEN FALSE WHEN p_size % 4 = 1 THEN p_size % 3 = 2 WHEN p_size % 4 = 2 THEN p_size % 3 = 2 AND p_size % 2 = 1 ELSE p_size % 3 = 2 END AS refused,
+@query("""SELECT p_partkey, CASE WHEN p_size % 5 = 0 THEN TRUE WHEN p_size % 4 = 0 THEN FALSE WHEN p_size % 4 = 1 THEN p_size % 3 <> 0 WHEN p_size % 4 = 2 THEN p_size % 3 = 2 AND p_size % 2 = 1 ELSE p_size % 3 = 2 END AS refused,
     CASE WHEN p_size % 5 = 0 THEN 'was' WHEN p_size % 4 = 0 THEN v WHEN p_size % 3 = 0 THEN 'e1' WHEN p_size % 3 = 1 THEN CASE WHEN p_size % 4 IN (2, 3) THEN 'e1' ELSE 'was' END ELSE CASE WHEN p_size % 4 = 2 AND p_size % 2 = 0 THEN 'free' ELSE 'was' END END AS value
-    FROM (SELECT *, CASE p_size % 3 WHEN 0 THEN 'e1' WHEN 1 THEN 'shown' ELSE 'free' END AS v FROM part) WHERE NOT (p_size % 4 = 1 AND p_size % 3 = 1)""")
+    FROM (SELECT *, CASE p_size % 3 WHEN 0 THEN 'e1' WHEN 1 THEN 'shown' ELSE 'free' END AS v FROM part)""")
 def filled_fields(spark, sf_dir):
     size = F.col("p_size")
     kind = F.get(F.array(F.lit("text"), F.lit("check_box"), F.lit("combo"), F.lit("list")), (size % 4).cast("int"))
     options = F.array(F.struct(F.lit("e1").alias("export"), F.lit("shown").alias("display")))
     flags = F.when(size % 5 == 0, F.lit(1)).when(size % 2 == 0, F.lit(1 << 18)).otherwise(F.lit(0))
-    fields = table(spark, sf_dir, "part").filter("not (p_size % 4 = 1 and p_size % 3 = 1)").select("p_partkey", "p_size", kind.alias("type"), options.alias("options"), flags.alias("flags"), F.lit("was").alias("value"))
+    fields = table(spark, sf_dir, "part").select("p_partkey", "p_size", kind.alias("type"), options.alias("options"), flags.alias("flags"), F.lit("was").alias("value"))
     values = fields.select("p_partkey", F.get(F.array(F.lit("e1"), F.lit("shown"), F.lit("free")), (size % 3).cast("int")).alias("value"))
     return annotations.filled(fields, values, ["p_partkey"]).select("p_partkey", "refused", "value")
 
@@ -436,10 +436,14 @@ def page_texts(spark, sf_dir):
     return layout.joined_pages(rows.select("doc_id", F.col("slot").alias("run_index"), F.concat(F.lit("w"), F.col("p").cast("string")).alias("text"), number(4).alias("width"), matrix.alias("matrix")), ["doc_id"])
 
 
-_WIDTHS = ", ".join(map(str, editing.HELVETICA))
+#: The font's public metrics once more, by groups of characters of one width (fixed values), so that the SQL doesn't read the code's list.
+_WIDTHS = """CASE WHEN c IN ('i', 'j', 'l') THEN 222 WHEN c = chr(39) THEN 191 WHEN c = '|' THEN 260 WHEN c IN (' ', '!', ',', '.', '/', ':', ';', 'I', '[', ']', chr(92), 'f', 't') THEN 278
+    WHEN c IN ('(', ')', '-', '`', 'r') THEN 333 WHEN c IN ('{', '}') THEN 334 WHEN c = '"' THEN 355 WHEN c = '*' THEN 389 WHEN c = '^' THEN 469 WHEN c IN ('J', 'c', 'k', 's', 'v', 'x', 'y', 'z') THEN 500
+    WHEN c IN ('+', '<', '=', '>', '~') THEN 584 WHEN c IN ('F', 'T', 'Z') THEN 611 WHEN c IN ('&', 'A', 'B', 'E', 'K', 'P', 'S', 'V', 'X', 'Y') THEN 667 WHEN c IN ('C', 'D', 'H', 'N', 'R', 'U', 'w') THEN 722
+    WHEN c IN ('G', 'O', 'Q') THEN 778 WHEN c IN ('M', 'm') THEN 833 WHEN c = '%' THEN 889 WHEN c = 'W' THEN 944 WHEN c = '@' THEN 1015 ELSE 556 END"""
 
 
-@query(f"""SELECT conv_id, turn, round(list_sum(list_transform(string_split(text, ''), lambda c: CASE WHEN ascii(c) BETWEEN 32 AND 126 THEN [{_WIDTHS}][ascii(c) - 31] ELSE 556 END)) * 12.0 / 1000, 6) AS width FROM conversations WHERE length(text) > 0""")
+@query(f"""SELECT conv_id, turn, round(list_sum(list_transform(string_split(text, ''), lambda c: {_WIDTHS})) * 12.0 / 1000, 6) AS width FROM conversations WHERE length(text) > 0""")
 def text_widths(spark, sf_dir):
     return table(spark, sf_dir, "conversations").filter("length(text) > 0").select("conv_id", "turn", F.round(editing.text_width(F.col("text"), 12.0), 6).alias("width"))
 
