@@ -6,12 +6,12 @@ import re
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from folioflow.functions.text import PYTHON_SPACES, label
+from folioflow.operators import regions
 
 
 def lcs_segments(a: list[str], b: list[str]) -> list[tuple[str, list[str], list[str]]]:
@@ -123,26 +123,14 @@ def pixel_class(before: Column, after: Column, tolerance: int = 8, ink: int = 25
 def changed_regions(pixels: DataFrame, keys: list[str], width: str, height: str, cell: int = 24) -> DataFrame:
     """Boxes of changed pixels (x, y): those of cells that touch by a side are one region, cut to the picture; in order of top, left.
 
-    Pixels are first reduced to cells; a picture's cells are bounded by its size and are grouped in one place.
+    Pixels are first reduced to cells, whose regions are found by tiles.
     """
-    cells = pixels.select(*keys, width, height, F.floor(F.col("x") / cell).cast("int").alias("cx"), F.floor(F.col("y") / cell).cast("int").alias("cy")).distinct()
-    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in pixels.select(*keys).schema)
-
-    def run(key: tuple, page: pd.DataFrame) -> pd.DataFrame:
-        w, h = int(page[width].iloc[0]), int(page[height].iloc[0])
-        left = set(zip(page["cx"].tolist(), page["cy"].tolist(), strict=True))
-        found = []
-        while left:
-            group, queue = [], [left.pop()]
-            while queue:
-                x, y = queue.pop()
-                group.append((x, y))
-                for near in ((x - 1, y), (x + 1, y), (x, y - 1), (x, y + 1)):
-                    if near in left:
-                        left.remove(near)
-                        queue.append(near)
-            xs, ys = [g[0] for g in group], [g[1] for g in group]
-            found.append((min(ys) * cell, min(xs) * cell, min(h, (max(ys) + 1) * cell), min(w, (max(xs) + 1) * cell)))
-        return pd.DataFrame([[*key, i, *f] for i, f in enumerate(sorted(found))], columns=[*keys, "region_index", "top", "left", "bottom", "right"])
-
-    return cells.groupBy(*keys).applyInPandas(run, f"{schema}, region_index int, top int, left int, bottom int, right int")
+    cells = pixels.select(*keys, width, height, F.floor(F.col("x") / cell).cast("int").alias("x"), F.floor(F.col("y") / cell).cast("int").alias("y"))
+    sizes = cells.groupBy(*keys).agg(F.first(width).alias("_w"), F.first(height).alias("_h"))
+    found = regions.regions(cells.select(*keys, "x", "y"), keys).join(sizes, keys)
+    boxes = found.select(
+        *keys, (F.col("top") * cell).cast("int").alias("top"), (F.col("left") * cell).cast("int").alias("left"),
+        F.least(F.col("_h"), (F.col("bottom") + 1) * cell).cast("int").alias("bottom"), F.least(F.col("_w"), (F.col("right") + 1) * cell).cast("int").alias("right"),
+    )
+    order = Window.partitionBy(*keys).orderBy("top", "left", "bottom", "right")
+    return boxes.select(*keys, (F.row_number().over(order) - 1).alias("region_index"), "top", "left", "bottom", "right")

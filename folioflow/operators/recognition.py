@@ -11,6 +11,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from folioflow.operators import regions
+
 
 def first_maximum(scores: Column) -> Column:
     """The 0-based place of the first largest value."""
@@ -34,6 +36,24 @@ def ctc_decode(steps: DataFrame, keys: list[str], dictionary: Column, step: str
     return parts.select(*keys, F.array_join(F.col("p.t"), "").alias("text"), F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.coalesce("c", F.lit(1.0)))).alias("confidence"))
 
 
+def tiled_text_boxes(pixels: DataFrame, keys: list[str], threshold: float = 0.3, least_side: int = 3, least_score: float = 0.5, unclip: float = 1.6, scale_x: float = 1.0, scale_y: float = 1.0) -> DataFrame:
+    """As ``text_boxes`` for maps of any size, given as pixels (x, y, prob) with their map's width and height: regions are found by tiles."""
+    sizes = pixels.groupBy(*keys).agg(F.first("width").alias("_w"), F.first("height").alias("_h"))
+    found = regions.regions(pixels.filter(F.col("prob") >= threshold).select(*keys, "x", "y", "prob"), keys, "prob").join(sizes, keys)
+    wide, high = F.col("right") - F.col("left") + 1, F.col("bottom") - F.col("top") + 1
+    score = F.col("total") / F.col("n")
+    some = found.filter((wide >= least_side) & (high >= least_side) & (score >= least_score))
+    middle_x, middle_y = (F.col("left") + F.col("right") + 1) / 2, (F.col("top") + F.col("bottom") + 1) / 2
+    cut = lambda v, most: F.least(F.greatest(v, F.lit(0.0)), most.cast("double"))
+    w, h = F.col("_w") * scale_x, F.col("_h") * scale_y
+    boxes = some.select(
+        *keys, cut((middle_y - high / 2 * unclip) * scale_y, h).alias("top"), cut((middle_x - wide / 2 * unclip) * scale_x, w).alias("left"),
+        cut((middle_y + high / 2 * unclip) * scale_y, h).alias("bottom"), cut((middle_x + wide / 2 * unclip) * scale_x, w).alias("right"), score.alias("score"),
+    )
+    order = Window.partitionBy(*keys).orderBy("top", "left", "bottom", "right", "score")
+    return boxes.select(*keys, (F.row_number().over(order) - 1).alias("box_index"), "top", "left", "bottom", "right", "score")
+
+
 def text_boxes(maps: DataFrame, keys: list[str], threshold: float = 0.3, least_side: int = 3, least_score: float = 0.5, unclip: float = 1.6, scale_x: float = 1.0, scale_y: float = 1.0) -> DataFrame:
     """Boxes of a probability map's (width, height, probs) 4-neighbour components, grown about their centres, in order of top, left."""
     types = maps.select(*keys).schema

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from folioflow.functions import geometry, measure
-from folioflow.operators import annotations, editing, graphics, layout, recognition
+from folioflow.operators import annotations, editing, graphics, layout, recognition, regions
 from folioflow.plans.folders import shared_folder
 from folioflow.queries import query, table
 from folioflow.streaming.buckets import Buckets
@@ -630,3 +630,13 @@ def bucketed_feed(spark, sf_dir):
     for batch in range(4):
         state.merge(feed.filter(F.col("seq") % 4 == 3 - batch), batch)
     return state.state(spark).select("user_id", "name", "seq", "snapshot")
+
+
+@query("""WITH RECURSIVE c AS (SELECT DISTINCT (l_partkey * 7 + l_linenumber) % 400 AS x, l_orderkey % 300 AS y, l_orderkey % 300 * 4294967296 + (l_partkey * 7 + l_linenumber) % 400 AS id FROM lineitem),
+    e AS (SELECT a.id AS a, b.id AS b FROM c AS a JOIN c AS b ON b.y = a.y AND b.x = a.x + 1 UNION ALL SELECT a.id, b.id FROM c AS a JOIN c AS b ON b.x = a.x AND b.y = a.y + 1), b AS (SELECT a, b FROM e UNION ALL SELECT b, a FROM e),
+    r AS (SELECT id, id AS other FROM c UNION SELECT r.id, b.b FROM r JOIN b ON r.other = b.a), l AS (SELECT id, min(other) AS region FROM r GROUP BY id)
+    SELECT region, min(x) AS l_side, min(y) AS t_side, max(x) AS r_side, max(y) AS b_side, count(*) AS n FROM l JOIN c USING (id) GROUP BY region""")
+def one_page_regions(spark, sf_dir):
+    cells = table(spark, sf_dir, "lineitem").select(F.lit(1).alias("page"), ((F.col("l_partkey") * 7 + F.col("l_linenumber")) % 400).alias("x"), (F.col("l_orderkey") % 300).alias("y"))
+    found = regions.regions(cells, ["page"], tile=64)
+    return found.select("region", F.col("left").alias("l_side"), F.col("top").alias("t_side"), F.col("right").alias("r_side"), F.col("bottom").alias("b_side"), "n")
