@@ -36,7 +36,7 @@ ROWS = 2
 #: Counters of a range, which one task sums at a time.
 RANGE = 1 << 18
 #: Counts that a task holds before it sends them on, and phrases that it remembers having sent.
-HELD, REMEMBERED = 1 << 21, 1 << 19
+HELD, REMEMBERED = 1 << 23, 1 << 19
 #: Phrases of an automaton, and bytes of text that a task holds to scan with one automaton after another.
 PHRASES, HELD_BYTES = 400_000, 16 << 20
 #: Counts of an automaton's phrases that are summed together, and counts that a scanning task holds.
@@ -183,7 +183,7 @@ def with_level(rows: DataFrame, sketch: Sketch, level: int, rules: Rules) -> Non
                 if size in sizes:
                     for row in range(ROWS):
                         at, n = np.unique(counters(hashes, row, width), return_counts=True)
-                        parts[row].append((at, n))
+                        parts[row].append((at.astype(np.uint32), n.astype(np.uint32)))
                         size_held += len(at)
             if size_held > HELD:
                 yield from told()
