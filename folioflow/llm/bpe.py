@@ -36,6 +36,8 @@ UNSPLIT_BYTES = 4096
 LEAF_SYMBOLS = 1024
 #: Bytes of chunks, and of pieces of letters and signs, at which a worker begins a new memo; it holds the one before, too.
 CHUNK_BYTES, PIECE_BYTES = 40 << 20, 32 << 20
+#: The share of that where texts are decoded as well, which takes memory of its own.
+SHARE = 0.4
 #: What an entry takes beside its ids.
 ENTRY_BYTES = 200
 #: New chunks are encoded so many at a time, because the library's results take much memory.
@@ -100,7 +102,7 @@ class Node:
 class Encoder:
     """The ids of texts as the tokenizers library gives them without special tokens added."""
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, share: float = 1.0):
         # a task has one core, and Spark runs as many tasks as there are cores
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
@@ -120,7 +122,7 @@ class Encoder:
         self.by_space = Tokenizer(self.tokenizer.model)
         self.by_space.pre_tokenizer = WhitespaceSplit()
         self.last = np.array([bool(self.ends) and t.endswith(self.ends) for t in self.tokens])
-        self.chunks, self.pieces = Memo(CHUNK_BYTES), Memo(PIECE_BYTES)
+        self.chunks, self.pieces = Memo(int(share * CHUNK_BYTES)), Memo(int(share * PIECE_BYTES))
         self.splits_plainly = self.letters_and_signs()
         self.joins = 0
 
@@ -325,9 +327,9 @@ def slices(column: pa.Array, limit: int = SLICE_BYTES) -> Iterator[list[bytes]]:
 
 
 @lru_cache(maxsize=2)
-def encoder_of(path: str) -> Encoder:
-    """One encoder for all tasks of a worker process."""
-    return Encoder(path)
+def encoder_of(path: str, share: float = 1.0) -> Encoder:
+    """One encoder for all tasks of a worker process, with a share of the memo's largest size."""
+    return Encoder(path, share)
 
 
 def bpe_encode_decode(
@@ -350,7 +352,7 @@ def bpe_encode_decode(
     schema = docs.select(*(F.col(f"`{c}`") for c in kept), F.array(F.lit(0)).alias(ids), F.lit("").alias(decoded)).schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = encoder_of(vocabulary)
+        encoder = encoder_of(vocabulary, SHARE)
         for batch in batches:
             at = 0
             for texts in slices(batch.column(place).cast(pa.binary())):
