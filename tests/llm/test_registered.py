@@ -39,9 +39,15 @@ def rows():
     return [*out, (24, None, "en", "a", None), (25, "", None, "b", 0), (26, " \n\t ", "de", None, 4), (27, long, "en", "a", len(long)), (28, f"{long} end", "en", "b", len(long) + 4), (29, "a b", "en", "a", 3), (30, "a b", "en", "a", 3), out[5], out[5]]
 
 
+def talks():
+    rng = random.Random(31)
+    out = [(c, t if rng.random() < 0.95 else None, rng.choice(["system", "user", "assistant", "user", "assistant", None, "tool"]), rng.choice(["Yes.", "no", "", None, " \n", f"Line {t}.", "x" * 5000])) for c in range(60) for t in range(rng.randint(1, 9))]
+    return [*out, *((None, t, "user", "a.") for t in range(3)), out[4], out[4], out[9]]
+
+
 def written(folder, name, columns: dict, n: int) -> None:
     extra = {c: pa.array(["x"] * n, pa.string()) for c in CLASHING}
-    pq.write_table(pa.table(columns | extra), f"{folder}/{name}.parquet", row_group_size=max(1, n // 3 or 1))
+    pq.write_table(pa.table(extra | columns), f"{folder}/{name}.parquet", row_group_size=max(1, n // 3 or 1))
 
 
 @pytest.fixture(scope="module")
@@ -53,7 +59,10 @@ def tables(tmp_path_factory, rows):
     vectors[7] = vectors[3]
     ids = [*range(90), 40, 7, 91, 92, None]
     vectors += [vectors[40], vectors[7], None, [0.0] * 6, vectors[1]]
-    written(folder, "embeddings", {"vec_id": pa.array(ids, pa.int64()), "embedding": pa.array(vectors, pa.list_(pa.float64()))}, len(ids))
+    labels = [None if i % 9 == 8 else i % 3 for i in range(len(ids))]
+    written(folder, "embeddings", {"vec_id": pa.array(ids, pa.int64()), "embedding": pa.array(vectors, pa.list_(pa.float64())), "label": pa.array(labels, pa.int32())}, len(ids))
+    talk = talks()
+    written(folder, "conversations", {c: pa.array([r[i] for r in talk], t) for i, (c, t) in enumerate({"conv_id": pa.int64(), "turn": pa.int64(), "role": pa.string(), "text": pa.string()}.items())}, len(talk))
     big = "<p>é" + "x" * 1200
     html = ["<p>a", None, big, big, "", "<p>a", big + "y"]
     written(folder, "pages", {"page_id": pa.array(range(7), pa.int64()), "url": pa.array([f"http://s/{i}" for i in range(7)]), "html": pa.array(html)}, 7)
@@ -65,7 +74,8 @@ def empty(tmp_path_factory):
     folder = tmp_path_factory.mktemp("empty")
     types = {"doc_id": pa.int64(), "text": pa.string(), "lang": pa.string(), "source": pa.string(), "n_chars": pa.int64()}
     written(folder, "documents", {c: pa.array([], t) for c, t in types.items()}, 0)
-    written(folder, "embeddings", {"vec_id": pa.array([], pa.int64()), "embedding": pa.array([], pa.list_(pa.float64()))}, 0)
+    written(folder, "embeddings", {"vec_id": pa.array([], pa.int64()), "embedding": pa.array([], pa.list_(pa.float64())), "label": pa.array([], pa.int32())}, 0)
+    written(folder, "conversations", {"conv_id": pa.array([], pa.int64()), "turn": pa.array([], pa.int64()), "role": pa.array([], pa.string()), "text": pa.array([], pa.string())}, 0)
     written(folder, "pages", {"page_id": pa.array([], pa.int64()), "url": pa.array([], pa.string()), "html": pa.array([], pa.string())}, 0)
     return str(folder)
 
@@ -190,3 +200,24 @@ def test_op10(spark, tables, rows):
         want[(r[0], n, chars, symbols, lines, repeats, n < 10 or 100 * repeats > 20 * n)] += 1
     assert Counter(tuple(r)[:7] for r in got) == want
     assert not any(r.kept for r in got if r.base_failed)
+
+
+def test_op11(spark, tables, rows):
+    from folioflow.llm.collocations import Rules
+    from tests.llm.test_collocations import expected
+
+    assert sorted(tuple(r) for r in QUERIES["op11_collocations"](spark, tables[0]).collect()) == expected([(r[0], r[1], r[2]) for r in rows], Rules())
+
+
+def test_op12(spark, tables):
+    from tests.llm.test_conversations import expected
+
+    got = QUERIES["op12_conversation_repair"](spark, tables[0]).collect()
+    assert {r[0]: tuple(r)[1:] for r in got} == {c: w for c, (w, _) in expected(talks()).items()} and len(got) == 61
+
+
+def test_op13(spark, tables):
+    from tests.llm.test_embedding_dedup import expected
+
+    rows = [(i, v, None if k % 9 == 8 else k % 3) for k, (i, v) in enumerate(tables[1])]
+    assert sorted((tuple(r) for r in QUERIES["op13_embedding_dedup"](spark, tables[0]).collect()), key=str) == expected(rows, 0.93)
