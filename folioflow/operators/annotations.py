@@ -42,8 +42,9 @@ def in_rubber_band(annotations: DataFrame, area: Column) -> DataFrame:
 def topmost_at(annotations: DataFrame, points: DataFrame, keys: list[str], slot: str = "slot") -> DataFrame:
     """For each point of a page, the slot of the topmost annotation whose box holds it; null where none does."""
     shown = annotations.filter(~has(F.col("flags"), HIDDEN)).select(*keys, slot, "rect")
-    best = spatial.at_points(points, shown, keys).groupBy(*points.columns).agg(F.max(slot).alias(slot))
-    same = [F.col(f"p.{c}").eqNullSafe(F.col(f"q.{c}")) for c in points.columns]
+    at = [*keys, "x", "y"]
+    best = spatial.at_places(points, shown, keys).groupBy(*at).agg(F.max(slot).alias(slot))
+    same = [F.col(f"p.{c}").eqNullSafe(F.col(f"q.{c}")) for c in at]
     return points.distinct().alias("p").join(best.alias("q"), same, "left").select("p.*", F.col(f"q.{slot}").alias("slot"))
 
 
@@ -162,9 +163,21 @@ def filled(fields: DataFrame, values: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def redacted(items: DataFrame, marks: DataFrame, keys: list[str]) -> DataFrame:
-    """Items whose box no mark of their page meets."""
-    hit = spatial.overlapping(items.select(*keys, "item", "rect"), marks.select(*keys, F.col("rect").alias("_mark")), keys, F.col("rect"), F.col("_mark"), spatial.fitted_grid(items))
-    return items.join(hit.select(*keys, "item").distinct(), [*keys, "item"], "left_anti")
+    """Items whose box no mark of their page meets.
+
+    The rows of a small page meet all its marks at once; those of a large page are left at the first mark in a cell.
+    """
+    large, others = spatial.pages(keys, items, marks)
+    (few, many), (some, most) = spatial.on_pages(items, large, keys, others), spatial.on_pages(marks, large, keys, others)
+    columns, r = items.columns, F.col("rect")
+    held = some.filter(spatial.is_box(r)).groupBy(*keys).agg(F.collect_list("rect").alias("_marks"))
+    met = F.coalesce(spatial.is_box(r) & F.exists("_marks", lambda m: intersects(r, m)), F.lit(False))
+    there = few.join(held.hint("merge"), keys, "left").withColumn("_met", F.max(met).over(Window.partitionBy(*keys, "item")))
+    left = there.filter((~F.col("_met")) | F.col("item").isNull()).select(*columns)
+    if large is None:
+        return left
+    hit = spatial.meeting(many.select(*keys, "item", "rect"), most, keys, r, r, spatial.fitted_grid(many))
+    return left.unionByName(many.join(hit.select(*keys, "item").distinct().hint("merge"), [*keys, "item"], "left_anti"))
 
 
 def document_context(pages: DataFrame, fields: DataFrame, doc: str) -> DataFrame:
