@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from folioflow.functions.geometry import matrix_apply, matrix_scale
+from folioflow.functions.geometry import box, matrix_apply, matrix_scale
 from folioflow.operators import spatial
 
 
@@ -57,8 +57,16 @@ def texts_in_boxes(runs: DataFrame, areas: DataFrame, keys: list[str], area: str
     """For each area of a page the text of the runs whose centres lie in it, in document order, joined by one space; areas without runs are left out."""
     x, y = (F.col("bounds.left") + F.col("bounds.right")) / 2, (F.col("bounds.bottom") + F.col("bounds.top")) / 2
     centres = runs.select(*keys, index, "text", x.alias("x"), y.alias("y"))
-    held = spatial.at_points(centres, areas, keys, area).groupBy(*areas.columns).agg(F.sort_array(F.collect_list(F.struct(index, "text"))).alias("parts"))
-    return held.select(*areas.columns, F.array_join(F.col("parts.text"), " ").alias("text"))
+    # equal areas have equal texts: each is put together once
+    places, few = spatial.kept(areas.select(*keys, area).distinct())
+    here = box(F.col("x"), F.col("y"), F.col("x"), F.col("y"))
+    met = spatial.overlapping(places, centres, keys, F.col(area), here, spatial.fitted_grid(places, area), few)
+    held = met.groupBy(*keys, area).agg(F.sort_array(F.collect_list(F.struct(index, "text"))).alias("parts"))
+    texts = held.select(*keys, area, F.col("parts.text").alias("_t"))
+    # an area that comes n times has each text n times
+    times = areas.groupBy(*areas.columns).agg(F.count(F.lit(1)).cast("int").alias("_n")).join(texts.hint("merge"), [*keys, area])
+    each = F.when(F.col("_n") == 1, F.col("_t")).otherwise(F.flatten(F.transform("_t", lambda t: F.array_repeat(t, F.col("_n")))))
+    return times.select(*areas.columns, F.array_join(each, " ").alias("text"))
 
 
 def nearest_run(runs: DataFrame, points: DataFrame, keys: list[str], tolerance: float = float("inf"), index: str = "run_index") -> DataFrame:

@@ -83,3 +83,63 @@ def test_figures_settle_in_chains(spark):
     made = [(1, i, "s", (3.0 * i, 0.0, 3.0 * i + 40, 40.0)) for i in range(9)] + [(2, 0, "s", (0.0, 0.0, 40.0, 40.0)), (2, 1, "t", (0.0, 0.0, 40.0, 40.0)), (2, 2, "s", (0.0, 0.0, 23.0, 40.0))]
     kept = editing.figures(spark.createDataFrame(made, f"page int, image_index int, stream string, rect {RECT}"), ["page"]).collect()
     assert sorted((r.page, r.image_index) for r in kept) == [(1, 0), (1, 2), (1, 4), (1, 6), (1, 8), (2, 0), (2, 1)]
+
+
+def test_small_pages_meet_without_cells(spark):
+    # joined whole: a page's items are not spread over cells, and rows move once
+    rows = spark.range(4000).select((F.col("id") / 4).cast("long").alias("page"), F.col("id").cast("int").alias("slot"), box(F.col("id") % 7 * 1.0, F.lit(0.0), F.col("id") % 7 + 2.0, F.lit(5.0)).alias("rect"))
+    points = rows.select("page").distinct().select("page", F.lit(3.0).alias("x"), F.lit(2.0).alias("y"))
+    marks = rows.filter("slot % 4 = 0").select("page", "rect")
+    for found in (
+        layout.nearest_run(rows.selectExpr("page", "slot AS run_index", "rect AS bounds"), points, ["page"]),
+        editing.image_places(rows.filter("slot % 2 = 0"), rows.filter("slot % 2 = 1"), ["page"], "slot", "slot"),
+        annotations.redacted(rows.withColumn("item", F.col("slot")), marks, ["page"]),
+    ):
+        assert "_cell" not in found._jdf.queryExecution().optimizedPlan().toString()
+
+
+@pytest.mark.parametrize("few", [0, 256])
+def test_small_and_large_pages_together(spark, monkeypatch, few):
+    """Pages above and below the limit, one without items and null keys give the same as brute force."""
+    monkeypatch.setattr(spatial, "FEW", few)
+    rng = random.Random(9)
+    items = [(p, i, (x := rng.uniform(0, 40), y := rng.uniform(0, 40), x + rng.choice([1, 9]), y + 2.0)) for i, p in enumerate([1] * 300 + [2] * 20 + [None] * 3)]
+    marks = [(rng.choice([1, 2, 3]), (x := rng.uniform(0, 40), y := rng.uniform(0, 40), x + 1, y + 1.0)) for _ in range(40)]
+    rows = spark.createDataFrame(items, f"page int, item int, rect {RECT}")
+    told = annotations.redacted(rows, spark.createDataFrame(marks, f"page int, rect {RECT}"), ["page"]).collect()
+    meet = lambda a, b: a[0] <= b[2] and b[0] <= a[2] and a[1] <= b[3] and b[1] <= a[3]
+    assert sorted(r.item for r in told) == [i for p, i, r in items if not any(p == q and meet(r, m) for q, m in marks)]
+    pictures = spark.createDataFrame([(p, n, m) for n, (p, m) in enumerate(marks)], f"page int, image_index int, rect {RECT}")
+    places = {r.image_index: r.order_key for r in editing.image_places(pictures, rows.withColumnRenamed("item", "block_index"), ["page"]).collect()}
+
+    def place(page, m):
+        on = [(i, r) for p, i, r in items if p == page]
+        above = [(r[1] - m[3], i) for i, r in on if min(m[2], r[2]) - max(m[0], r[0]) > 0.1 * min(m[2] - m[0], r[2] - r[0]) and r[1] >= m[3]]
+        return (min(above)[1] if above else max([i for i, r in on if r[3] >= (m[1] + m[3]) / 2], default=-1)) + 0.5
+
+    assert places == {n: place(p, m) for n, (p, m) in enumerate(marks)}
+    asked = [(p, m[0], m[1]) for p, m in marks]
+    near = {tuple(r)[:3]: r.run for r in layout.nearest_run(rows.selectExpr("page", "item AS run_index", "rect AS bounds"), spark.createDataFrame(asked, "page int, x double, y double"), ["page"]).collect()}
+    assert near == {(p, x, y): min([(max(r[0] - x, 0, x - r[2]) ** 2 + max(r[1] - y, 0, y - r[3]) ** 2, i) for q, i, r in items if q == p], default=(0, -1))[1] for p, x, y in asked}
+
+
+def test_a_place_is_computed_once_for_all_its_points(spark):
+    boxes = spark.range(50).select(F.lit(1).alias("page"), F.col("id").cast("int").alias("slot"), F.lit(0).alias("flags"), box(F.lit(0.0), F.lit(0.0), F.lit(9.0), F.lit(9.0)).alias("rect"))
+    points = spark.range(300).select(F.lit(1).alias("page"), F.col("id").alias("spot"), (F.col("id") % 3).cast("double").alias("x"), F.lit(1.0).alias("y"))
+    assert spatial.at_places(points, boxes, ["page"]).count() == 150
+    hits = editing.elements_at(boxes, points.union(points.filter("spot = 7")), ["page"], "slot")
+    assert hits.count() == 301 * 50 and hits.filter("spot <> 7 AND depth <> 50 - slot").count() == 0
+    assert sorted(r.depth for r in hits.filter("spot = 7").collect()) == list(range(1, 101))
+    assert {r.slot for r in annotations.topmost_at(boxes, points, ["page"]).collect()} == {49}
+    areas = points.filter("spot < 3").select("page", "spot", box(F.lit(0.0), F.lit(0.0), F.lit(5.0), F.lit(5.0)).alias("area"))
+    runs = boxes.filter("slot < 2").select("page", F.col("slot").alias("run_index"), F.col("slot").cast("string").alias("text"), F.col("rect").alias("bounds"))
+    told = layout.texts_in_boxes(runs, areas.union(areas.filter("spot = 1")), ["page"]).collect()
+    assert {r.spot: r.text for r in told} == {0: "0 1", 1: "0 0 1 1", 2: "0 1"}
+
+
+def test_rows_numbered_by_ranges(spark):
+    made = [(k, i) for i, k in enumerate([5, None, 25_000, -3, 5, 90_001, None, -20_000])]
+    found = editing.numbered(spark.createDataFrame(made, "k long, i int"), ["k", "i"], "n")
+    order = sorted(made, key=lambda r: (r[0] is not None, r[0] or 0, r[1]))
+    assert [(r.k, r.i) for r in found.orderBy("n").collect()] == order and sorted(r.n for r in found.collect()) == list(range(8))
+    assert "Window" not in found.select("i")._jdf.queryExecution().optimizedPlan().toString()
