@@ -14,6 +14,10 @@ from folioflow.functions.text import PYTHON_SPACES, label
 from folioflow.operators import regions
 
 
+#: Pairs of texts whose stretches are held at once in a task.
+PAIRS = 64
+
+
 def lcs_segments(a: list[str], b: list[str]) -> list[tuple[str, list[str], list[str]]]:
     """Equal, deleted and inserted stretches by longest common subsequence; where both go, tokens are deleted first.
 
@@ -76,7 +80,7 @@ def token_diff(pairs: DataFrame, key: str, before: str = "before", after: str =
     words = re.compile(f"[^{PYTHON_SPACES}]+").findall
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (whole.slice(at, PAIRS) for whole in batches for at in range(0, whole.num_rows, PAIRS)):
             rows = [(k, i, *s) for k, a, b in zip(*(batch.column(c).to_pylist() for c in range(3)), strict=True) for i, s in enumerate(lcs_segments(words(a or ""), words(b or "")))]
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], batch.schema.field(0).type), pa.array([r[1] for r in rows], pa.int32()), pa.array([r[2] for r in rows]), pa.array([list(r[3]) for r in rows], pa.list_(pa.string())), pa.array([list(r[4]) for r in rows], pa.list_(pa.string()))], names=["key", "seg_index", "kind", "before", "after"])

@@ -107,3 +107,16 @@ def test_pages_and_chains(spark):
     nodes = spark.createDataFrame([(1, None, "root", "A"), (2, 1, "kid", None), (3, 2, None, "B")], "id int, up int, name string, box string")
     found = {r.node: (r.path_name, r.box) for r in trees.walk(nodes, "id", "up", "name", ["box"]).collect()}
     assert found == {1: ("root", "A"), 2: ("root.kid", "A"), 3: ("root.kid", "B")}
+
+
+def test_token_differences_are_told_a_few_pairs_at_a_time():
+    from unittest.mock import MagicMock
+
+    import pyarrow as pa
+
+    pairs = MagicMock()
+    pairs.schema["k"].dataType.simpleString.return_value = "bigint"
+    compare.token_diff(pairs, "k")
+    run = pairs.select.return_value.mapInArrow.call_args[0][0]
+    out = list(run([pa.RecordBatch.from_pydict({"k": list(range(200)), "before": ["a b"] * 200, "after": ["a c"] * 200})]))
+    assert max(len(set(b.column(0).to_pylist())) for b in out) <= compare.PAIRS and sum(b.num_rows for b in out) == 600
