@@ -1,3 +1,4 @@
+import random
 import zlib
 
 from folioflow.sources import codecs
@@ -61,3 +62,25 @@ def test_codecs():
     rows = b"".join(bytes([1]) + bytes([5, 1, 1, 1]) for _ in range(2))
     assert codecs.unpredicted(rows, {"Predictor": 15, "Columns": 4}) == bytes([5, 6, 7, 8] * 2)
     assert codecs.png_header(b"\x89PNG\r\n\x1a\n\0\0\0\rIHDR\0\0\0\x02\0\0\0\x03\x08\x06") == (2, 3, 8, 6)
+
+
+def test_rows_told_by_the_row_above():
+    rng = random.Random(2)
+    for columns, kinds, rest in ((4, [2] * 9, 0), (3, [2, 2, 1, 2, 0], 2), (5, [0, 2, 2], 0), (1, [2], 0)):
+        rows = [bytes([k, *(rng.randrange(256) for _ in range(columns))]) for k in kinds]
+        data, above, want = b"".join(rows) + (b"\x02\x07\x08")[:rest], bytes(columns), b""
+        for row in [*rows, *([b"\x02\x07"] if rest else [])]:
+            line = bytearray(row[1:])
+            for i in range(len(line)):
+                line[i] = (line[i] + (above[i] if row[0] == 2 else line[i - 1] if row[0] == 1 and i else 0)) & 255
+            above, want = bytes(line) + bytes(columns - len(line)), want + bytes(line)
+        assert codecs.unpredicted(data, {"Predictor": 12, "Columns": columns}) == want
+
+
+def test_a_page_is_read_once(monkeypatch):
+    from folioflow.sources import pdf, pdf_writer
+
+    calls, read = [], pdf.operations
+    monkeypatch.setattr(pdf, "operations", lambda content: calls.append(1) or read(content))
+    row = pdf.parse_file("0.pdf", pdf_writer.document_bytes(["a b", "c"], "plain", "t"))
+    assert len(calls) == 2 and [p["runs"][0]["text"] for p in row["pages"]] == ["a b", "c"] and [p["n_operations"] for p in row["pages"]] == [5, 5]
