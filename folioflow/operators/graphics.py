@@ -1,6 +1,7 @@
-"""The graphics state of page content as scans over a table of operations: no interpreter runs from one operation to the next.
+"""The graphics state of page content as scans over a table of operations.
 
-Operations have keys (a document and page), an index that orders them, an operator and its numbers. Running
+Operations have keys (a document and page), an index that orders them, an operator and its numbers. A page whose
+indices lie in one block is one row, folded from operation to operation; on larger pages no step does so. Running
 sums, least and greatest values are taken by blocks of indices and from block to block, so a page of
 millions of operations is work for many tasks. Products of matrices are associative and taken by
 blocks of blocks; scopes, which q opens and Q ends, hand their matrix down by doubling steps over parents.
@@ -68,12 +69,56 @@ def scoped(ops: DataFrame, keys: list[str], index: str = "op_index", operator: s
     return opened.withColumn("scope", F.when(F.col("depth") == 0, F.lit(-1)).otherwise(F.col("_scope")).cast("long")).drop("_scope")
 
 
+def page_blocks(ops: DataFrame, keys: list[str], index: str, operator: str, numbers: str, shows: tuple[str, ...]) -> DataFrame:
+    """keys, _block and ``_ops``: the operations of a block of indices in order, each with its index, its kind and its matrix or move."""
+    op, n = F.col(operator), F.col(numbers)
+    kind = F.when(op.isin(*shows), "s").when(op.isin("q", "Q", "cm", "Td"), op).when(op.isin("BT", "Tm"), "line")
+    move = lambda i: F.coalesce(F.get(n, F.lit(i)).cast("double"), F.lit(0.0))
+    moved = F.struct(*(F.lit(v).alias(c) for v, c in zip(_IDENTITY[:4], "abcd", strict=True)), move(0).alias("e"), move(1).alias("f"))
+    matrix = F.when(op.isin("cm", "Tm"), matrix_of(n)).when(op == "Td", moved).when(op == "BT", identity())
+    rows = ops.dropna(subset=[*keys, index]).select(*keys, F.floor(F.col(index) / BLOCK).cast("long").alias("_block"), F.struct(F.col(index).alias("i"), kind.alias("kind"), matrix.alias("m")).alias("_op"))
+    return rows.filter("_op.kind IS NOT NULL").groupBy(*keys, "_block").agg(F.sort_array(F.collect_list("_op")).alias("_ops"))
+
+
+def folded(blocks: DataFrame, keys: list[str], index: str) -> DataFrame:
+    """keys, index, depth, line and ctm of what is shown on pages that are one block."""
+    kind = blocks.schema["_ops"].dataType.elementType["i"].dataType.simpleString()
+    matrix = "struct<a: double, b: double, c: double, d: double, e: double, f: double>"
+    none = lambda each: F.array().cast(f"array<{each}>")
+    first = F.struct(identity().alias("ctm"), none(matrix).alias("held"), identity().alias("line"), none(f"struct<i: {kind}, depth: int, line: {matrix}, ctm: {matrix}>").alias("told"))
+
+    def step(s: Column, r: Column) -> Column:
+        op, ctm, held, line, m = r["kind"], s["ctm"], s["held"], s["line"], r["m"]
+        deep = F.size(held)
+        moved = F.struct(*(line[c].alias(c) for c in "abcd"), (m["e"] * line["a"] + m["f"] * line["c"] + line["e"]).alias("e"), (m["e"] * line["b"] + m["f"] * line["d"] + line["f"]).alias("f"))
+        shown = F.struct(r["i"].alias("i"), deep.alias("depth"), line.alias("line"), ctm.alias("ctm"))
+        return F.struct(
+            F.when(op == "cm", matrix_product(m, ctm)).when((op == "Q") & (deep > 0), F.get(held, deep - 1)).otherwise(ctm).alias("ctm"),
+            F.when(op == "q", F.concat(held, F.array(ctm))).when((op == "Q") & (deep > 0), F.slice(held, F.lit(1), deep - 1)).otherwise(held).alias("held"),
+            F.when(op == "line", m).when(op == "Td", moved).otherwise(line).alias("line"),
+            F.when(op == "s", F.concat(s["told"], F.array(shown))).otherwise(s["told"]).alias("told"),
+        )
+
+    told = blocks.select(*keys, F.explode(F.aggregate("_ops", first, step, lambda s: s["told"])).alias("_told"))
+    return told.select(*keys, F.col("_told.i").alias(index), "_told.depth", "_told.line", "_told.ctm")
+
+
 def text_matrices(ops: DataFrame, keys: list[str], index: str = "op_index", operator: str = "operator", numbers: str = "numbers", shows: tuple[str, ...] = ("Tj", "TJ"), most: int = 64) -> DataFrame:
     """keys, index, depth, ``line`` (the text line matrix) and ``ctm`` of each operation that shows text.
 
     cm multiplies the matrix of its scope, BT and Tm begin a line matrix, Td moves it. Numbers that are missing
     count as the identity or no move. Scopes nested over ``2 ** most`` deep can't be.
     """
+    blocks = page_blocks(ops, keys, index, operator, numbers, shows).checkpoint()
+    large = blocks.groupBy(*keys).agg(F.count(F.lit(1)).alias("_blocks")).filter("_blocks > 1").select(*keys)
+    if large.isEmpty():
+        return folded(blocks, keys, index)
+    small = folded(blocks.join(large, keys, "left_anti"), keys, index)
+    return small.unionByName(scanned(ops.join(large, keys, "left_semi"), keys, index, operator, numbers, shows, most))
+
+
+def scanned(ops: DataFrame, keys: list[str], index: str, operator: str, numbers: str, shows: tuple[str, ...], most: int) -> DataFrame:
+    """``text_matrices`` of pages of any size, whose blocks are work for many tasks."""
     held = scoped(ops.select(*keys, index, operator, numbers), keys, index, operator).checkpoint()
     op, n = F.col(operator), F.col(numbers)
     changes = held.filter((op == "cm") | (op == "q") | op.isin(*shows))

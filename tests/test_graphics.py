@@ -59,3 +59,18 @@ def test_empty_and_unbalanced(spark):
     assert graphics.text_matrices(spark.createDataFrame([], schema), ["page"]).count() == 0
     got = graphics.text_matrices(spark.createDataFrame([(1, 0, "Q", None), (1, 1, "cm", [1.0]), (1, 2, "Tj", None)], schema), ["page"]).collect()
     assert [(r.depth, tuple(r.ctm)) for r in got] == [(0, (1.0, 0.0, 0.0, 1.0, 0.0, 0.0))]
+
+
+def test_pages_of_one_block_are_folded_and_others_scanned(spark, monkeypatch):
+    schema = "page int, op_index long, operator string, numbers array<double>"
+    ops = [(p, i, ["q", "cm", "Tj", "BT", "Td", "Tj", "Q", "Tj", "Tm", "Tj"][i % 10], [[], [2.0, 0.0, 0.0, 2.0, 1.0, float(i)], [], [], [3.0, float(i)], [], [], [], [0.5, 0.0, 0.0, 0.5, float(i), 1.0], []][i % 10]) for p, n in ((0, 30), (1, 90), (2, 7)) for i in range(n)]
+    table = spark.createDataFrame([*ops, (None, 0, "Tj", [])], schema).repartition(3)
+    told = lambda df: sorted((r.page, r.op_index, r.depth, tuple(r.line), tuple(r.ctm)) for r in df.collect())
+    want = interpreted(ops)
+    whole = graphics.text_matrices(table, ["page"])
+    assert whole._jdf.queryExecution().executedPlan().toString().count("Exchange") == 0  # a row a page, folded as it lies
+    monkeypatch.setattr(graphics, "BLOCK", 32)
+    mixed = graphics.text_matrices(table, ["page"])
+    for got in (told(whole), told(mixed)):
+        assert [g[:3] for g in got] == [w[:3] for w in want]
+        assert all(g[3] == pytest.approx(w[3]) and g[4] == pytest.approx(w[4]) for g, w in zip(got, want, strict=True))
