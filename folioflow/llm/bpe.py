@@ -20,6 +20,7 @@ import re
 from array import array
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import compress
 
 import numpy as np
 import pyarrow as pa
@@ -48,6 +49,9 @@ PLAIN_ASCII = re.compile(rb"([A-Za-z]*)([!-&(-/:;=-@\[-`{-~]*)")
 #: The splitting pattern of the vocabularies for which plain chunks are put together from letters and signs (a fixed value).
 WORDS_AND_SIGNS = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 SPACE = re.compile(rb"[\t-\r ]")
+#: What a byte is to ``pieces``: white space, a letter of plain chunks, a sign of these, or else.
+BLANK, LETTER, SIGN, OTHER = range(4)
+KINDS = np.array([BLANK if SPACE.match(bytes([b])) else LETTER if PLAIN_ASCII.fullmatch(bytes([b, b"!"[0]])) and chr(b).isalpha() else SIGN if PLAIN_ASCII.fullmatch(bytes([b])) else OTHER for b in range(256)], dtype=np.uint8)
 #: Texts are handled in slices of about so many bytes.
 SLICE_BYTES = 4 << 20
 
@@ -59,9 +63,14 @@ def symbols_by_byte() -> dict[int, str]:
     return {b: chr(256 + i) for i, b in enumerate(hidden)}
 
 
-def byte_symbols(piece: bytes) -> str:
-    """A piece in the symbols of a byte-level vocabulary."""
-    return piece.decode("latin-1").translate(symbols_by_byte())
+@lru_cache(maxsize=1)
+def symbol_points() -> np.ndarray:
+    """The code point of each byte's symbol; the space stands for itself."""
+    out = np.arange(256, dtype="<u4")
+    for b, symbol in symbols_by_byte().items():
+        out[b] = ord(symbol)
+    out[32] = 32
+    return out
 
 
 class Memo(dict):
@@ -75,7 +84,7 @@ class Memo(dict):
         self.held += ENTRY_BYTES * len(pairs) + sum([len(v) for _, v in pairs])
         self.update(pairs)
 
-    def missing(self, wanted: set) -> set:
+    def missing(self, wanted: set | list) -> set:
         """What is neither held nor found among what was held before, which is held again."""
         fresh = {k for k in wanted if k not in self}  # the methods of sets would walk the whole memo
         if old := self.old:
@@ -133,9 +142,10 @@ class Encoder:
         normal = [x["type"] for x in (told["normalizer"] or {}).get("normalizers", [])]
         return normal == ["NFC", "Replace", "Lowercase"] and [x["type"] for x in steps] == ["Split", "ByteLevel"] and steps[0]["pattern"].get("Regex") == WORDS_AND_SIGNS and bool(self.ends)
 
-    def piece_ids(self, pieces: list[str]) -> list[bytes]:
+    def piece_ids(self, pieces: list[bytes]) -> list[bytes]:
         """The ids of pieces without white space, each of which ends with an end-of-word token."""
-        ids = np.array(self.by_space.encode(" ".join(pieces), add_special_tokens=False).ids, dtype="<u4")
+        symbols = symbol_points()[np.frombuffer(b" ".join(pieces), np.uint8)].tobytes().decode("utf-32-le")
+        ids = np.array(self.by_space.encode_batch_fast([symbols], add_special_tokens=False)[0].ids, dtype="<u4")  # without offsets
         ends = np.append(0, np.flatnonzero(self.last[ids]) + 1) * 4
         if len(ends) != len(pieces) + 1 or ends[-1] != 4 * len(ids):
             raise ValueError("the vocabulary does not end each word by a token with its suffix")
@@ -162,7 +172,7 @@ class Encoder:
             ordered = list(self.pieces.missing(wanted))
             for at in range(0, len(ordered), BATCH_CHUNKS):
                 some = ordered[at : at + BATCH_CHUNKS]
-                self.pieces.keep(list(zip(some, self.piece_ids([p.decode() if p.isascii() else byte_symbols(p) for p in some]), strict=True)))
+                self.pieces.keep(list(zip(some, self.piece_ids(some), strict=True)))
             ids_of = self.pieces.get
             self.chunks.keep([(w, ids_of(letters, b"") + ids_of(signs, b"")) for w, letters, signs in plain])
             fresh = rest
@@ -204,6 +214,35 @@ class Encoder:
             trees = [[next(joined) if i + 1 < len(nodes) else nodes[i] for i in range(0, len(nodes), 2)] for nodes in trees]
         return [b"".join(nodes[0].ids) if nodes else b"" for nodes in trees]
 
+    def flat_ids(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of the texts that ``data`` holds one after another, and where each text begins and ends in them.
+
+        Chunks encode on their own, so each distinct piece of the texts is looked up once and its ids are laid out wherever it comes.
+        """
+        column, odd, first = pieces(data, offsets, self.splits_plainly)
+        if not len(column):
+            return np.zeros(0, dtype="<u4"), np.zeros(len(offsets), dtype=np.int64)
+        held = column.dictionary_encode()
+        _, bounds, flat = held.dictionary.buffers()
+        bounds, flat = np.frombuffer(bounds, np.int32)[: len(held.dictionary) + 1].tolist(), flat.to_pybytes()
+        words, at = [flat[a:b] for a, b in zip(bounds, bounds[1:], strict=False)], held.indices.to_numpy()
+        whole = np.zeros(len(words), dtype=bool)
+        whole[at] = odd
+        chunks = list(compress(words, whole.tolist()))
+        self.learn([chunks])
+        known = dict(zip(chunks, self.ids_of(chunks), strict=True))
+        fresh = list(self.pieces.missing(list(compress(words, (~whole).tolist()))))
+        for k in range(0, len(fresh), BATCH_CHUNKS):
+            some = fresh[k : k + BATCH_CHUNKS]
+            self.pieces.keep(list(zip(some, self.piece_ids(some), strict=True)))
+        ids_of = self.pieces.get
+        found = [known[w] if o else ids_of(w) for w, o in zip(words, whole.tolist(), strict=True)]
+        sizes = np.array([len(f) // 4 for f in found], dtype=np.int64)
+        each = sizes[at]
+        ends = np.append(0, np.cumsum(each))
+        places = np.repeat((np.cumsum(sizes) - sizes)[at] - ends[:-1], each) + np.arange(ends[-1])
+        return np.frombuffer(b"".join(found), "<u4")[places], ends[first]
+
     def cuts(self, text: bytes) -> list[int]:
         """Where a text's leaves begin and end: halves of halves, moved to the beginning of a symbol, none in a long chunk."""
         n = len(text)
@@ -313,6 +352,40 @@ class Encoder:
             k *= 2
 
 
+def pieces(data: np.ndarray, offsets: np.ndarray, plainly: bool) -> tuple[pa.Array, np.ndarray, np.ndarray]:
+    """The pieces of texts, which of them are whole chunks, and the place of each text's first piece.
+
+    Plain chunks are parted into lower-case letters and signs, if ``plainly``; others stay as they are.
+    """
+    kind, lowered = KINDS[data], data.copy()
+    new = np.zeros(len(data) + 1, dtype=bool)
+    new[offsets] = True  # a text begins
+    lead = np.flatnonzero(data[:-1] == 0xC3)
+    second = data[lead + 1]
+    latin = (second & 0xC0 == 0x80) & (second != 0x97) & (second != 0xB7) & ~new[lead + 1]
+    kind[lead[latin]] = kind[lead[latin] + 1] = LETTER
+    lowered[(data >= 65) & (data <= 90)] += np.uint8(32)
+    lowered[lead[latin & (second <= 0x9E)] + 1] += np.uint8(32)
+    word = kind != BLANK
+    begins = word.copy()
+    begins[1:] &= ~word[:-1] | new[1:-1]
+    starts = np.flatnonzero(begins)
+    if not len(starts):
+        return pa.array([], pa.binary()), starts, np.zeros(len(offsets), dtype=np.int64)
+    before = np.append(np.uint8(BLANK), kind[:-1])
+    odd = np.maximum.reduceat((kind == OTHER) | ((kind == LETTER) & (before == SIGN) & ~begins), starts)
+    placed = np.append(0, np.cumsum(word))
+    odd |= np.diff(placed[np.append(starts, len(data))]) > UNSPLIT_BYTES
+    if not plainly:
+        odd[:] = True
+    within = np.append(np.zeros(starts[0], dtype=bool), np.repeat(odd, np.diff(np.append(starts, len(data)))))
+    begins |= (kind == SIGN) & (before == LETTER) & ~within
+    at = np.flatnonzero(begins)
+    ends = np.append(placed[at], placed[-1]).astype(np.int32)
+    flat = np.where(within, data, lowered)[word]
+    return pa.Array.from_buffers(pa.binary(), len(at), [None, pa.py_buffer(ends), pa.py_buffer(flat)]), within[at], np.searchsorted(at, offsets)
+
+
 def slices(column: pa.Array, limit: int = SLICE_BYTES) -> Iterator[list[bytes]]:
     """The values of a binary column in lists of about ``limit`` bytes; nulls come as empty texts."""
     held, size = [], 0

@@ -25,8 +25,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from folioflow.llm.bpe import encoder_of, slices
+from folioflow.llm.bpe import SLICE_BYTES, encoder_of
 from folioflow.llm.common import file_system, new_folder, trimmed
+from folioflow.llm.hashing import text_slices
 
 MAGIC = b"FFTOKEN1"
 SAMPLE = 512
@@ -95,14 +96,15 @@ def encoded(rows: DataFrame, vocabulary: str, end_id: int, edges: list[int]) ->
         encoder, inner = encoder_of(vocabulary), np.array(edges, dtype=np.int64)
         kind = "<u4" if len(encoder.tokens) > 1 << 16 or end_id >= 1 << 16 else "<u2"
         for batch in batches:
-            at = 0
-            for texts in slices(batch.column(1)):
-                found = [np.append(np.frombuffer(ids, "<u4"), np.uint32(end_id)).astype(kind).tobytes() for ids in encoder.encode(texts)]
-                names = batch.column(0).slice(at, len(texts))
+            for a, b, data, offsets in text_slices(batch.column(1), SLICE_BYTES):
+                ids, bounds = encoder.flat_ids(data, offsets)
+                ids = np.insert(ids.astype(kind), bounds[1:], end_id)
+                ends = ((bounds + np.arange(b - a + 1)) * ids.itemsize).astype(np.int32)
+                found = pa.Array.from_buffers(pa.binary(), b - a, [None, pa.py_buffer(ends), pa.py_buffer(ids)])
+                names = batch.column(0).slice(a, b - a)
                 known = names.is_valid().to_numpy(zero_copy_only=False)
                 part = np.where(known, np.searchsorted(inner, names.fill_null(0).to_numpy()), 0).astype(np.int32)
-                yield pa.RecordBatch.from_arrays([pa.array(part), names, pa.array(found, pa.binary()), pa.array(np.full(len(texts), kind == "<u4"))], names=["part", "doc_id", "ids", "wide"])
-                at += len(texts)
+                yield pa.RecordBatch.from_arrays([pa.array(part), names, found, pa.array(np.full(b - a, kind == "<u4"))], names=["part", "doc_id", "ids", "wide"])
 
     return rows.mapInArrow(trimmed(run), "part int, doc_id long, ids binary, wide boolean")
 
