@@ -137,6 +137,15 @@ def test_a_place_is_computed_once_for_all_its_points(spark):
     assert {r.spot: r.text for r in told} == {0: "0 1", 1: "0 0 1 1", 2: "0 1"}
 
 
+def test_hits_of_many_points_at_one_place_take_little_disk(spark, tmp_path):
+    x = F.col("id") % 2 * 20.0
+    boxes = spark.range(24_000).select(F.lit(1).alias("page"), (F.xxhash64("id") % 1_000_000_000).cast("int").alias("slot"), box(x, F.lit(0.0), x + 9, F.lit(9.0)).alias("rect"))
+    points = spark.range(100).select(F.lit(1).alias("page"), F.col("id").alias("spot"), (x + 1).alias("x"), F.lit(1.0).alias("y"))
+    editing.elements_at(boxes, points, ["page"], "slot").select("spot", "slot", "depth").write.parquet(f"{tmp_path}/hits")
+    assert spark.read.parquet(f"{tmp_path}/hits").count() == 1_200_000
+    assert sum(f.stat().st_size for f in tmp_path.glob("hits/*.parquet")) < 1_500_000  # 8 MB where each point goes through all elements
+
+
 def test_rows_numbered_by_ranges(spark):
     made = [(k, i) for i, k in enumerate([5, None, 25_000, -3, 5, 90_001, None, -20_000])]
     found = editing.numbered(spark.createDataFrame(made, "k long, i int"), ["k", "i"], "n")
