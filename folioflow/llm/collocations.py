@@ -5,10 +5,12 @@
    all reach the threshold can't; a level only counts phrases whose shorter parts may reach it. Tasks
    send their counts by ranges of counters, and what comes back is a bit for each counter: a sketch
    has a fixed largest size, which grows with the text up to that.
-2. Phrases that the bits leave are gathered once each and compiled, some tens of thousands at a time,
+2. Phrases that the bits leave are gathered once each and compiled, some hundreds of thousands at a time,
    into Aho-Corasick automata. Each word has a delimiter on both sides, so a match is one of whole words.
-3. Every text is scanned with all automata of its language; overlapping matches are counted, and the
-   counts of all tasks are summed. These exact counts, not the sketches', meet the thresholds.
+3. Texts are scanned with their language's automaton. Where a language has several, a phrase's first two words
+   tell its automaton, and each automaton only gets the stretches of text in which the bits leave such phrases:
+   what is scanned grows with the text, not with text times automata. Overlapping matches are counted, and
+   the counts of all tasks are summed. These exact counts, not the sketches', meet the thresholds.
 4. Scores, the rule on longer phrases and the ranking are joins, aggregations and windows.
 """
 
@@ -37,10 +39,14 @@ ROWS = 2
 RANGE = 1 << 18
 #: Counts that a task holds before it sends them on, and phrases that it remembers having sent.
 HELD, REMEMBERED = 1 << 23, 1 << 19
+#: So many times more phrases are remembered by their hashes alone.
+MORE_HASHES = 8
 #: Phrases of an automaton, and bytes of text that a task holds to scan with one automaton after another.
 PHRASES, HELD_BYTES = 400_000, 16 << 20
 #: Counts of an automaton's phrases that are summed together, and counts that a scanning task holds.
 SLICE, HELD_COUNTS = 1 << 16, 1 << 22
+#: Bytes of stretches that are sent to one automaton in a row, and those that one load of an automaton should scan.
+STRETCHES, SHARE = 1 << 18, 1 << 24
 #: Bytes in pieces of text: letters A-Z in lower case, tabs as spaces, and all that ends a piece as a line feed.
 _PLAIN = bytes(10 if c in b".,;:!?\n\x0b\x0c\r" else 32 if c == 9 else c + 32 if 65 <= c <= 90 else c for c in range(256))
 _PLAIN_TABLE = np.frombuffer(_PLAIN, dtype=np.uint8)
@@ -82,6 +88,17 @@ class Pieces:
         hashes = self.words.hashes if size == 1 else run_hashes(self.words.hashes, size)
         return hashes, self.left[: len(hashes)] >= size
 
+    def guarded(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Bytes with a space before each word and a line feed between pieces, and where the words begin (with that space) and end in them."""
+        starts, sizes, last = self.words.starts, self.words.ends - self.words.starts, self.left == 1
+        after = np.cumsum(sizes + 1 + 2 * last)
+        begin = after - sizes - 1 - 2 * last
+        end = begin + 1 + sizes
+        out = gathered(np.frombuffer(self.whole, np.uint8), starts - 1, after - begin)
+        out[begin] = 32
+        out[end[last]], out[end[last] + 1] = 32, 10
+        return out, begin, end
+
     def texts(self, places: np.ndarray, size: int) -> list[bytes]:
         """The runs' words joined by one space."""
         starts, ends, whole = self.words.starts, self.words.ends, self.whole
@@ -92,6 +109,18 @@ class Pieces:
         return [whole[s:e] if alike else b" ".join(whole[starts[p + k] : ends[p + k]] for k in range(size)) for p, s, e, alike in runs]
 
 
+def gathered(data: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The bytes from each start on, one stretch after the other; places beside the data give any byte."""
+    at = np.repeat(starts - (np.cumsum(sizes) - sizes), sizes)
+    at += np.arange(len(at))
+    return data.take(at, mode="clip")
+
+
+def part_of(keys: np.ndarray, parts: np.ndarray) -> np.ndarray:
+    """Which of so many parts the keys are dealt to."""
+    return (((keys >> np.uint64(32)) * parts.astype(np.uint64)) >> np.uint64(32)).astype(np.int64)
+
+
 def counters(hashes: np.ndarray, row: int, width: int) -> np.ndarray:
     return (mixed(hashes + _SALTS[row]) & np.uint64(width - 1)).astype(np.int64)
 
@@ -103,14 +132,15 @@ class Sketch:
         self.width, self.bits = width, {}
 
     def may_reach(self, level: int, hashes: np.ndarray) -> np.ndarray:
-        out = np.ones(len(hashes), dtype=bool)
+        out, left = np.zeros(len(hashes), dtype=bool), np.arange(len(hashes))
         for row in range(ROWS):
-            at = counters(hashes, row, self.width)
-            out &= (self.bits[level, row][at >> 3] >> (7 - (at & 7)).astype(np.uint8) & 1).astype(bool)
+            at = counters(hashes[left], row, self.width)
+            left = left[(self.bits[level, row][at >> 3] >> (7 - (at & 7)).astype(np.uint8) & 1).astype(bool)]
+        out[left] = True
         return out
 
     def open_runs(self, pieces: Pieces, salts: np.ndarray, below: int, most: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-        """(size, places, hashes) of the runs whose shorter parts' levels up to ``below`` let them pass; ``salts`` are the words' languages."""
+        """(size, places, hashes) of the runs that pass, with their shorter parts, the levels up to ``below``; ``salts`` are the words' languages."""
         alive = None
         for size in range(1, most + 1):
             hashes, inside = pieces.runs(size)
@@ -119,11 +149,13 @@ class Sketch:
             hashes = hashes + salts[: len(hashes)]
             if alive is not None:
                 inside = inside & alive[: len(hashes)] & alive[1 : len(hashes) + 1]
-            places = np.flatnonzero(inside)
-            yield size, places, hashes[places]
-            level = min(size, 3)
+            places, level = np.flatnonzero(inside), min(size, 3)
+            hashes = hashes[places]
             if level <= below:
-                inside[places] = self.may_reach(level, hashes[places])
+                some = self.may_reach(level, hashes)
+                inside[places] = some
+                places, hashes = places[some], hashes[some]
+            yield size, places, hashes
             alive = inside
 
 
@@ -143,12 +175,32 @@ def sliced(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list[str], Piece
 
 
 def summed(parts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    """Counters and counts of parts of (counter, count)."""
-    at, n = (np.concatenate([p[i] for p in parts]) for i in (0, 1))
-    order = np.argsort(at, kind="stable")
-    at, n = at[order], n[order]
+    """Counters and their sums, of numbers with a counter above 32 bits and a count in them."""
+    both = np.sort(np.concatenate(parts))
+    at = (both >> np.uint64(32)).astype(np.int64)
+    both &= np.uint64(0xFFFFFFFF)
     edges = np.flatnonzero(np.append(True, at[1:] != at[:-1])) if len(at) else np.zeros(0, dtype=np.int64)
-    return at[edges], np.add.reduceat(n, edges) if len(at) else n
+    return at[edges], np.add.reduceat(both, edges) if len(at) else both
+
+
+def packed_range(at: np.ndarray, n: np.ndarray, span: int) -> bytes:
+    """A range's counts: the counters' gaps and the counts, or all counters of the range where many have come."""
+    if len(at) * 8 < span:
+        gaps = np.diff(at, prepend=0).astype(np.uint32).view(np.uint8).reshape(-1, 4).T
+        return zstandard.compress(b"\1" + gaps.tobytes() + n.tobytes(), 1)
+    dense = np.zeros(span, dtype=n.dtype)
+    dense[at] = n
+    return zstandard.compress(b"\0" + dense.tobytes(), 1)
+
+
+def add_range(sums: np.ndarray, data: bytes, kind: type) -> None:
+    raw = zstandard.decompress(data)
+    if raw[0]:
+        n = (len(raw) - 1) // (4 + np.dtype(kind).itemsize)
+        gaps = np.ascontiguousarray(np.frombuffer(raw, np.uint8, 4 * n, 1).reshape(4, n).T).view(np.uint32).ravel()
+        sums[np.cumsum(gaps, dtype=np.int64)] += np.frombuffer(raw, kind, n, 1 + 4 * n)
+    else:
+        sums += np.frombuffer(raw, kind, len(sums), 1)
 
 
 def packed(values: np.ndarray) -> bytes:
@@ -173,9 +225,8 @@ def with_level(rows: DataFrame, sketch: Sketch, level: int, rules: Rules) -> Non
                     edges = np.searchsorted(at, np.arange(0, width + 1, span))
                     for k, (a, b) in enumerate(zip(edges, edges[1:], strict=False)):
                         if b > a:
-                            dense = np.zeros(span, dtype=kind)
-                            dense[at[a:b] - k * span] = np.minimum(n[a:b], least)
-                            yield pa.RecordBatch.from_arrays([pa.array([row], pa.int32()), pa.array([k], pa.int32()), pa.array([packed(dense)], pa.binary())], names=["row", "range", "counts"])
+                            data = packed_range(at[a:b] - k * span, np.minimum(n[a:b], least).astype(kind), span)
+                            yield pa.RecordBatch.from_arrays([pa.array([row], pa.int32()), pa.array([k], pa.int32()), pa.array([data], pa.binary())], names=["row", "range", "counts"])
 
         size_held = 0
         for _, pieces, salts in sliced(batches):
@@ -183,7 +234,7 @@ def with_level(rows: DataFrame, sketch: Sketch, level: int, rules: Rules) -> Non
                 if size in sizes:
                     for row in range(ROWS):
                         at, n = np.unique(counters(hashes, row, width), return_counts=True)
-                        parts[row].append((at.astype(np.uint32), n.astype(np.uint32)))
+                        parts[row].append(at.astype(np.uint64) << np.uint64(32) | n.astype(np.uint64))
                         size_held += len(at)
             if size_held > HELD:
                 yield from told()
@@ -203,7 +254,7 @@ def with_level(rows: DataFrame, sketch: Sketch, level: int, rules: Rules) -> Non
                     if now:
                         yield told()
                     now, sums = (row, k), np.zeros(span, dtype=np.int64)
-                sums += np.frombuffer(zstandard.decompress(data), kind)
+                add_range(sums, data, kind)
         if now:
             yield told()
 
@@ -222,7 +273,7 @@ def candidates(rows: DataFrame, sketch: Sketch, rules: Rules) -> DataFrame:
     held, buckets = rows.sparkSession.sparkContext.broadcast(sketch), max(16, sketch.width >> 19)
 
     def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, seen = held.value, set()
+        known, seen, waiting = held.value, np.zeros(0, dtype=np.uint64), 0
         words: Counter = Counter()
         fresh: dict[tuple[str, int], list[bytes]] = defaultdict(list)
 
@@ -231,21 +282,24 @@ def candidates(rows: DataFrame, sketch: Sketch, rules: Rules) -> DataFrame:
                 data = zstandard.compress(b"\n".join(sorted(some)), 1)
                 yield pa.RecordBatch.from_arrays([pa.array([lang]), pa.array([bucket], pa.int32()), pa.array([data], pa.binary()), pa.array([0], pa.int64())], names=["lang", "bucket", "phrases", "n"])
             fresh.clear()
-            seen.clear()
 
         for names, pieces, salts in sliced(batches):
             for name, n in zip(names, pieces.words.counts.tolist(), strict=True):
                 words[name] += n
             for size, places, hashes in known.open_runs(pieces, salts, 3, rules.words):
-                some = known.may_reach(min(size, 3), hashes)
-                first, at = np.unique(hashes[some], return_index=True)
-                new = [i for i, h in enumerate(first.tolist()) if h not in seen]
-                seen.update(first.tolist())  # only spares copies
-                chosen = places[some][at[new]]
+                first, at = np.unique(hashes, return_index=True)
+                spot = np.searchsorted(seen, first)
+                new = seen.take(spot, mode="clip") != first if len(seen) else np.ones(len(first), dtype=bool)
+                seen = np.insert(seen, spot[new], first[new])  # only spares copies
+                chosen = places[at[new]]
+                waiting += len(chosen)
                 for h, owner, phrase in zip((first[new] >> np.uint64(20)).tolist(), pieces.owner[chosen].tolist(), pieces.texts(chosen, size), strict=True):
                     fresh[names[owner], h % buckets].append(phrase)
-            if len(seen) > REMEMBERED:
+            if waiting > REMEMBERED:
                 yield from told()
+                waiting = 0
+            if len(seen) > MORE_HASHES * REMEMBERED:
+                seen = seen[:0]
         yield from told()
         if words:
             yield pa.RecordBatch.from_arrays([pa.array(list(words)), pa.array([-1] * len(words), pa.int32()), pa.array([None] * len(words), pa.binary()), pa.array(list(words.values()), pa.int64())], names=["lang", "bucket", "phrases", "n"])
@@ -280,7 +334,7 @@ def guarded(text: bytes) -> str:
 
 
 def compiled(phrases: DataFrame, folder: str) -> DataFrame:
-    """(lang, file, n) of the automata written: a language's phrases are dealt by hash to as many as it needs."""
+    """(lang, parts, part, file, n) of the automata written: a language's phrases are dealt by their first two words to as many parts as it needs."""
     files, base = file_system(folder)
     files.create_dir(base, recursive=True)
 
@@ -299,22 +353,117 @@ def compiled(phrases: DataFrame, folder: str) -> DataFrame:
         for suffix, held in (("", (len(some), automaton)), (".phrases", some)):
             with files.open_output_stream(f"{base}/{name}{suffix}", compression=None) as sink:
                 sink.write(pickle.dumps(held, protocol=5))
-        return pa.table({"lang": group["lang"][:1], "file": [name], "n": pa.array([len(some)], pa.int64())})
+        return pa.table({"lang": group["lang"][:1], "parts": group["parts"][:1], "part": group["part"][:1], "file": [name], "n": pa.array([len(some)], pa.int64())})
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            parts = batch.column(2).to_numpy()
+            for a, b, data, offsets in text_slices(batch.column(1)):
+                words = Words(data, offsets)
+                first = words.first[:-1]
+                keys, longer = words.hashes[first], np.flatnonzero(words.counts > 1)
+                keys[longer] = run_hashes(words.hashes, 2)[first[longer]]
+                yield pa.RecordBatch.from_arrays([*(batch.column(i).slice(a, b - a) for i in range(3)), pa.array(part_of(keys, parts[a:b]))], names=["lang", "phrase", "parts", "part"])
 
     parts = phrases.groupBy("lang").agg(F.ceil(F.count(F.lit(1)) / PHRASES).alias("parts"))
-    dealt = phrases.join(parts, "lang").select("lang", "phrase", F.pmod(F.xxhash64("phrase"), F.col("parts")).alias("part"))
-    return written(dealt.groupBy("lang", "part").applyInArrow(build, "lang string, file string, n long"), "automata")
+    dealt = phrases.join(parts, "lang").select("lang", "phrase", "parts").mapInArrow(trimmed(deal), "lang string, phrase binary, parts long, part long")
+    return written(dealt.groupBy("lang", "part").applyInArrow(build, "lang string, parts long, part long, file string, n long"), "automata")
 
 
-def scanned(rows: DataFrame, automata: dict[str, list[str]], folder: str, least: int) -> DataFrame:
-    """(lang, phrase, a) of all phrases that come ``least`` times or more, from the sums of all tasks' counts."""
-    languages = {name: lang for lang, names in automata.items() for name in names}
+def stretches(rows: DataFrame, sketch: Sketch, dealt: dict[str, dict[int, str]], parts: dict[str, int], size: int, rules: Rules) -> DataFrame:
+    """(file, share, text): for each automaton the stretches of text in which the sketch leaves phrases that are dealt to it, each place once."""
+    held, words = rows.sparkSession.sparkContext.broadcast(sketch), rules.words
+    number, files = {}, []  # a language's first part, and the parts' files
+    for lang, some in dealt.items():
+        number[lang] = len(files)
+        files += [some.get(k) for k in range(parts[lang])]
+    shares = max(1, 2 * size // (SHARE * max(1, len(files))))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
+        known, waiting, sizes = held.value, defaultdict(list), Counter()
+        sent = TaskContext.get().partitionId()
+
+        def told(some: list[int]) -> pa.RecordBatch:
+            nonlocal sent
+            data = [zstandard.compress(b"".join(waiting.pop(k)), 1) for k in some]
+            share = (sent + np.arange(len(some))) % shares
+            sent += len(some)
+            for k in some:
+                del sizes[k]
+            return pa.RecordBatch.from_arrays([pa.array([files[k] for k in some], pa.string()), pa.array(share.astype(np.int32)), pa.array(data, pa.binary())], names=["file", "share", "text"])
+
+        for names, pieces, salts in sliced(batches):
+            longest = np.zeros(len(salts), dtype=np.int64)
+            for length, places, _ in known.open_runs(pieces, salts, 3, words):
+                longest[places] = length
+            one, two = np.flatnonzero(longest), np.flatnonzero(longest > 1)
+            if not len(one):
+                continue
+            keys = np.concatenate([pieces.words.hashes[one], run_hashes(pieces.words.hashes, 2)[two]])
+            start, end = np.concatenate([one, two]), np.concatenate([one + 1, two + longest[two]])
+            owner = pieces.owner[start]
+            part = np.array([number[x] for x in names])[owner] + part_of(keys, np.array([parts[x] for x in names])[owner])
+            # stretches of a part that overlap are one
+            width = len(salts) + 1
+            order = np.argsort(part * width + start, kind="stable")
+            part, start = part[order], start[order]
+            reach = np.maximum.accumulate(part * width + end[order])
+            fresh = np.flatnonzero(np.append(True, (part * width + start)[1:] > reach[:-1]))
+            part, start, end = part[fresh], start[fresh], reach[np.append(fresh[1:], len(reach)) - 1] % width
+            whole, begin, over = pieces.guarded()
+            length = over[end - 1] - begin[start] + 2
+            data, after = gathered(whole, begin[start], length), np.cumsum(length)
+            data[after - 2], data[after - 1] = 32, 10
+            edges = np.append(np.flatnonzero(np.append(True, part[1:] != part[:-1])), len(part))
+            ends = np.append(0, after)[edges]
+            for k, a, b in zip(part[edges[:-1]].tolist(), ends.tolist(), ends[1:].tolist(), strict=False):
+                if files[k]:
+                    waiting[k].append(data[a:b].tobytes())
+                    sizes[k] += b - a
+            if full := [k for k, n in sizes.items() if n >= STRETCHES]:
+                yield told(full)
+            if sizes.total() > HELD_BYTES:
+                yield told(list(sizes))
+        yield told(list(sizes))
+
+    return rows.mapInArrow(trimmed(run), "file string, share int, text binary")
+
+
+def scanned(rows: DataFrame, sketch: Sketch, dealt: dict[str, dict[int, str]], parts: dict[str, int], folder: str, size: int, rules: Rules) -> DataFrame:
+    """(lang, phrase, a) of all phrases that come ``least`` times or more, from the sums of all tasks' counts; ``dealt`` are the languages' automata by part."""
+    languages, least = {name: lang for lang, some in dealt.items() for name in some.values()}, rules.least
+    many = {lang: some for lang, some in dealt.items() if parts[lang] > 1}
+    automata = {lang: list(some.values()) for lang, some in dealt.items() if lang not in many}
 
     def read(name: str):
         files, base = file_system(folder)
         with files.open_input_file(f"{base}/{name}") as source:
             return pickle.loads(source.read())
 
+    def matches(automaton, text: str, n: int) -> np.ndarray:
+        return np.bincount(np.fromiter(map(itemgetter(1), automaton.iter(text)), dtype=np.int64), minlength=n)
+
+    def sums_told(name: str, total: np.ndarray) -> Iterator[pa.RecordBatch]:
+        for a in range(0, len(total), SLICE):
+            part = total[a : a + SLICE]
+            if part.any():
+                data = packed(part.astype(np.uint16) if part.max() < 1 << 16 else part)
+                yield pa.RecordBatch.from_arrays([pa.array([name]), pa.array([a], pa.int64()), pa.array([data], pa.binary())], names=["file", "first", "counts"])
+
+    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, automaton, total = None, None, np.zeros(0, dtype=np.int64)
+        for batch in batches:
+            for name, data in zip(batch.column(0).to_pylist(), batch.column(2), strict=True):
+                if name != now:
+                    yield from sums_told(now, total)
+                    automaton = None  # one at a time
+                    now, (n, automaton) = name, read(name)
+                    total = np.zeros(n, dtype=np.int64)
+                total += matches(automaton, zstandard.decompress(data.as_py()).decode("utf-8", "surrogateescape"), len(total))
+        yield from sums_told(now, total)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         texts: dict[str, list[bytes]] = {}
         counts: dict[str, np.ndarray] = {}
@@ -330,17 +479,12 @@ def scanned(rows: DataFrame, automata: dict[str, list[str]], folder: str, least:
                     n, automaton = held[name]
                     total = counts.setdefault(name, np.zeros(n, dtype=np.int64))
                     for a in range(0, len(plain), 64):  # several texts at once: all begin and end with a guard
-                        found = np.fromiter(map(itemgetter(1), automaton.iter("\n".join(plain[a : a + 64]))), dtype=np.int64)
-                        total += np.bincount(found, minlength=n)
+                        total += matches(automaton, "\n".join(plain[a : a + 64]), n)
             texts.clear()
 
         def told() -> Iterator[pa.RecordBatch]:
             for name, total in counts.items():
-                for a in range(0, len(total), SLICE):
-                    part = total[a : a + SLICE]
-                    if part.any():
-                        data = packed(part.astype(np.uint16) if part.max() < 1 << 16 else part)
-                        yield pa.RecordBatch.from_arrays([pa.array([name]), pa.array([a], pa.int64()), pa.array([data], pa.binary())], names=["file", "first", "counts"])
+                yield from sums_told(name, total)
             counts.clear()
 
         for batch in batches:
@@ -378,7 +522,13 @@ def scanned(rows: DataFrame, automata: dict[str, list[str]], folder: str, least:
         if now:
             yield told()
 
-    partial = rows.mapInArrow(trimmed(run), "file string, first long, counts binary").repartition("file", "first").sortWithinPartitions("file", "first")
+    sums = "file string, first long, counts binary"
+    partial = rows.filter(~F.col("lang").isin(list(many))).mapInArrow(trimmed(run), sums)
+    if many:
+        sent = stretches(rows.filter(F.col("lang").isin(list(many))), sketch, many, parts, size, rules)
+        found = sent.repartition("file", "share").sortWithinPartitions("file").mapInArrow(trimmed(search), sums)
+        partial = partial.unionByName(found) if automata else found
+    partial = partial.repartition("file", "first").sortWithinPartitions("file", "first")
     return partial.mapInArrow(trimmed(add), "lang string, phrase binary, a long")
 
 
@@ -397,10 +547,12 @@ def collocations(docs: DataFrame, rules: Rules = Rules(), text: str = "text", la
         with_level(rows, sketch, level, rules)
     open_phrases = written(candidates(rows, sketch, rules), "candidates")
     folder = new_folder(spark, "automata")
-    automata: dict[str, list[str]] = {}
-    for r in compiled(open_phrases.filter("phrase is not null").select("lang", "phrase"), folder).orderBy("lang", "file").collect():  # a row for each automaton
-        automata.setdefault(r.lang, []).append(r.file)
-    known = written(scanned(rows, automata, folder, rules.least).select("lang", F.col("phrase").cast("string").alias("phrase"), "a"), "phrases")
+    automata: dict[str, dict[int, str]] = {}
+    parts: dict[str, int] = {}
+    for r in compiled(open_phrases.filter("phrase is not null").select("lang", "phrase"), folder).orderBy("lang", "part").collect():  # a row for each automaton
+        parts[r.lang] = r.parts
+        automata.setdefault(r.lang, {})[r.part] = r.file
+    known = written(scanned(rows, sketch, automata, parts, folder, size, rules).select("lang", F.col("phrase").cast("string").alias("phrase"), "a"), "phrases")
     return ranked(known, open_phrases.filter("phrase is null").select("lang", "n"), rules)
 
 

@@ -77,6 +77,38 @@ def test_a_narrow_sketch_changes_nothing(spark, rows, monkeypatch):
     assert sorted(tuple(r) for r in collocations(spark.createDataFrame(rows, SCHEMA), rules).collect()) == expected(rows, rules)
 
 
+def test_each_place_goes_to_few_automata(spark, monkeypatch):
+    """With many automata, the text that they scan in all stays near the text itself."""
+    rng = random.Random(5)
+    made = [(i, " ".join(f"w{min(int(rng.paretovariate(0.7)), 400)}" for _ in range(400)) + ".", "en", "", 0, "", 0) for i in range(200)]
+    whole, sent, held = sum(len(r[1]) for r in made), [], module.stretches
+
+    def watched(*told):
+        found = held(*told)
+        sent.extend((r.file, len(module.zstandard.decompress(r.text))) for r in found.collect())
+        return found
+
+    monkeypatch.setattr(module, "PHRASES", 60)
+    monkeypatch.setattr(module, "stretches", watched)
+    rules = Rules(least=4, kept=5000)
+    assert sorted(tuple(r) for r in collocations(spark.createDataFrame(made, SCHEMA).repartition(3), rules).collect()) == expected(made, rules)
+    assert len({f for f, _ in sent}) > 30 and sum(n for _, n in sent) < 6 * whole  # each automaton scanned the whole text
+
+
+@pytest.mark.parametrize(("span", "n", "kind"), [(1 << 12, 0, np.uint8), (1 << 12, 60, np.uint8), (1 << 12, 3000, np.uint8), (1 << 12, 60, np.uint32)])
+def test_ranges_of_counters(span, n, kind):
+    rng = np.random.default_rng(2)
+    at = np.sort(rng.choice(span, n, replace=False))
+    times = rng.integers(1, 250, n).astype(kind)
+    sums, want = np.arange(span), np.arange(span)
+    want[at] += times
+    module.add_range(sums, module.packed_range(at, times, span), kind)
+    assert (sums == want).all()
+    both = np.concatenate([at, at]).astype(np.uint64) << np.uint64(32) | np.concatenate([times, times]).astype(np.uint64)
+    found, counts = module.summed([both])
+    assert (found == at).all() and (counts == 2 * times.astype(np.int64)).all()
+
+
 def test_empty_tables(spark):
     assert collocations(spark.createDataFrame([], SCHEMA)).count() == 0
     assert collocations(spark.createDataFrame([(1, None, None, "", 0, "", 0)], SCHEMA)).count() == 0
